@@ -7,7 +7,8 @@ spans are decoded, the rest of the text is left as it is. A span counts if it de
 
 Single-byte damage (one legacy encoding read as another) has no multibyte structure. The same map back to bytes is
 applied to each word with a non-ASCII character: its bytes are decoded by each other encoding of its family, and the
-word counts as damaged if it is rare in the collection while what it decodes to is common there. Word counts cover all
+word counts as damaged if it is rare in the collection while what it decodes to is common there. A document needs two such words, a long one, or a
+lone letter that is a mark misread. Word counts cover all
 documents and are joined, not sent around.
 
 U+FFFD marks text whose characters were lost; it can't be restored. A span that stands alone in quotation marks, in a
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 MULTIBYTE = ("cp1252", "mac_roman", "cp437", "cp850", "cp852", "cp1251", "cp866", "koi8_r", "cp1250", "iso8859_2", "cp1254", "iso8859_15", "mac_cyrillic")
 #: (read as, written in): single-byte encodings that are taken for one another.
 SINGLE = tuple((a, b) for family in (("cp1252", "mac_roman", "cp437", "cp850"), ("cp1250", "iso8859_2", "cp852", "cp1252", "mac_latin2"), ("cp1254", "cp1252", "cp857"), ("cp1251", "koi8_r", "cp866", "iso8859_5", "cp1252", "mac_roman", "mac_cyrillic", "cp437")) for a in family for b in family if a != b)
+CYRILLIC = ("cp1251", "cp866", "koi8_r", "mac_cyrillic")
 ROUNDS = 3
 LOST = "�"
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -60,6 +62,11 @@ def _used(c: str) -> bool:
     return 0xA0 <= o <= 0x17F or o in (0x218, 0x219, 0x21A, 0x21B, 0x1E9E) or 0x391 <= o <= 0x3C9 or 0x400 <= o <= 0x45F or o in (0x490, 0x491) or 0x5D0 <= o <= 0x5EA or 0x621 <= o <= 0x64A or 0x900 <= o <= 0x97F or 0xE00 <= o <= 0xE5B or 0x2010 <= o <= 0x203A or 0x20A0 <= o <= 0x20BF or o in (0x2116, 0x2122, 0x2190, 0x2192, 0x2248, 0x2260, 0x2264, 0x2265) or 0x3000 <= o <= 0x30FF or 0x4E00 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7A3 or 0x1F300 <= o <= 0x1FAFF or o in (0xFEFF, 0x200B)
 
 
+def _in_word(text: str, a: int, b: int, new: str) -> bool:
+    """Whether a span may be a piece of an ordinary Cyrillic word: lead and trail bytes are letters in these encodings."""
+    return "Ѐ" <= text[a - 1 : a] <= "џ" or "Ѐ" <= text[b : b + 1] <= "џ" or any(c > "џ" and not "‐" <= c <= "™" for c in new)
+
+
 def spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     """(start, end, decoded) of the maximal well-formed multibyte spans that decode to used characters."""
     table, out = _MAPS[codec], []
@@ -68,7 +75,7 @@ def spans(text: str, codec: str) -> list[tuple[int, int, str]]:
         raw = "".join([table.get(ord(c), "Ā") for c in m.group()])
         for s in _SPAN.finditer(raw):
             new = s.group().encode("latin-1").decode("utf-8")
-            if all(map(_used, new)):
+            if all(map(_used, new)) and not (codec in CYRILLIC and _in_word(text, m.start() + s.start(), m.start() + s.end(), new)):
                 out.append((m.start() + s.start(), m.start() + s.end(), new))
     return out
 
@@ -78,9 +85,8 @@ def _weight(text: str, found: list[tuple[int, int, str]], codec: str) -> int:
     n = sum(len(x) for _, _, x in found)
     if not n:
         return 0
-    cyrillic = codec in ("cp1251", "cp866", "koi8_r", "mac_cyrillic")
-    if cyrillic:  # a lead and a trail byte are letters here: only a run of them can't be a word
-        return n if max(len(x) for _, _, x in found) >= 3 or n >= 3 and len({text[a:b] for a, b, _ in found}) >= 2 and not any("Ѐ" <= c <= "џ" for _, _, x in found for c in x) else 0
+    if codec in CYRILLIC:
+        return n if n >= 3 else 0
     if n == 1:
         a, b, x = found[0]
         beside = text[max(0, a - 1) : a] + text[b : b + 1]
@@ -152,14 +158,17 @@ def readings(word: str) -> list[str]:
 
 
 #: A word here is a run of ASCII letters and of any non-ASCII characters but spaces, dashes and quotation marks at its ends.
-_WORDS = r"[A-Za-z\x{80}-\x{10FFFF}]*[\x{80}-\x{10FFFF}][A-Za-z\x{80}-\x{10FFFF}]*"
+_WORDS = r"[A-Za-z\x{80}-\x{10FFFF}&&[^\p{Z}\p{Cf}]]*[\x{80}-\x{10FFFF}&&[^\p{Z}\p{Cf}]][A-Za-z\x{80}-\x{10FFFF}&&[^\p{Z}\p{Cf}]]*"
 _EDGE = r"^[\x{201C}\x{201D}\x{201E}\x{AB}\x{BB}\x{2013}\x{2014}\x{2026}\x{A0}\x{BF}\x{A1}\x{2018}]+|[\x{201C}\x{201D}\x{201E}\x{AB}\x{BB}\x{2013}\x{2014}\x{2026}\x{A0}\x{2019}]+$"
 
 
 def _words(documents: DataFrame) -> DataFrame:
-    """(k, w): the words with a non-ASCII character of each document, each once."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(_WORDS), F.lit(0)), lambda x: F.regexp_replace(x, _EDGE, "")))
-    return documents.select("k", F.explode(found).alias("w")).where(F.length("w") >= 2)
+    """(k, w): the words with a non-ASCII character of each document, each once: as they stand, without marks at their
+    ends, and (for one mark or letter before ASCII letters) with the letters as "a", so that marks have counts too."""
+    raw = F.array_distinct(F.regexp_extract_all("t", F.lit(_WORDS), F.lit(0)))
+    bare = F.transform(raw, lambda x: F.regexp_replace(x, _EDGE, ""))
+    shape = F.transform(F.filter(raw, lambda x: x.rlike(r"^[^\x00-\x7F][A-Za-z]+$")), lambda x: F.concat(F.substring(x, 1, 1), F.lit("a")))
+    return documents.select("k", F.explode(F.array_distinct(F.concat(raw, bare, shape))).alias("w")).where("w <> ''")
 
 
 def damaged_words(documents: DataFrame, least: int = 4, times: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -190,9 +199,9 @@ def cases(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     multibyte = rows.mapInPandas(run, "doc_id long, lost boolean")
     words, damaged = damaged_words(rows)
-    letters = F.length("w")
-    single = words.join(damaged, "w").groupBy("k").agg(F.count("*").alias("n"), F.max(letters).alias("longest"))
-    single = single.where("n >= 2 and longest >= 3 or longest >= 5").select(F.col("k").alias("doc_id"), F.lit(False).alias("lost"))
+    mark = (F.length("w") == 1) & F.col("original").isin(*"‘’“”–—€")
+    single = words.join(damaged, "w").groupBy("k").agg(F.count("*").alias("n"), F.max(F.length("w")).alias("longest"), F.max(mark).alias("mark"))
+    single = single.where("n >= 2 or longest >= 5 or mark").select(F.col("k").alias("doc_id"), F.lit(False).alias("lost"))
     return multibyte.unionByName(single).groupBy("doc_id").agg(F.max("lost").alias("lost"))
 
 
