@@ -141,3 +141,20 @@ def dominant_keys(cells: DataFrame, fields: list[str], share: float) -> DataFram
         found = stats.where(F.col("n_rows") >= F.lit(share * p.total)).select(F.lit(f).alias("field"), F.col("key_value").cast("string"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+HOT = 1000
+
+
+def with_group_size(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the number of its rows that share the key, as `name`; df should be a written table (it is read three times).
+
+    A key with more than 1 / HOT of all rows is hot: there are fewer than HOT of them, so their sizes are broadcast. The
+    sizes of the other keys are joined by a shuffle in which no key has more than 1 / HOT of the rows.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias(name))
+    limit = df.count() / HOT
+    marked = df.join(F.broadcast(sizes.where(F.col(name) > limit)), key, "left")
+    rest = marked.where(F.col(name).isNull()).drop(name).join(sizes.where(F.col(name) <= limit), key)
+    columns = [*df.columns, name]
+    return marked.where(F.col(name).isNotNull()).select(columns).unionByName(rest.select(columns))
