@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from tabweave.functions import text
 from tabweave.operators import em, evaluate, fd, forms, graph, indirect, lookup, match, score, search, strings
-from tabweave.plans.common import table
+from tabweave.plans.common import table, written
 from tabweave.sources import corpus
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-LEAST, GIVEN = 2, 3
+LEAST, WIDE, GIVEN = 2, 1, 3
 #: Smaller ids are the corpus' largest tables; a query table is an ordinary one.
 FIRST = 1000
 
@@ -38,8 +38,8 @@ _WITH = """with cells as (select distinct tableid, colid, rowid, term, tokenized
  t0 as (select min(tableid) id from columns_tokenized where colid = 1 and tableid >= 1000),
  rows0 as (select a.rowid, a.tokenized k, b.tokenized v from u a join u b on a.tableid = b.tableid and a.rowid = b.rowid where a.tableid = (select id from t0) and a.colid = 0 and b.colid = 1),
  ex as (select k, min(v) v, 1.0::double score from (select * from rows0 order by rowid limit 3) group by k),
- xcol as (select tableid, colid from u where tokenized in (select k from rows0) group by all having count(distinct tokenized) >= 2),
- ycol as (select tableid, colid from u where tokenized in (select v from rows0) group by all having count(distinct tokenized) >= 2),
+ xcol as (select tableid, colid from u where tokenized in (select k from rows0) group by all having count(distinct tokenized) >= 1),
+ ycol as (select tableid, colid from u where tokenized in (select v from rows0) group by all having count(distinct tokenized) >= 1),
  matches as (select x.tableid, x.colid x_col, y.colid y_col from xcol x join ycol y on x.tableid = y.tableid and x.colid <> y.colid),
  mapped as (select m.tableid, m.x_col, m.y_col, a.tokenized k, b.tokenized v, count(*) n from matches m join u a on a.tableid = m.tableid and a.colid = m.x_col join u b on b.tableid = m.tableid and b.colid = m.y_col and b.rowid = a.rowid group by all),
  ans as (select distinct concat(tableid, ':', x_col, ':', y_col) mid, tableid, k, v from mapped),
@@ -73,7 +73,8 @@ def rows0(spark: SparkSession, d: str) -> DataFrame:
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:
-    return rows0(spark, d).orderBy("rowid").limit(GIVEN).groupBy("k").agg(F.min("v").alias("v")).withColumn("score", F.lit(1.0))
+    given = rows0(spark, d).orderBy("rowid").limit(GIVEN).groupBy("k").agg(F.min("v").alias("v")).withColumn("score", F.lit(1.0))
+    return spark.createDataFrame(given.collect(), given.schema)  # GIVEN rows at most
 
 
 def _tok(df: DataFrame, c: str) -> DataFrame:
@@ -82,7 +83,7 @@ def _tok(df: DataFrame, c: str) -> DataFrame:
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
     r = rows0(spark, d)
-    return search.find_tables(table(spark, d, "main_tokenized"), _tok(r, "k"), _tok(r, "v"), LEAST)
+    return search.find_tables(table(spark, d, "main_tokenized"), _tok(r, "k"), _tok(r, "v"), WIDE)
 
 
 def mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -90,12 +91,13 @@ def mapped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ans(spark: SparkSession, d: str) -> DataFrame:
-    return score.answers(mapped(spark, d))
+    """Written once: the scoring queries read it several times."""
+    return written(score.answers(mapped(spark, d)), "answers")
 
 
-def tabs(spark: SparkSession, d: str) -> DataFrame:
+def tabs(spark: SparkSession, d: str, answers_: DataFrame | None = None) -> DataFrame:
     prior = table(spark, d, "new_tables_tokenized_full").groupBy(F.col("id").cast("string").alias("t")).agg(F.max("confidence").alias("p"))
-    mids = ans(spark, d).select("mid").distinct().withColumn("t", F.split("mid", ":")[0])
+    mids = (answers_ or ans(spark, d)).select("mid").distinct().withColumn("t", F.split("mid", ":")[0])
     return mids.join(prior, "t", "left").select("mid", F.coalesce("p", F.lit(0.5)).alias("prior"), F.lit(0.5).alias("schema"))
 
 
@@ -318,14 +320,14 @@ def find_tables(spark, d):
 @query("select tableid, colid x_col from xcol")
 def find_x_tables(spark, d):
     k = _tok(rows0(spark, d), "k").select(F.lit(0).alias("pos"), "tokenized")
-    return search.matching_columns(table(spark, d, "main_tokenized"), k, LEAST).select("tableid", F.col("colid").alias("x_col"))
+    return search.matching_columns(table(spark, d, "main_tokenized"), k, WIDE).select("tableid", F.col("colid").alias("x_col"))
 
 
 @query("select tableid, x0, x1, y0 from (select distinct a.tableid, a.colid x0, b.colid x1, y.colid y0 from u a join u b on a.tableid = b.tableid and a.rowid = b.rowid and a.colid <> b.colid join ycol y on y.tableid = a.tableid and y.colid <> a.colid and y.colid <> b.colid where a.tokenized in (select k from rows0) and b.tokenized in ('unknown', 'yes', 'other')) order by all limit 1000")
 def find_tables_multi(spark, d):
     r = rows0(spark, d)
     second = spark.createDataFrame([("unknown",), ("yes",), ("other",)], "tokenized string")
-    return search.find_tables_multi(table(spark, d, "main_tokenized"), [_tok(r, "k"), second], [_tok(r, "v")], LEAST)
+    return search.find_tables_multi(table(spark, d, "main_tokenized"), [_tok(r, "k"), second], [_tok(r, "v")], WIDE)
 
 
 _UN = "(select unionid, colid, tokenized from u join (select distinct * from union_tables_new) using (tableid))"
@@ -524,8 +526,9 @@ def schema_match(spark, d):
     return _rounded(score.schema_match(p), "schema")
 
 
-def _ratings(spark, d):
-    return score.rating(ans(spark, d), examples(spark, d), tabs(spark, d))
+def _ratings(spark, d, a=None):
+    a = a or ans(spark, d)
+    return written(score.rating(a, examples(spark, d), tabs(spark, d, a)), "ratings")
 
 
 @query("select mid, round(rating, 6) rating from rat")
@@ -539,7 +542,7 @@ _NBAD = "(select mid, count(*) n_bad from ans join bad using (k, v) group by mid
 @query(f"select mid, round(coalesce((good + prior * unseen) * 0.99 / nullif(total + unseen + 10 * coalesce(n_bad, 0), 0), 0), 6) rating from evid join tabs using (mid) left join {_NBAD} using (mid)")
 def rating_indirect(spark, d):
     a, e = ans(spark, d), examples(spark, d)
-    return _rounded(score.rating_indirect(a, e, tabs(spark, d), score.bad_pairs(a, e)), "rating")
+    return _rounded(score.rating_indirect(a, e, tabs(spark, d, a), score.bad_pairs(a, e)), "rating")
 
 
 _CTX = "(select a.mid, coalesce(sum(i.idf), 0) context from (select distinct mid, tableid from ans) a left join (select distinct u.tableid, i.term, i.idf from u join inverse_document_frequency i on i.term = u.tokenized where i.term in (select k from ex) and isfinite(i.idf)) i using (tableid) group by a.mid)"
@@ -550,24 +553,26 @@ def rating_sets(spark, d):
     a, e = ans(spark, d), examples(spark, d)
     i = table(spark, d, "inverse_document_frequency").where("idf is not null and abs(idf) < double('infinity') and not isnan(idf)").select(F.col("term").alias("tokenized"), "idf").join(F.broadcast(e.select(F.col("k").alias("tokenized"))), "tokenized", "left_semi")
     ctx = table(spark, d, "main_tokenized").join(F.broadcast(i), "tokenized").select("tableid", "tokenized", "idf").distinct().groupBy(F.col("tableid").cast("string").alias("t")).agg(F.sum("idf").alias("c"))
-    t = tabs(spark, d).withColumn("t", F.split("mid", ":")[0]).join(ctx, "t", "left").select("mid", "prior", F.coalesce("c", F.lit(0.0)).alias("context"))
+    t = tabs(spark, d, a).withColumn("t", F.split("mid", ":")[0]).join(ctx, "t", "left").select("mid", "prior", F.coalesce("c", F.lit(0.0)).alias("context"))
     return _rounded(score.rating_sets(a, e, t, score.bad_pairs(a, e)), "rating").where("rating > 0")
 
 
 @query(f"select mid, rating from (select mid, round(coalesce((prior * coalesce(g, 0) - (1 - prior) * 2 * coalesce(n_bad, 0)) * 0.99 / nullif(coalesce(g, 0) + coalesce(n_bad, 0), 0), 0), 6) rating from tabs left join (select mid, count(*) g from ans join (select k, v from ex) using (k, v) group by mid) using (mid) left join {_NBAD} using (mid)) where rating >= 0")
 def rating_pruned(spark, d):
     a, e = ans(spark, d), examples(spark, d)
-    return _rounded(score.rating_pruned(a, e, score.bad_pairs(a, e), tabs(spark, d)), "rating")
+    return _rounded(score.rating_pruned(a, e, score.bad_pairs(a, e), tabs(spark, d, a)), "rating")
 
 
 @query("select k, v, round(score, 6) score from scored")
 def score_functional(spark, d):
-    return _rounded(score.score_functional(ans(spark, d), _ratings(spark, d)), "score")
+    a = ans(spark, d)
+    return _rounded(score.score_functional(a, _ratings(spark, d, a)), "score")
 
 
 @query("select k, v, round(1 - product(1 - rating), 6) score from ar group by k, v")
 def score_noisy_or(spark, d):
-    return _rounded(score.score_noisy_or(ans(spark, d), _ratings(spark, d)), "score")
+    a = ans(spark, d)
+    return _rounded(score.score_noisy_or(a, _ratings(spark, d, a)), "score")
 
 
 @query("select k, v, round(case when i = 1 then 0.5 + n * 0.5 / all_n else 0.0 end, 6) score from (select *, row_number() over (partition by k order by n desc, v) i from (select k, v, count(distinct mid) n from ans group by k, v)) join (select k, count(distinct mid) all_n from ans group by k) using (k)")
@@ -580,33 +585,39 @@ _BEST = "(select k, v, score from (select *, row_number() over (partition by k o
 
 @query(f"select k, v, round(score, 6) score from (select k, v, score from ex union all select k, v, score from {_BEST.format('scored')} where k not in (select k from ex))")
 def em_1(spark, d):
-    return _rounded(em.rounds(ans(spark, d), examples(spark, d), tabs(spark, d), 1, "functional")[1], "score")
+    a = ans(spark, d)
+    return _rounded(em.rounds(a, examples(spark, d), tabs(spark, d, a), 1)[1], "score")
 
 
 @query()
 def em_2(spark, d):
-    return _rounded(em.rounds(ans(spark, d), examples(spark, d), tabs(spark, d), 2, "functional")[1], "score")
+    a = ans(spark, d)
+    return _rounded(em.rounds(a, examples(spark, d), tabs(spark, d, a), 2)[1], "score")
 
 
 @query()
 def em_to_convergence(spark, d):
-    return _rounded(em.run(ans(spark, d), examples(spark, d), tabs(spark, d), most=8)[1], "score")
+    a = ans(spark, d)
+    return _rounded(em.run(a, examples(spark, d), tabs(spark, d, a), most=8)[1], "score")
 
 
 @query(f"select k, v, round(score, 6) score from {_BEST.format('scored')} where k in (select k from rows0)")
 def current_answer(spark, d):
-    s = score.best_per_key(score.score_functional(ans(spark, d), _ratings(spark, d)))
+    a = ans(spark, d)
+    s = score.best_per_key(score.score_functional(a, _ratings(spark, d, a)))
     return _rounded(s.join(rows0(spark, d).select("k").distinct(), "k", "left_semi"), "score")
 
 
 @query(f"select r.k, b.v, round(coalesce(b.score, 0), 6) score from (select distinct k from rows0) r left join {_BEST.format('scored')} b using (k)")
 def transform(spark, d):
-    return _rounded(score.transform(rows0(spark, d), score.score_functional(ans(spark, d), _ratings(spark, d))), "score")
+    a = ans(spark, d)
+    return _rounded(score.transform(rows0(spark, d), score.score_functional(a, _ratings(spark, d, a))), "score")
 
 
 @query("select distinct k, v from ans a where not exists (select 1 from ans b join rat using (mid) where b.k = a.k and b.v = a.v and rating > 0.4)")
 def prune_dangling(spark, d):
-    return score.prune_dangling(ans(spark, d), _ratings(spark, d).where("rating <= 0.4"))[1]
+    a = ans(spark, d)
+    return score.prune_dangling(a, _ratings(spark, d, a).where("rating <= 0.4"))[1]
 
 
 @query("select mid, k, v from ans a where exists (select 1 from ans b where b.k = a.k and b.v = a.v and b.mid not in (select mid from ans join bad using (k, v) group by mid having count(*) > 1))")
@@ -623,13 +634,15 @@ def feedback(spark, d):
 
 @query("select mid, round(prior + (1 - prior) * coalesce(n, 0) * 0.99 / (select count(*) from ans join (select k, v from ex) using (k, v)), 6) prior from tabs left join (select mid, count(*) n from ans join (select k, v from ex) using (k, v) group by mid) using (mid)")
 def boost(spark, d):
-    used = ans(spark, d).join(examples(spark, d).select("k", "v"), ["k", "v"], "left_semi").select("mid")
-    return _rounded(score.boost(tabs(spark, d), used), "prior")
+    a = ans(spark, d)
+    used = a.join(examples(spark, d).select("k", "v"), ["k", "v"], "left_semi").select("mid")
+    return _rounded(score.boost(tabs(spark, d, a), used), "prior")
 
 
 @query("select k, v, mid from (select *, row_number() over (partition by k, v order by round(rating, 9) desc, mid) i from ar where rating > 0) where i = 1")
 def best_table(spark, d):
-    return score.best_table(ans(spark, d), _ratings(spark, d).withColumn("rating", F.round("rating", 9)))
+    a = ans(spark, d)
+    return score.best_table(a, _ratings(spark, d, a).withColumn("rating", F.round("rating", 9)))
 
 
 @query("select mid, round(rating, 6) rating from rat where rating <> 0 order by round(rating, 6) desc, mid limit 32")
@@ -726,9 +739,9 @@ def _xz(spark, d):
     r = rows0(spark, d)
     k = _tok(r, "k").select(F.lit(0).alias("pos"), "tokenized")
     m = table(spark, d, "main_tokenized")
-    x = search.matching_columns(m, k, LEAST).select("tableid", F.col("colid").alias("x_col"))
+    x = search.matching_columns(m, k, WIDE).select("tableid", F.col("colid").alias("x_col"))
     own = m.join(x.select("tableid").distinct(), "tableid", "left_semi")  # only these tables' dependencies are needed
-    return indirect.x_to_z(own, x, fd.cell_dependencies(own), r)
+    return written(indirect.x_to_z(own, x, fd.cell_dependencies(own), r), "xz")
 
 
 @query(_XZ + "select * from xz")
@@ -737,7 +750,8 @@ def intermediate(spark, d):
 
 
 _ZY = _XZ.rstrip() + """, zc as (select tableid, colid from u where tokenized in (select z from xz) group by all having count(distinct tokenized) >= 2),
- zy as (select concat(x.tableid, ':', x.colid, ':', y.colid) mid, a.tokenized k, b.tokenized v from zc x join ycol y on x.tableid = y.tableid and x.colid <> y.colid join u a on a.tableid = x.tableid and a.colid = x.colid join u b on b.tableid = y.tableid and b.colid = y.colid and b.rowid = a.rowid),
+ yc as (select tableid, colid from u where tokenized in (select v from rows0) group by all having count(distinct tokenized) >= 2),
+ zy as (select distinct concat(x.tableid, ':', x.colid, ':', y.colid) mid, a.tokenized k, b.tokenized v from zc x join yc y on x.tableid = y.tableid and x.colid <> y.colid join u a on a.tableid = x.tableid and a.colid = x.colid join u b on b.tableid = y.tableid and b.colid = y.colid and b.rowid = a.rowid),
  zu as (select mid, k z, count(distinct v) m, min(v) v from zy group by all),
  ez as (select distinct concat(tableid, ':', x_col, ':', z_col) x_mid, z, e.v y from xz join ex e on e.k = xz.k),
  jo as (select x_mid, mid, count(*) filter (where m = 1 and v = y) n from ez join zu using (z) group by all having count(*) filter (where m = 1 and v = y) >= 2 and count(*) filter (where m > 1 or v <> y) = 0)
@@ -748,7 +762,7 @@ def _zy(spark, d, xz):
     r = rows0(spark, d)
     m = table(spark, d, "main_tokenized")
     found = search.find_tables(m, _tok(xz.select("z"), "z"), _tok(r, "v"), LEAST)
-    return score.answers(score.table_map(m, found))
+    return written(score.answers(score.table_map(m, found)), "zy")
 
 
 @query(_ZY + "select x_mid, mid, n from jo")
@@ -935,7 +949,8 @@ _PR = f"(select count(*) filter (where b.v = t.v) c, count(b.v) a, count(*) t fr
 @query(f"select greatest(c - 3, 0) correct, greatest(a - 3, 0) answered, t - 3 total, round(coalesce(greatest(c - 3, 0) / nullif(greatest(a - 3, 0), 0), 0), 6) \"precision\", round(coalesce(greatest(c - 3, 0) / nullif(t - 3, 0), 0), 6) recall from {_PR}")
 def precision_recall(spark, d):
     truth = rows0(spark, d).groupBy("k").agg(F.min("v").alias("v"))
-    found = score.best_per_key(score.score_functional(ans(spark, d), _ratings(spark, d)))
+    a = ans(spark, d)
+    found = score.best_per_key(score.score_functional(a, _ratings(spark, d, a)))
     return _rounded(evaluate.precision_recall(found, truth, GIVEN), "precision", "recall")
 
 
