@@ -13,6 +13,9 @@ its contributors. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ def ranked(df: DataFrame, share: float | None = None, most: int | None = None) -
     sizes = one.groupBy("contributor", "salt").agg(F.count("*").alias("n"))
     if most is None:
         n_ids = one.select("id").distinct().count()
-        most = -int(-(share * n_ids) // 1) if abs(share * n_ids - round(share * n_ids)) > 1e-9 else round(share * n_ids)
+        most = math.ceil(Fraction(str(share)) * n_ids)
     before = F.sum("n").over(Window.partitionBy("contributor").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     sizes = sizes.withColumn("before", before)
     # whole salts under or over the cap need no rank; those the cap cuts through (one per contributor) do

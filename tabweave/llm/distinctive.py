@@ -6,8 +6,7 @@ score = weight x ln(records / records with the value), where the weight is eithe
   frequency  the number of the record's cells with the value.
 
 Columns are read in blocks of BLOCK rows with the next window - 1 rows repeated, so that no task has to hold a whole
-column of a dominant table. Values in many records are joined to their counts by a broadcast that is bounded: a value is
-hot if it has more than 1 / HOT of all pairs, so there are fewer than HOT of them.
+column of a dominant table.
 
 Defined cases: exact repeats of a row count once; null and empty values have no score and stand in no window; ties in
 the score go to the smaller value in byte order; a value alone in its record has degree 0. Scores are rounded to 6
@@ -19,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT = 1000
+from tabweave.operators.skew import with_group_size
+
 BLOCK = 1 << 15
 
 
@@ -47,13 +47,7 @@ def degrees(cells: DataFrame, window: int = 4) -> DataFrame:
 
 def scores(weights: DataFrame, n_records: int) -> DataFrame:
     """(tableid, tokenized, weight, score). weights should be a written table: it is read more than once."""
-    held = weights.groupBy("tokenized").agg(F.count("*").alias("df"))
-    n_pairs = weights.count()
-    hot = held.where(F.col("df") > n_pairs / HOT)  # fewer than HOT rows
-    light = held.where(F.col("df") <= n_pairs / HOT)
-    marked = weights.join(F.broadcast(hot), "tokenized", "left")
-    rest = marked.where("df is null").drop("df").join(light, "tokenized")
-    all_ = marked.where("df is not null").select("tableid", "tokenized", "weight", "df").unionByName(rest.select("tableid", "tokenized", "weight", "df"))
+    all_ = with_group_size(weights, "tokenized", "df")
     return all_.select("tableid", "tokenized", "weight", F.round(F.col("weight") * F.log(F.lit(float(n_records)) / F.col("df")), 6).alias("score"))
 
 

@@ -8,10 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import capping, distinctive, encoding, leakage, mojibake, term_counts
+from tabweave.llm import capping, distinctive, encoding, leakage, mojibake, set_join, term_counts, truncation
 from tabweave.plans.common import shared_dir, table, written
 
 
+def _column_sets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "main_tokenized").select(F.struct("tableid", "colid").alias("r"), F.col("tokenized").alias("v"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = set_join.pairs(_column_sets(spark, d), 0.6, 8)
+    return found.select(F.col("a.tableid").alias("tableid_a"), F.col("a.colid").alias("colid_a"), F.col("b.tableid").alias("tableid_b"), F.col("b.colid").alias("colid_b"))
+
+
+def p2_membership(spark: SparkSession, d: str) -> DataFrame:
+    """Each column with its class of equal columns and the classes linked to that."""
+    found = set_join.membership(_column_sets(spark, d), 0.6, 8)
+    return found.select("r.tableid", "r.colid", F.col("class.tableid").alias("class_tableid"), F.col("class.colid").alias("class_colid"), "n_links")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return capping.dropped(table(spark, d, "new_tables_tokenized_full"), share=0.02)
 
@@ -49,6 +64,26 @@ def p6_graph_of_words(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.best(distinctive.scores(weights, _n_tables(spark, d)), 10).select("tableid", "tokenized", "weight", "score")
 
 
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "new_tables_tokenized_full"), table(spark, d, "main_tokenized"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).select("field", "tableid", "colid", "rowid")
+
+
+def p7_share_per_source(spark: SparkSession, d: str) -> DataFrame:
+    """Values of each field and source, and how many of them are cut."""
+    t = table(spark, d, "new_tables_tokenized_full").select("id", "source", "title", "context").distinct()
+    n = t.groupBy("source").agg(F.count("title").alias("title"), F.count("context").alias("context"))
+    per = table(spark, d, "main_tokenized").where("term is not null").select("tableid", "colid", "rowid").distinct().groupBy("tableid").agg(F.count("*").alias("n"))
+    terms = per.join(t.select(F.col("id").alias("tableid"), "source").distinct(), "tableid").groupBy("source").agg(F.sum("n").alias("term"))
+    values = n.join(terms, "source", "left").unpivot("source", ["title", "context", "term"], "field", "n_values")
+    cut = _truncated(spark, d).groupBy("field", "source").agg(F.count("*").alias("n_cut"))
+    out = values.join(cut, ["field", "source"], "left").withColumn("n_cut", F.coalesce("n_cut", F.lit(0)))
+    return out.withColumn("share", F.round(F.try_divide("n_cut", "n_values"), 6))
+
+
 def _vocabulary() -> str:
     return os.environ.get("TABWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -83,7 +118,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_kept_per_contributor, p5_found, p5_counts, p6_found, p6_graph_of_words, p8_ids, p8_token_totals, p9_found, p9_clean_corpus, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_membership, p4_found, p4_kept_per_contributor, p5_found, p5_counts, p6_found, p6_graph_of_words, p7_found, p7_share_per_source, p8_ids, p8_token_totals, p9_found, p9_clean_corpus, p10_found, p10_restored)}
 
 _CONTRIBUTOR = r"""select distinct id, regexp_replace(regexp_replace(lower(trim(case when trim(coalesce(domain, '')) <> '' then domain
  else regexp_extract(coalesce(url, ''), '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) end)), '\.+$', ''), '^www\.', '') c,
@@ -91,7 +126,11 @@ _CONTRIBUTOR = r"""select distinct id, regexp_replace(regexp_replace(lower(trim(
 _RANKED = f"select id, c, row_number() over (partition by c order by o desc, q desc, id) > ceil(0.02 * (select count(distinct id) from new_tables_tokenized_full)) over_cap from ({_CONTRIBUTOR})"
 _CELLS = "(select distinct tableid, colid, rowid, term, tokenized from main_tokenized)"
 
+_SETS = "(select tableid, colid, list(distinct tokenized) s from main_tokenized where tokenized <> '' group by all having count(distinct tokenized) >= 8)"
+
 SQL = {
+    "p2_found": f"""with s as {_SETS} select a.tableid tableid_a, a.colid colid_a, b.tableid tableid_b, b.colid colid_b from s a join s b on (a.tableid, a.colid) < (b.tableid, b.colid)
+ and len(b.s) >= 0.6 * len(a.s) and len(a.s) >= 0.6 * len(b.s) where len(list_intersect(a.s, b.s)) >= 0.6 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""",
     "p4_found": f"select id from ({_RANKED}) where over_cap",
     "p4_kept_per_contributor": f"select c contributor, count(*) filter (not over_cap) n_kept, count(*) filter (over_cap) n_dropped from ({_RANKED}) group by c",
     "p5_found": f"""select term, 'rare' mark from {_CELLS} where term is not null group by term having count(*) = 1
