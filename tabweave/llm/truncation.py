@@ -9,13 +9,14 @@
    - Running text is complete if it ends a sentence. A list of words at a limit is cut; elsewhere it is cut if it ends
      in a word that stands nowhere inside a value, or in a blank.
    - A title is complete if its pattern is one that titles away from the limits have (frequent words kept, others
-     blanked, figures by their number of digits) and its last word is one that titles end in. A page title that goes
+     blanked, figures by their number of digits) and its last word is one that titles end in. A pattern that is the
+     beginning of one at least five times as frequent is no pattern of complete titles. A page title that goes
      on where the title stops shows the cut; one that goes on with a separator and a site name shows completeness.
    An ellipsis is taken off first; what remains is judged in the same way, so that an ellipsis behind a complete title
    is no case.
 
-Word and pattern statistics cover all values. What is broadcast has a bound: the frequent words (at most the mean number
-of words / FREQUENT). Cells get their source by a join of length counts per table, and later of the candidates alone.
+Word and pattern statistics cover all values. What is sent has a bound: the frequent words (at most the mean number of
+words / FREQUENT) and the frequent patterns (at most 2,000). Cells get their source by a join of length counts per table, and later of the candidates alone.
 
 Defined cases: null, empty and blank values are no cases; exact repeats count once; a table without a known source
 belongs to the source -1; empty tables give empty results.
@@ -42,6 +43,8 @@ def limits(counts: DataFrame, fdr: float = FDR, width: int = NEIGHBOURS) -> Data
     near = of.rangeBetween(-width, width)
     n0, r0 = F.sum("n").over(near) - F.col("n"), F.sum("risk").over(near) - F.col("risk")
     tested = risk.withColumn("hazard", (n0 + 0.5) / (r0 + 1.0)).withColumn("expected", F.least(F.col("risk") * F.col("hazard"), F.col("risk").cast("double")))
+    # a limit cuts a peak of one length; a favourite length of names has a slope on its left
+    tested = tested.withColumn("beside", F.coalesce(F.max("n").over(of.rangeBetween(-3, -1)), F.lit(0)))
     # the logarithm of Chernoff's bound on P(Poisson(expected) >= n)
     bound = F.when(F.col("n") > F.col("expected"), -(F.col("n") * F.log(F.col("n") / F.col("expected")) - F.col("n") + F.col("expected"))).otherwise(0.0)
     tested = tested.withColumn("log_p", bound)
@@ -50,7 +53,7 @@ def limits(counts: DataFrame, fdr: float = FDR, width: int = NEIGHBOURS) -> Data
     small = small.withColumn("rank", F.row_number().over(Window.orderBy("log_p", "field", "source", "unit", "len")))
     passes = F.when(F.col("log_p") <= F.log(F.lit(fdr) * F.col("rank") / F.col("m")), F.col("rank"))
     last = F.max(passes).over(Window.partitionBy(F.lit(1)))
-    kept = small.withColumn("last", last).where((F.col("rank") <= F.col("last")) & (F.col("n") >= 5) & (F.col("n") >= 3 * F.col("expected")))
+    kept = small.withColumn("last", last).where((F.col("rank") <= F.col("last")) & (F.col("n") >= 5) & (F.col("n") >= 3 * F.col("expected")) & (F.col("n") >= 2.5 * F.col("beside")))
     return kept.select("field", "source", "unit", "len", "n", "expected")
 
 
@@ -90,7 +93,16 @@ def _titles(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFrame
     # at most (mean number of words) / FREQUENT words
     frequent = sorted(r[0] for r in words.where((F.col("field") == "title") & (F.col("n_inner") + F.col("n_last") >= max(2.0, FREQUENT * n))).select("w").collect())
     titles = titles.withColumn("pattern", pattern(F.col("bare"), frequent)).withColumn("w", F.element_at(F.regexp_extract_all("bare", F.lit(_WORD), F.lit(0)), -1 if n else 1))
-    known = titles.where(~F.col("limit") & ~F.col("ellipsis")).groupBy("pattern").agg(F.count("*").alias("n_pattern")).where(F.col("n_pattern") >= max(2.0, 0.0005 * n))
+    seen = titles.where(~F.col("limit") & ~F.col("ellipsis")).groupBy("pattern").agg(F.count("*").alias("n_pattern"))
+    # at most 1 / 0.0005 patterns
+    counts = {r["pattern"]: r["n_pattern"] for r in seen.where(F.col("n_pattern") >= max(2.0, 0.0005 * n)).collect()}
+    whole = sorted(p for p, k in counts.items() if not any(q.startswith(p + " ") and counts[q] >= 5 * k for q in counts))
+    many = F.array(*map(F.lit, whole)) if whole else F.array().cast("array<string>")
+    short = F.regexp_replace("pattern", r" \S+$", "")
+    begins = F.exists(many, lambda q: F.startswith(q, F.concat("pattern", F.lit(" "))) | F.startswith(q, F.concat(short, F.lit(" "))) & (short != F.col("pattern")))
+    known = titles.select("pattern").distinct().withColumn("fits", F.col("pattern").isin(whole)).withColumn("begins", ~F.col("fits") & begins)
+    # a frequent word may stand in the place of any other at the end
+    known = known.withColumn("fits_blank", F.regexp_replace("pattern", r" [^ ]+$", " _").isin(whole) & F.col("pattern").rlike(r" \p{L}+$"))
     ends = words.where("field = 'title'").select("w", "n_inner", "n_last")
     t = titles.join(known, "pattern", "left").join(ends, "w", "left")
     rest = F.expr("substr(page, length(bare) + 1)")
@@ -100,10 +112,10 @@ def _titles(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFrame
     blank_end = F.col("pattern").endswith("_")
     own = F.col("n_last") - F.when(F.col("limit"), 0).otherwise(1)  # a value is no witness for itself
     final = F.coalesce(own >= F.when(F.col("limit"), 3).otherwise(1), F.lit(False)) & (F.col("n_last") * 25 >= F.col("n_inner"))
-    fits = F.col("n_pattern").isNotNull()
+    fits = F.coalesce("fits", F.lit(False)) | F.coalesce("fits_blank", F.lit(False)) & final
     at_limit_cut = ~(fits & (~blank_end | final))
-    with_ellipsis = F.when(F.col("limit"), at_limit_cut).otherwise(~fits | blank_end & (F.col("n_inner") > 10) & ~final)
-    elsewhere = ~fits & ~final & (F.coalesce("n_inner", F.lit(0)) + F.coalesce("n_last", F.lit(0)) > 0) & ~F.col("bare").rlike(r"[.!?)]$")
+    with_ellipsis = F.when(F.col("limit"), at_limit_cut).otherwise(~fits & F.col("begins") | blank_end & (F.col("n_inner") > 10) & ~final)
+    elsewhere = ~fits & F.coalesce("begins", F.lit(False)) & ~F.col("bare").rlike(r"[.!?)]$")
     cut = F.when(goes_on & ~site, True).when(goes_on & site & ~open_end, False).when(open_end, True).when(F.col("ellipsis"), with_ellipsis).when(F.col("limit"), at_limit_cut & ~F.col("bare").rlike(r"[.!?)]$")).otherwise(elsewhere)
     return t.where(cut).select("field", "tableid")
 
