@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.plans.common import written
+
 #: Encodings in which UTF-8 bytes are commonly read by mistake.
 MULTIBYTE = ("cp1252", "mac_roman", "cp437", "cp850", "cp852", "cp1251", "cp866", "koi8_r", "cp1250", "iso8859_2", "cp1254", "iso8859_15", "mac_cyrillic")
 #: (read as, written in): single-byte encodings that are taken for one another.
@@ -56,6 +58,15 @@ _SEQUENCE = f"(?:[\xc2-\xdf]{_TAIL}|\xe0[\xa0-\xbf]{_TAIL}|[\xe1-\xec\xee\xef]{_
 _SPAN = re.compile(f"{_SEQUENCE}+")
 
 
+def _hint(codec: str) -> re.Pattern:
+    """A lead byte before a trail byte, in the characters of codec: a text without one has no span."""
+    of = lambda a, b: "".join(re.escape(chr(c)) for c, x in _MAPS[codec].items() if a <= x <= b)
+    return re.compile(f"[{of(chr(0xC2), chr(0xF4))}][{of(chr(0x80), chr(0xBF))}]")
+
+
+_HINTS = {c: _hint(c) for c in MULTIBYTE}
+
+
 def _used(c: str) -> bool:
     """REPERTOIRE: whether texts use the character."""
     o = ord(c)
@@ -122,6 +133,8 @@ def restore(text: str | None) -> tuple[str, bool, bool]:
     for _ in range(ROUNDS):
         best, weight = [], 0
         for codec in MULTIBYTE:
+            if not _HINTS[codec].search(text):
+                continue
             found = [x for x in spans(text, codec) if not quoted(text, x[0], x[1])]
             w = _weight(text, found, codec)
             if w > weight:
@@ -174,7 +187,7 @@ def _words(documents: DataFrame) -> DataFrame:
 def damaged_words(documents: DataFrame, least: int = 4, times: int = 20) -> tuple[DataFrame, DataFrame]:
     """documents (k, t). The words of all documents, and (w, original) of the words that are another word misread: the
     original is in at least `least` documents and `times` as many as the word."""
-    words = _words(documents)
+    words = written(_words(documents), "words")
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
