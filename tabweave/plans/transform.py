@@ -707,13 +707,13 @@ def fds(spark, d):
     return spark.createDataFrame([(",".join(x), a) for x, a in found], "x string, a string")
 
 
-_LC = ["l_orderkey", "l_linenumber", "l_returnflag"]
+_KC = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
 
 
-@query("select 'l_orderkey,l_linenumber' key where (select count(distinct (l_orderkey, l_linenumber)) = count(*) from lineitem)")
+@query(" union all ".join(f"select '{c}' as \"key\" where (select count(distinct {c}) = count(*) from customer)" for c in _KC) + " union all select 'c_mktsegment,c_nationkey' where (select count(distinct (c_mktsegment, c_nationkey)) = count(*) from customer)")
 def candidate_keys(spark, d):
-    keys = fd.candidate_keys(table(spark, d, "lineitem"), _LC, 2)
-    return spark.createDataFrame([(",".join(k),) for k in keys], "key string")
+    keys = fd.candidate_keys(table(spark, d, "customer"), _KC, 2)
+    return spark.createDataFrame([(",".join(sorted(k)),) for k in keys], "key string")
 
 
 _DEP = """, cn as (select tableid, colid, rowid, coalesce(tokenized, 'NULL') v from (select distinct tableid, colid, rowid, tokenized from cells)),
