@@ -4,6 +4,7 @@
    least that long that end there; window functions give the values at risk and the pooled hazard of the neighbouring
    lengths. A length is a limit if its count is too large for the neighbours' hazard (Poisson bound) with the false
    discovery rate held at FDR over all lengths of all fields (Benjamini-Hochberg).
+   Cells have lengths that their format fixes; a limit of cells must also end most of the cells that reach it.
 2. Incomplete endings. A value at a limit is cut unless its ending is complete; a value elsewhere is cut only if its
    ending is plainly not one.
    - Running text is complete if it ends a sentence. A list of words at a limit is cut; elsewhere it is cut if it ends
@@ -37,13 +38,16 @@ _WORD = r"[\p{L}\p{N}]+"
 
 
 def limits(counts: DataFrame, fdr: float = FDR, width: int = NEIGHBOURS) -> DataFrame:
-    """counts: (field, source, unit, len, n). (field, source, unit, len, n, expected) of the significant lengths."""
+    """counts: (field, source, unit, len, n). (field, source, unit, len, n, expected, longer) of the significant lengths;
+    longer: the values that go on beyond."""
     of = Window.partitionBy("field", "source", "unit").orderBy("len")
     risk = counts.withColumn("risk", F.sum("n").over(Window.partitionBy("field", "source", "unit").orderBy(F.col("len").desc())))
     near = of.rangeBetween(-width, width)
-    n0, r0 = F.sum("n").over(near) - F.col("n"), F.sum("risk").over(near) - F.col("risk")
+    # a shorter length that no value has was passed by all values at risk here
+    absent = F.greatest(F.least(F.lit(width), F.col("len") - 1) - F.count("*").over(of.rangeBetween(-width, -1)), F.lit(0))
+    n0, r0 = F.sum("n").over(near) - F.col("n"), F.sum("risk").over(near) - F.col("risk") + absent * F.col("risk")
     tested = risk.withColumn("hazard", (n0 + 0.5) / (r0 + 1.0)).withColumn("expected", F.least(F.col("risk") * F.col("hazard"), F.col("risk").cast("double")))
-    # a limit cuts a peak of one length; a favourite length of names has a slope on its left
+    # a limit makes a peak of one length that few values pass; a favourite length of names has a slope on its left
     tested = tested.withColumn("beside", F.coalesce(F.max("n").over(of.rangeBetween(-3, -1)), F.lit(0)))
     # the logarithm of Chernoff's bound on P(Poisson(expected) >= n)
     bound = F.when(F.col("n") > F.col("expected"), -(F.col("n") * F.log(F.col("n") / F.col("expected")) - F.col("n") + F.col("expected"))).otherwise(0.0)
@@ -53,8 +57,8 @@ def limits(counts: DataFrame, fdr: float = FDR, width: int = NEIGHBOURS) -> Data
     small = small.withColumn("rank", F.row_number().over(Window.orderBy("log_p", "field", "source", "unit", "len")))
     passes = F.when(F.col("log_p") <= F.log(F.lit(fdr) * F.col("rank") / F.col("m")), F.col("rank"))
     last = F.max(passes).over(Window.partitionBy(F.lit(1)))
-    kept = small.withColumn("last", last).where((F.col("rank") <= F.col("last")) & (F.col("n") >= 5) & (F.col("n") >= 3 * F.col("expected")) & (F.col("n") >= 2.5 * F.col("beside")))
-    return kept.select("field", "source", "unit", "len", "n", "expected")
+    kept = small.withColumn("last", last).where((F.col("rank") <= F.col("last")) & (F.col("n") >= 5) & (F.col("n") >= 3 * F.col("expected")) & (F.col("n") >= 2.5 * F.col("beside")) & (2 * F.col("n") >= F.col("risk") - F.col("n")))
+    return kept.select("field", "source", "unit", "len", "n", "expected", (F.col("risk") - F.col("n")).alias("longer"))
 
 
 def _lengths(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -149,7 +153,8 @@ def truncated(tables: DataFrame, cells: DataFrame) -> DataFrame:
     whole = _titles(rows, at_limit, words).unionByName(_contexts(rows, at_limit, words)).distinct()
     whole = whole.join(source, "tableid", "left").select("field", "tableid", F.lit(-1).alias("colid"), F.lit(-1).alias("rowid"), "source")
 
-    of_term = found.where("field = 'term'").select("source", "unit", "len")
+    # formats give cells of one length, too (dates, codes); a limit of the load has hardly any cell beyond it
+    of_term = found.where("field = 'term' and n >= 2 * longer").select("source", "unit", "len")
     some = cells.where("term is not null").select("tableid", "colid", "rowid", F.length("term").alias("chars"), F.octet_length("term").alias("bytes"))
     near = some.join(of_term.where("unit = 'chars'").select(F.col("len").alias("chars")).distinct(), "chars", "left_semi").distinct().join(source, "tableid", "left").withColumn("source", F.coalesce("source", F.lit(-1)))
     cut = near.join(of_term.where("unit = 'chars'").select("source", F.col("len").alias("chars")), ["source", "chars"], "left_semi")
