@@ -13,6 +13,7 @@
      blanked, figures by their number of digits) and its last word is one that titles end in. A pattern that is the
      beginning of one at least five times as frequent is no pattern of complete titles. A page title that goes
      on where the title stops shows the cut; one that goes on with a separator and a site name shows completeness.
+   - A cell at a limit is cut. Elsewhere it is if the same cell in the table's stored content goes on.
    An ellipsis is taken off first; what remains is judged in the same way, so that an ellipsis behind a complete title
    is no case.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.operators import nested
 from tabweave.plans.common import written
 
 FDR = 0.001
@@ -158,4 +160,15 @@ def truncated(tables: DataFrame, cells: DataFrame) -> DataFrame:
     some = cells.where("term is not null").select("tableid", "colid", "rowid", F.length("term").alias("chars"), F.octet_length("term").alias("bytes"))
     near = some.join(of_term.where("unit = 'chars'").select(F.col("len").alias("chars")).distinct(), "chars", "left_semi").distinct().join(source, "tableid", "left").withColumn("source", F.coalesce("source", F.lit(-1)))
     cut = near.join(of_term.where("unit = 'chars'").select("source", F.col("len").alias("chars")), ["source", "chars"], "left_semi")
+    cut = cut.select("tableid", "colid", "rowid", "source").unionByName(continued(tables, cells).join(source, "tableid", "left").select("tableid", "colid", "rowid", "source")).distinct()
     return whole.unionByName(cut.select(F.lit("term").alias("field"), "tableid", "colid", "rowid", "source"))
+
+
+def continued(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """(tableid, colid, rowid) of the cells whose term stops where the same cell of the stored table goes on in a letter
+    or figure: cut in mid-transfer, away from any limit."""
+    shown = nested.nodes(tables.select("id", "content"), structure=False).where("role = 'cell' and text_value is not null")
+    shown = shown.select(F.col("id").alias("tableid"), F.col("cell_pos").alias("colid"), F.col("tuple_pos").alias("rowid"), "text_value")
+    own = cells.where("trim(term) <> ''").select("tableid", "colid", "rowid", "term")
+    rest = F.expr("substr(text_value, length(term) + 1)")
+    return own.join(shown, ["tableid", "colid", "rowid"]).where(F.startswith("text_value", "term") & rest.rlike(r"^\s*[\p{L}\p{N}]")).select("tableid", "colid", "rowid")
