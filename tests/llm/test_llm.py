@@ -270,7 +270,7 @@ def test_cases_and_words(spark):
 
 # truncation
 
-TABLES = "id long, title string, context string, pagetitle string, source int, bare string"
+TABLES = "id long, title string, context string, pagetitle string, source int, content string, bare string"
 
 
 def test_limits_are_found(spark):
@@ -296,14 +296,15 @@ def test_truncated(spark):
                 context = context[:200]
                 if not context.endswith("."):
                     cut.add(("context", i))
-        rows.append((i, title, context, None, src, "x"))
-    rows += rows[:20] + [(1000, None, " ", None, None, None), (1001, "", None, "", 1, "")]
+        rows.append((i, title, context, None, src, "{" if i % 5 else None, "x"))
+    rows += rows[:20] + [(1000, None, " ", None, None, None, None), (1001, "", None, "", 1, '{"tuples":[{"cells":[{"value":"Levabizes"},{"value":"Mini*"},{"value":7}]}]}', "")]
     cells = [(i, 0, k, " ".join(r.choices(nouns, k=9))[: 40 if i % 2 else 100][: r.randrange(5, 80) if k % 2 else 200], "t", 1, 1) for i in range(0, 600, 3) for k in range(6)]
+    cells += [(1001, 0, 0, "Levab", "t", 1, 1), (1001, 1, 0, "Mini", "t", 1, 1), (1001, 2, 0, "7", "t", 1, 1)]
     got = truncation.truncated(spark.createDataFrame(rows, TABLES), spark.createDataFrame(cells + cells[:50], CELLS)).collect()
     whole = {(x["field"], x["tableid"]) for x in got if x["field"] != "term"}
     assert len(whole & cut) >= 0.98 * len(cut) and len(whole - cut) <= 0.02 * len(cut)
     terms = {(x["tableid"], x["colid"], x["rowid"]) for x in got if x["field"] == "term"}
-    want = {x[:3] for x in cells if x[0] % 2 and len(x[3]) == 40}
+    want = {x[:3] for x in cells if x[0] % 2 and len(x[3]) == 40} | {(1001, 0, 0)}
     assert terms == want and len(got) == len(set(got))
 
 
