@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.plans.common import written
+
 
 def postings(terms: DataFrame, most: int = 1000) -> DataFrame:
     """terms (field, tok, tableid). (field, tok, tableid): lists of more than one table, the first `most` ids of each.
@@ -15,12 +17,18 @@ def postings(terms: DataFrame, most: int = 1000) -> DataFrame:
     return top.join(top.where("i = 2").select("field", "tok"), ["field", "tok"], "left_semi").select("field", "tok", "tableid")
 
 
-def join_graph(lists: DataFrame, at_most: int = 50) -> DataFrame:
-    """(a, b), a < b: tables that share a term whose list has at most `at_most` tables. Longer lists say little about
-    joinability and are the business of the similarity join."""
-    n = F.count("*").over(Window.partitionBy("field", "tok"))
-    short = lists.withColumn("n", n).where(F.col("n") <= at_most).select("field", "tok", "tableid")
-    return short.withColumnRenamed("tableid", "a").join(short.withColumnRenamed("tableid", "b"), ["field", "tok"]).where("a < b").select("a", "b").distinct()
+def join_graph(lists: DataFrame) -> DataFrame:
+    """(a, b), a < b: tables that share a term, from lists of any length. Tables with equal sets of terms form one class
+    (named by its smallest table); only classes are joined on terms, and their links are expanded to tables at the end, so
+    that no pair is built once per shared term."""
+    lists = written(lists.distinct(), "lists")
+    sets = lists.groupBy("tableid").agg(F.array_sort(F.collect_list(F.struct("field", "tok"))).alias("terms"))
+    members = written(sets.select(F.min("tableid").over(Window.partitionBy("terms")).alias("c"), F.col("tableid").alias("r")), "members")
+    one = lists.join(members.where("c = r").select(F.col("r").alias("tableid")), "tableid", "left_semi")
+    links = one.withColumnRenamed("tableid", "x").join(one.withColumnRenamed("tableid", "y"), ["field", "tok"]).where("x < y").select("x", "y").distinct()
+    across = links.join(members.withColumnsRenamed({"c": "x", "r": "a"}), "x").join(members.withColumnsRenamed({"c": "y", "r": "b"}), "y").select("a", "b")
+    within = members.withColumnRenamed("r", "a").join(members.withColumnRenamed("r", "b"), "c").where("a < b").select("a", "b")
+    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within)
 
 
 def inverted_index(cells: DataFrame) -> DataFrame:

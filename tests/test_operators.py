@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tabweave.functions import text
-from tabweave.operators import em, evaluate, fd, forms, lookup, match, score, strings
+from tabweave.operators import em, evaluate, fd, forms, graph, lookup, match, score, strings
 from tabweave.sources import corpus
 
 
@@ -93,3 +93,12 @@ def test_unpivot_numbers_rows(spark):
     df = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "k int, s string")
     cells = corpus.unpivot(df, 9, ["k"])
     assert {(r["rowid"], r["term"]) for r in cells.where("colid = 0").collect()} == {(i, str(i)) for i in range(50)}
+
+
+def test_join_graph_of_long_lists(spark):
+    sets = {t: {"all"} | {f"h{t % 3}"} | ({"few"} if t in (7, 8) else set()) for t in range(60)} | {100: {"rare"}, 101: {"rare"}, 102: {"own"}}
+    rows = [("header", w, t) for t, ws in sets.items() for w in ws] * 2
+    lists = graph.postings(spark.createDataFrame(rows, "field string, tok string, tableid long"))
+    got = [tuple(x) for x in graph.join_graph(lists).select("a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert graph.join_graph(lists.limit(0)).count() == 0
