@@ -13,6 +13,8 @@
      blanked, figures by their number of digits) and its last word is one that titles end in. A pattern that is the
      beginning of one at least five times as frequent is no pattern of complete titles. A page title that goes
      on where the title stops shows the cut; one that goes on with a separator and a site name shows completeness.
+     A last word that stands nowhere inside a title and is the beginning of a word at least five times as frequent as
+     that ending (in at least LONGER of the titles) is broken off, whatever the pattern.
    - A cell at a limit is cut. Elsewhere it is if the same cell in the table's stored content goes on.
    An ellipsis is taken off first; what remains is judged in the same way, so that an ellipsis behind a complete title
    is no case.
@@ -35,6 +37,7 @@ from tabweave.plans.common import written
 FDR = 0.001
 NEIGHBOURS = 12
 FREQUENT = 0.04
+LONGER = 0.002
 _ELLIPSIS = r"\s*(…|\.\.\.)\s*$"
 _WORD = r"[\p{L}\p{N}]+"
 
@@ -110,6 +113,10 @@ def _titles(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFrame
     # a frequent word may stand in the place of any other at the end
     known = known.withColumn("fits_blank", F.regexp_replace("pattern", r" [^ ]+$", " _").isin(whole) & F.col("pattern").rlike(r" \p{L}+$"))
     ends = words.where("field = 'title'").select("w", "n_inner", "n_last")
+    # at most (mean number of words) / LONGER words, each with its beginnings
+    long = words.where((F.col("field") == "title") & (F.col("n_inner") + F.col("n_last") >= max(5.0, LONGER * n)) & (F.length("w") > 1))
+    heads = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substr("w", F.lit(1), i)))
+    ends = ends.join(long.select(heads.alias("w"), (F.col("n_inner") + F.col("n_last")).alias("longer")).groupBy("w").agg(F.max("longer").alias("longer")), "w", "left")
     t = titles.join(known, "pattern", "left").join(ends, "w", "left")
     rest = F.expr("substr(page, length(bare) + 1)")
     goes_on = F.col("page").startswith(F.col("bare")) & (F.length(rest) > 0)
@@ -121,7 +128,8 @@ def _titles(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFrame
     fits = F.coalesce("fits", F.lit(False)) | F.coalesce("fits_blank", F.lit(False)) & final
     at_limit_cut = ~(fits & (~blank_end | final))
     with_ellipsis = F.when(F.col("limit"), at_limit_cut).otherwise(~fits & F.col("begins") | blank_end & (F.col("n_inner") > 10) & ~final)
-    elsewhere = ~fits & F.coalesce("begins", F.lit(False)) & ~F.col("bare").rlike(r"[.!?)]$")
+    broken = F.col("w").rlike(r"^\p{L}+$") & F.endswith("bare", "w") & (F.col("n_inner") == 0) & (F.col("longer") >= 5 * F.col("n_last"))
+    elsewhere = ~fits & F.coalesce("begins", F.lit(False)) & ~F.col("bare").rlike(r"[.!?)]$") | F.coalesce(broken, F.lit(False))
     cut = F.when(goes_on & ~site, True).when(goes_on & site & ~open_end, False).when(open_end, True).when(F.col("ellipsis"), with_ellipsis).when(F.col("limit"), at_limit_cut & ~F.col("bare").rlike(r"[.!?)]$")).otherwise(elsewhere)
     return t.where(cut).select("field", "tableid")
 

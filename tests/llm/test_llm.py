@@ -308,6 +308,17 @@ def test_truncated(spark):
     assert terms == want and len(got) == len(set(got))
 
 
+def test_titles_broken_off_in_a_word_of_a_fitting_pattern(spark):
+    r = random.Random(8)
+    nouns = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(5)) for _ in range(100)] + ["table", "tablets"]
+    titles = [f"{r.choice(nouns).title()} of the {r.choice(nouns)} and {nouns[i % 102]}" for i in range(1200)]
+    cut = {5, 120, 333, 700, 908}
+    titles = [t[: -r.randrange(2, 6)] if i in cut else t for i, t in enumerate(titles)]
+    rows = [(i, t, None, None, 1, None, "x") for i, t in enumerate(titles)]
+    got = truncation.truncated(spark.createDataFrame(rows, TABLES), spark.createDataFrame([], CELLS)).collect()
+    assert {(x["field"], x["tableid"]) for x in got} == {("title", i) for i in cut}
+
+
 def test_truncated_of_nothing(spark):
     assert truncation.truncated(spark.createDataFrame([], TABLES), spark.createDataFrame([], CELLS)).count() == 0
 
