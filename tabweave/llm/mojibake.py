@@ -3,7 +3,8 @@
 Multibyte damage. For each legacy encoding, every character that it can hold is mapped back to its byte, and the
 byte-structure automaton of UTF-8 runs over these bytes. It finds the maximal well-formed multibyte spans; only those
 spans are decoded, the rest of the text is left as it is. A span counts if it decodes to letters or marks that texts use
-(REPERTOIRE); damage on damage is undone in further rounds. The encoding whose spans restore most characters wins.
+(REPERTOIRE), or to characters that are damage themselves and come to such letters in the end; damage on damage is undone
+in further rounds, until none is left. The encoding whose spans restore most characters wins.
 
 Single-byte damage (one legacy encoding read as another) has no multibyte structure. The same map back to bytes is
 applied to each word with a non-ASCII character: its bytes are decoded by each other encoding of its family, and the
@@ -34,7 +35,6 @@ MULTIBYTE = ("cp1252", "mac_roman", "cp437", "cp850", "cp852", "cp1251", "cp866"
 #: (read as, written in): single-byte encodings that are taken for one another.
 SINGLE = tuple((a, b) for family in (("cp1252", "mac_roman", "cp437", "cp850"), ("cp1250", "iso8859_2", "cp852", "cp1252", "mac_latin2"), ("cp1254", "cp1252", "cp857"), ("cp1251", "koi8_r", "cp866", "iso8859_5", "cp1252", "mac_roman", "mac_cyrillic", "cp437")) for a in family for b in family if a != b)
 CYRILLIC = ("cp1251", "cp866", "koi8_r", "mac_cyrillic")
-ROUNDS = 3
 LOST = "�"
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 
@@ -78,15 +78,29 @@ def _in_word(text: str, a: int, b: int, new: str) -> bool:
     return "Ѐ" <= text[a - 1 : a] <= "џ" or "Ѐ" <= text[b : b + 1] <= "џ" or any(c > "џ" and not "‐" <= c <= "™" for c in new)
 
 
+def _settles(new: str) -> bool:
+    """Whether texts use all characters of new, or those they don't use lie in well-formed spans of one encoding that settle."""
+    odd = {i for i, c in enumerate(new) if not _used(c)}
+    if not odd:
+        return True
+    for codec in MULTIBYTE:
+        if _HINTS[codec].search(new):
+            raw = "".join([_MAPS[codec].get(ord(c), "Ā") for c in new])
+            found = [s for s in _SPAN.finditer(raw) if odd & set(range(*s.span()))]
+            if odd <= {i for s in found for i in range(*s.span())} and all(_settles(s.group().encode("latin-1").decode("utf-8")) for s in found):
+                return True
+    return False
+
+
 def spans(text: str, codec: str) -> list[tuple[int, int, str]]:
-    """(start, end, decoded) of the maximal well-formed multibyte spans that decode to used characters."""
+    """(start, end, decoded) of the maximal well-formed multibyte spans that decode to used characters, at once or in the end."""
     table, out = _MAPS[codec], []
     for m in _NON_ASCII.finditer(text):
         # characters that the encoding lacks become U+0100, which no path of the automaton accepts
         raw = "".join([table.get(ord(c), "Ā") for c in m.group()])
         for s in _SPAN.finditer(raw):
             new = s.group().encode("latin-1").decode("utf-8")
-            if all(map(_used, new)) and not (codec in CYRILLIC and _in_word(text, m.start() + s.start(), m.start() + s.end(), new)):
+            if _settles(new) and not (codec in CYRILLIC and _in_word(text, m.start() + s.start(), m.start() + s.end(), new)):
                 out.append((m.start() + s.start(), m.start() + s.end(), new))
     return out
 
@@ -130,7 +144,7 @@ def restore(text: str | None) -> tuple[str, bool, bool]:
         return text or "", False, False
     lost = any(not quoted(text, m.start(), m.end()) for m in re.finditer(LOST, text))
     damaged = False
-    for _ in range(ROUNDS):
+    while True:  # each round makes the text shorter
         best, weight = [], 0
         for codec in MULTIBYTE:
             if not _HINTS[codec].search(text):

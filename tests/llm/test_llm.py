@@ -251,6 +251,16 @@ def test_round_trip(codec, text):
     assert damaged and not lost and text in got
 
 
+@pytest.mark.parametrize("times", [2, 3, 4])
+@pytest.mark.parametrize("text", ["редкая ячейка пишущая слова", "the editor’s “total”", "Größe répétée"])
+def test_damage_on_damage(text, times):
+    table = {b: c for c, b in mojibake._MAPS["cp1252"].items()}
+    wrong = text
+    for _ in range(times):
+        wrong = "".join(chr(b) if b < 128 else chr(table[chr(b)]) for b in wrong.encode())
+    assert mojibake.restore(f"Some words. {wrong} and more.") == (f"Some words. {text} and more.", True, False)
+
+
 def test_whole_texts_are_left_alone():
     for t in ("", None, "plain", "SITUAÇÃO DE SÃO", "показывает значений школа", "«été» – l’école “Österreich”", "Größe ß Ähnlichkeit", "東海表 🙂 αβγ", 'A cell such as "BrÃ¼cke" is a sign.', "shows “Ã©” and “â€™” here"):
         got, damaged, lost = mojibake.restore(t)
