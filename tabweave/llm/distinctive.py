@@ -5,8 +5,9 @@ score = weight x ln(records / records with the value), where the weight is eithe
              joins two different values that stand fewer than `window` places apart in one column of the record; or
   frequency  the number of the record's cells with the value.
 
-Columns are read in blocks of BLOCK rows with the next window - 1 rows repeated, so that no task has to hold a whole
-column of a dominant table.
+The non-empty cells of a column are numbered and read in blocks of BLOCK with the next window - 1 cells repeated, so that
+no task has to hold a whole column of a dominant table. They are numbered within runs of BLOCK rowids, to which the sizes
+of all earlier runs are added.
 
 Defined cases: exact repeats of a row count once; null and empty values have no score and stand in no window; ties in
 the score go to the smaller value in byte order; a value alone in its record has degree 0. Scores are rounded to 6
@@ -34,10 +35,15 @@ def frequencies(cells: DataFrame) -> DataFrame:
 
 def degrees(cells: DataFrame, window: int = 4) -> DataFrame:
     """(tableid, tokenized, weight): distinct neighbours of the value in the record."""
-    own = F.floor(F.col("rowid") / BLOCK)
-    back = F.when((F.pmod("rowid", F.lit(BLOCK)) < window - 1) & (F.col("rowid") >= BLOCK), own - 1)
-    rows = _distinct(cells).where("tokenized <> ''").select("tableid", "colid", "rowid", "tokenized", F.explode(F.array_compact(F.array(own, back))).alias("block"))
-    order = Window.partitionBy("tableid", "colid", "block").orderBy("rowid", "tokenized")
+    rows = _distinct(cells).where("tokenized <> ''").select("tableid", "colid", "rowid", "tokenized", F.floor(F.col("rowid") / BLOCK).alias("run"))
+    sizes = rows.groupBy("tableid", "colid", "run").agg(F.count("*").alias("k"))
+    before = (F.sum("k").over(Window.partitionBy("tableid", "colid").orderBy("run")) - F.col("k")).alias("before")
+    inside = F.row_number().over(Window.partitionBy("tableid", "colid", "run").orderBy("rowid", "tokenized"))
+    rows = rows.join(sizes.select("tableid", "colid", "run", before), ["tableid", "colid", "run"]).withColumn("p", F.col("before") + inside - 1)
+    own = F.floor(F.col("p") / BLOCK)
+    back = F.when((F.pmod("p", F.lit(BLOCK)) < window - 1) & (F.col("p") >= BLOCK), own - 1)
+    rows = rows.select("tableid", "colid", "p", "tokenized", F.explode(F.array_compact(F.array(own, back))).alias("block"))
+    order = Window.partitionBy("tableid", "colid", "block").orderBy("p")
     ahead = F.array(*(F.lead("tokenized", i).over(order) for i in range(1, window)))
     near = rows.withColumn("near", ahead).select("tableid", "tokenized", F.explode_outer("near").alias("other"))
     both = F.explode(F.array(F.struct(F.col("tokenized").alias("a"), F.col("other").alias("b")), F.struct(F.col("other").alias("a"), F.col("tokenized").alias("b"))))

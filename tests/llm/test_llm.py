@@ -157,6 +157,26 @@ def test_distinctiveness(spark, monkeypatch, block):
     assert distinctive.degrees(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 15, 64, 8])
+def test_degrees_across_blocks_with_blank_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(distinctive, "BLOCK", block)
+    r = random.Random(9)
+    rows = [(t, c, i, v, v, 1, 2) for t in (1, 2) for c in (0, 1) for i in range(300) if i % 11 for v in [r.choice(["", "", None, *(f"w{k}" for k in range(90))] if i % 64 > 6 else ["", None, "w1"])]]
+    columns, near = defaultdict(list), defaultdict(set)
+    for t, c, _, _, v, *_ in rows:
+        if v:
+            columns[t, c].append(v)
+            near[t, v]
+    for (t, _), vs in columns.items():
+        for i, a in enumerate(vs):
+            for b in vs[i + 1 : i + 4]:
+                if a != b:
+                    near[t, a].add(b)
+                    near[t, b].add(a)
+    got = {(x["tableid"], x["tokenized"]): x["weight"] for x in distinctive.degrees(spark.createDataFrame(rows, CELLS)).collect()}
+    assert got == {k: len(x) for k, x in near.items()}
+
+
 # encoding
 
 
