@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: The default English stop words of the analyser whose token form the corpus uses.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
-#: Patterns of the semantic types, tried in this order.
+#: Patterns of the semantic types, tried in this order on the whole cell; those of the corpus, as they are.
 TYPES = {
-    "NUMBER": r"^[+-]?\d+([.,]\d+)*%?$",
-    "DATE": r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$",
-    "CURRENCY": r"^([$€£]\s?\d+([.,]\d+)*|\d+([.,]\d+)*\s?([$€£]|EUR|USD))$",
+    "NUMBER": r"^(\s|&nbsp;)*-?(\s|&nbsp;)*([0-9]+(\.[0-9]+)?|[0]*\.[0-9]+)((\s|&nbsp;)?%)?(\s|&nbsp;)*$",
+    "DATE": r"^(\s|&nbsp;)*[0-3]?[0-9](-|/|.)[0-3]?[0-9](-|/|.)([0-9]{2})?[0-9]{2}(\s|&nbsp;)*$",
+    "CURRENCY": r"^(\s|&nbsp;)*(\$|€|EUR|USD|CAD|C\$)( )?\d+ | \d+( )?(\$|€|EUR|USD|CAD|C\$)(\s|&nbsp;)*$",
 }
 TOKEN = r"[\p{L}\p{N}_]+"
 MAX_TERM = 100
@@ -64,5 +64,5 @@ def infer_type(c: Column) -> Column:
     any_value = F.count(c) > 0
     out = F.when(~any_value, None)
     for name, pattern in TYPES.items():
-        out = out.when(F.bool_and(F.coalesce(c.rlike(pattern), F.lit(True))), name)
+        out = out.when(F.bool_and(F.coalesce(c.rlike(rf"\A(?:{pattern})\z"), F.lit(True))), name)
     return out.otherwise("STRING")

@@ -6,10 +6,13 @@ and survives the loss of executors; the driver sees two numbers per round.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.operators import score
+from tabweave.operators import score, search
 from tabweave.plans.common import written
 
 
@@ -46,6 +49,53 @@ def run(ans: DataFrame, fixed: DataFrame, tables: DataFrame, most: int = 100, ep
     return ratings, examples, most
 
 
+@dataclass
+class Induced:
+    """The state of the loop: accepted evidence, ratings, examples with the answers found, rounds, and whether it settled."""
+
+    evidence: DataFrame
+    ratings: DataFrame
+    examples: DataFrame
+    rounds: int
+    settled: bool
+
+
+def induce(cells: DataFrame, keys: DataFrame, fixed: DataFrame, tables_of: Callable[[DataFrame], DataFrame], least: int = 2, quality: float | None = 0.3, searches: int = 3, most: int = 100, asked: int = 50, eps: float = 1e-5, method: str = "functional", new_keys: bool = False) -> Induced:
+    """The inductive loop. cells: the corpus without the query table; keys (k): the input; fixed (k, v, score): the user's
+    examples; tables_of(evidence): (mid, prior, schema) of its tables.
+
+    Each round searches for tables with the `asked` best examples known so far (the user's and the answers found), leaves
+    out tables seen before, accepts those that pass the assessment against the user's examples, adds what they say of the
+    input keys to the evidence, rates all tables and scores all answers. Searching stops after `searches` rounds or when a
+    search brings no new key; the loop ends when the scores then settle, or after `most` rounds.
+    """
+    spark = cells.sparkSession
+    evidence = spark.createDataFrame([], "mid string, k string, v string")
+    seen = spark.createDataFrame([], "tableid long, x_col int, y_col int")
+    examples = ratings = fixed.select("k", "v", "score")
+    n_keys, searching, tables = 0, True, None
+    for i in range(1, most + 1):
+        if searching:
+            e = search.policy_certain(examples.select(F.col("k").alias("x"), F.col("v").alias("y"), "score"), "pairs", asked)
+            e = spark.createDataFrame(e.collect(), e.schema)  # `asked` rows at most
+            found = search.find_tables(cells, e.select(F.col("x").alias("tokenized")), e.select(F.col("y").alias("tokenized")), least)
+            found = written(found.join(seen, ["tableid", "x_col", "y_col"], "left_anti"), "found")
+            seen = seen.unionByName(found)
+            said = written(score.answers(score.table_map(cells, found)), "said")
+            evidence = written(evidence.unionByName(score.accepted(said, fixed, keys, least, quality, new_keys)).distinct(), "evidence")
+            tables = written(tables_of(evidence), "tables")
+            n = evidence.select("k").distinct().count()
+            searching, n_keys = i < searches and n > n_keys, n
+        ratings, new = step(evidence, examples, tables, fixed, method)
+        new = written(new, "examples")
+        both = new.join(examples.withColumnRenamed("score", "old"), ["k", "v"], "full")
+        change = both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+        examples = new
+        if not searching and change < eps:
+            return Induced(evidence, ratings, examples, i, True)
+    return Induced(evidence, ratings, examples, most, False)
+
+
 def latent_truth(ans: DataFrame, sweeps: int = 20, seed: int = 7) -> DataFrame:
     """(k, v, truth): collapsed Gibbs sampling of the truth of each claim, with sensitivity Beta(50, 50) and false claims
     Beta(10, 1000). Keys that share no mapping are independent, but a key's claims depend on the counts of all mappings:

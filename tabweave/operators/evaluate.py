@@ -13,9 +13,11 @@ def make_input(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     return rows.join(F.broadcast(first), "rowid", "left").select("rowid", "k", F.when(F.col("given"), F.col("v")).alias("v"))
 
 
-def precision_recall(found: DataFrame, truth: DataFrame, n_examples: int = 0, indirect: bool = False, ignore_case: bool = False) -> DataFrame:
+def precision_recall(found: DataFrame, truth: DataFrame, n_examples: int = 0, indirect: bool = False, ignore_case: bool = False, blank_is_none: bool = False) -> DataFrame:
     """found, truth (k, v). (correct, answered, total, precision, recall). Given examples don't count: they are taken off
     the correct answers and, but for the indirect form, off the total."""
+    if blank_is_none:
+        found = found.where("v <> ''")
     a, b = F.col("f.v"), F.col("t.v")
     same = F.lower(a) == F.lower(b) if ignore_case else a == b
     j = truth.alias("t").join(found.alias("f"), "k", "left").agg(F.count_if(F.coalesce(same, F.lit(False))).alias("c"), F.count(a).alias("a"), F.count("*").alias("t"))

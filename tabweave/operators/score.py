@@ -13,12 +13,20 @@ ALPHA = 0.99
 
 
 def table_map(cells: DataFrame, matches: DataFrame) -> DataFrame:
-    """matches (tableid, x_col, y_col). (tableid, x_col, y_col, k, v, n): the pairs of the matched columns, by row."""
-    c = cells.where("tokenized <> ''").select("tableid", "colid", "rowid", "tokenized").distinct()
+    """matches (tableid, x_col, y_col). (tableid, x_col, y_col, k, v, n): the pairs of the matched columns, by row. Only the
+    cells of matched columns are made distinct and shuffled."""
+    return row_values(cells, matches).groupBy("tableid", "x_col", "y_col", "k", "v").agg(F.count("*").alias("n"))
+
+
+def row_values(cells: DataFrame, matches: DataFrame) -> DataFrame:
+    """(tableid, rowid, k, v): the rows of matched columns."""
+    from tabweave.operators.search import small
+
     m = matches.select("tableid", "x_col", "y_col").distinct()
-    x = c.withColumnsRenamed({"colid": "x_col", "tokenized": "k"}).join(m, ["tableid", "x_col"])
-    y = c.withColumnsRenamed({"colid": "y_col", "tokenized": "v"}).join(m.select("tableid", "y_col").distinct(), ["tableid", "y_col"])
-    return x.join(y, ["tableid", "rowid", "y_col"]).groupBy("tableid", "x_col", "y_col", "k", "v").agg(F.count("*").alias("n"))
+    wanted = small(m.select("tableid", F.explode(F.array("x_col", "y_col")).alias("colid")).distinct())
+    c = cells.where("tokenized <> ''").select("tableid", "colid", "rowid", "tokenized").join(wanted, ["tableid", "colid"], "left_semi").distinct()
+    x = c.withColumnsRenamed({"colid": "x_col", "tokenized": "k"}).join(small(m), ["tableid", "x_col"])
+    return x.join(c.withColumnsRenamed({"colid": "y_col", "tokenized": "v"}), ["tableid", "rowid", "y_col"]).select("tableid", "rowid", "x_col", "y_col", "k", "v")
 
 
 def answers(mapped: DataFrame) -> DataFrame:
@@ -26,6 +34,22 @@ def answers(mapped: DataFrame) -> DataFrame:
     return mapped.select(F.concat_ws(":", "tableid", "x_col", "y_col").alias("mid"), "k", "v").distinct()
 
 
+def named(mids: DataFrame) -> DataFrame:
+    """mids (mid). (mid, tableid, x_col, y_col): what a mapping id stands for."""
+    p = F.split("mid", ":")
+    return mids.select("mid", p[0].cast("long").alias("tableid"), p[1].cast("int").alias("x_col"), p[2].cast("int").alias("y_col"))
+
+
+def accepted(found: DataFrame, examples: DataFrame, keys: DataFrame, least: int, quality: float | None = 0.3, new_keys: bool = False) -> DataFrame:
+    """found (mid, k, v): what candidate tables say. The pairs of those that pass the assessment, for the input keys only
+    unless new_keys."""
+    from tabweave.operators.search import small
+
+    ok = assess(check(found, examples), least, quality).select("mid")
+    out = found.join(small(ok), "mid", "left_semi")
+    return (out if new_keys else out.join(small(keys.select("k").distinct()), "k", "left_semi")).select("mid", "k", "v")
+
+
 def check(ans: DataFrame, examples: DataFrame, mode: str = "plain") -> DataFrame:
     """(mid, k, good, bad) for the keys of a mapping that are examples. A known value is good by its score. Another value
     is bad by 1 (plain, functional) or neutral (nonfunctional); functional reports all its contradictions as bad pairs."""
@@ -40,11 +64,14 @@ def bad_pairs(ans: DataFrame, examples: DataFrame) -> DataFrame:
     return ans.join(examples.select("k").distinct(), "k", "left_semi").join(examples.select("k", "v"), ["k", "v"], "left_anti").select("k", "v").distinct()
 
 
-def check_fuzzy(ans: DataFrame, examples: DataFrame, forms: DataFrame) -> DataFrame:
-    """forms (v, form, sim): accepted spellings of the example values. As check(); a spelling is good by score x sim."""
+def check_fuzzy(ans: DataFrame, examples: DataFrame, forms: DataFrame, key_forms: DataFrame | None = None) -> DataFrame:
+    """forms (v, form, sim), key_forms (k, form, sim): accepted spellings of the example values and keys. As check(); a
+    spelling of the value is good by score x sim, under a spelling of the key by the key's sim as well."""
     spelled = examples.join(forms, "v").select("k", F.col("form").alias("v"), (F.col("score") * F.col("sim")).alias("score"))
-    both = examples.select("k", "v", "score").unionByName(spelled).groupBy("k", "v").agg(F.max("score").alias("score"))
-    return check(ans, both)
+    both = examples.select("k", "v", "score").unionByName(spelled)
+    if key_forms is not None:
+        both = both.unionByName(both.join(key_forms, "k").select(F.col("form").alias("k"), "v", (F.col("score") * F.col("sim")).alias("score")))
+    return check(ans, both.groupBy("k", "v").agg(F.max("score").alias("score")))
 
 
 def local_completeness(ans: DataFrame, examples: DataFrame) -> DataFrame:
@@ -58,6 +85,7 @@ def assess(checked: DataFrame, least: int, quality: float | None = 0.3) -> DataF
     """(mid, n_good, correctness) of the mappings with at least `least` good examples, of `quality` if that is given."""
     m = checked.groupBy("mid").agg(F.sum("n_good").alias("n_good"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
     m = m.withColumn("correctness", F.coalesce(F.try_divide(F.col("g"), F.col("g") + F.col("b")), F.lit(0.0)))
+    # quality None: an open world, in which a contradiction says nothing
     return m.where((F.col("n_good") >= least) & (F.lit(True) if quality is None else F.col("correctness") >= quality)).select("mid", "n_good", "correctness")
 
 
@@ -147,7 +175,7 @@ def score_majority(ans: DataFrame) -> DataFrame:
 
 
 def best_per_key(scored: DataFrame) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("k").orderBy(F.col("score").desc(), "v"))
+    i = F.row_number().over(Window.partitionBy("k").orderBy(F.round("score", 9).desc(), "v"))
     return scored.withColumn("i", i).where("i = 1").select("k", "v", "score")
 
 
@@ -198,14 +226,25 @@ def top_tables(ratings: DataFrame, n: int = 32, query_mid: str = "query") -> Dat
 
 def similar_examples(ans: DataFrame, examples: DataFrame, edits: int = 23) -> DataFrame:
     """(mid, k, v): pairs of mappings that resemble an example: one contains the other, within `edits` edits, on both
-    sides. The examples are few (the user's), the pairs are scanned once."""
-    e = examples.select(F.col("k").alias("ek"), F.col("v").alias("ev")).distinct()
+    sides. Candidates are found by equality: the shorter key is a piece of the longer one, at most `edits` shorter, so the
+    pieces of the (few) example keys meet the keys, and the keys' pieces of an example's length meet the example keys."""
+    from tabweave.operators.search import small
 
-    def near(a: str, b: str):
-        return (F.col(a).contains(F.col(b)) | F.col(b).contains(F.col(a))) & (F.levenshtein(a, b) <= edits)
+    def pieces(c: str, least, most):
+        return F.expr(f"flatten(transform(sequence({least}, {most}), g -> transform(sequence(1, length({c}) - g + 1), i -> substr({c}, i, g))))")
 
-    listed = F.broadcast(e.agg(F.collect_list(F.struct("ek", "ev")).alias("es")))  # one row
-    return ans.crossJoin(listed).select("mid", "k", "v", F.explode("es").alias("e")).select("mid", "k", "v", "e.*").where(near("k", "ek") & near("v", "ev")).select("mid", "k", "v").distinct()
+    e = examples.select(F.col("k").alias("ek"), F.col("v").alias("ev")).distinct()
+    keys = ans.select("k").distinct()
+    inside = e.select("ek", F.explode(F.array_distinct(pieces("ek", f"greatest(1, length(ek) - {edits})", "length(ek)"))).alias("k")).where("ek <> ''")
+    within = keys.join(small(inside), "k").select("k", "ek")
+    sizes = e.select(F.length("ek").alias("g"), F.col("ek")).where("ek <> ''").distinct()
+    own = keys.withColumn("g", F.explode(F.sequence(F.greatest(F.lit(1), F.length("k") - edits), F.greatest(F.lit(1), F.length("k"))))).join(small(sizes.select("g").distinct()), "g", "left_semi")
+    own = own.select("k", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, length(k) - g + 1)), i -> substr(k, i, g))"))).alias("ek"))
+    around = own.join(small(sizes.select("ek")), "ek").select("k", "ek")
+    near = within.unionByName(around).distinct().where(F.levenshtein("k", "ek") <= edits).join(small(e), "ek")
+    hit = ans.join(near, "k")
+    v, ev = F.col("v"), F.col("ev")
+    return hit.where((v.contains(ev) | ev.contains(v)) & (F.levenshtein("v", "ev") <= edits)).select("mid", "k", "v").distinct()
 
 
 def schema_match(pairs: DataFrame) -> DataFrame:
@@ -221,28 +260,48 @@ def schema_match(pairs: DataFrame) -> DataFrame:
     return pairs.select("mid", F.when(none, 0.5).otherwise((one("x_header", "x_wanted") + one("y_header", "y_wanted")) / 2).alias("schema"))
 
 
-def select_pairs(ans: DataFrame, scored: DataFrame, policy: str, n: int) -> DataFrame:
-    """(k, v): pairs to be validated next. Ranking policies are one aggregation; the greedy ones take n rounds."""
+def select_pairs(ans: DataFrame, scored: DataFrame, policy: str, n: int, validated: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
+    """(k, v): pairs to be validated next, none that is in validated (k, v). Ties go to the smaller pair.
+
+    x_max           all pairs of the n keys with the most tables
+    xy_max, xy_min  the pairs with the most or fewest tables;  xy_min_score: with the lowest score
+    max_cover       greedily the pair that adds most tables to those covered; it goes on when none is left to cover
+    min_overlap     greedily the pair with the fewest tables covered so far, of these the one with the fewest tables
+    clustering      per key, the values below the first gap: with scores s1 >= s2 >= .., value i stays if m x s_m is above
+                    s1 + .. + s_(m-1) for all m < i
+    oracle_bad      the pairs with the most tables that are not in truth (k, v)
+
+    Rankings are one aggregation; a greedy policy takes n rounds of one aggregation each."""
+    done = validated.select("k", "v").distinct() if validated is not None else None
+    free = (lambda df: df.join(done, ["k", "v"], "left_anti")) if done is not None else (lambda df: df)
+    if policy == "clustering":
+        w = Window.partitionBy("k").orderBy(F.col("score").desc(), "v")
+        s = scored.withColumn("m", F.row_number().over(w)).withColumn("p", F.sum("score").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        s = s.withColumn("on", F.round(F.col("m") * F.col("score"), 9) > F.round(F.coalesce("p", F.lit(0.0)), 9))
+        s = s.withColumn("good", F.coalesce(F.bool_and("on").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+        return free(s.where("not good").select("k", "v"))
     if policy == "x_max":
-        top = ans.groupBy("k").agg(F.count_distinct("mid").alias("n")).orderBy(F.col("n").desc(), "k").limit(n).select("k")
-        return ans.join(F.broadcast(top), "k", "left_semi").select("k", "v").distinct()
-    if policy in ("xy_max", "xy_min"):
-        c = ans.groupBy("k", "v").agg(F.count_distinct("mid").alias("n"))
-        return c.orderBy(F.col("n").desc() if policy == "xy_max" else F.col("n"), "k", "v").limit(n).select("k", "v")
+        of = ans.join(done.select("k").distinct(), "k", "left_anti") if done is not None else ans
+        top = of.groupBy("k").agg(F.count_distinct("mid").alias("n")).orderBy(F.col("n").desc(), "k").limit(n).select("k")
+        return ans.join(top, "k", "left_semi").select("k", "v").distinct()
     if policy == "xy_min_score":
-        return scored.orderBy("score", "k", "v").limit(n).select("k", "v")
+        return free(scored).orderBy(F.round("score", 9), "k", "v").limit(n).select("k", "v")
+    sizes = free(ans.groupBy("k", "v").agg(F.count_distinct("mid").alias("n")))
+    if policy == "oracle_bad":
+        sizes = sizes.join(truth.select("k", "v").distinct(), ["k", "v"], "left_anti")
+    if policy in ("xy_max", "xy_min", "oracle_bad"):
+        return sizes.orderBy(F.col("n") if policy == "xy_min" else F.col("n").desc(), "k", "v").limit(n).select("k", "v")
     if policy not in ("max_cover", "min_overlap"):
         raise ValueError(policy)
-    left, chosen = ans, []
+    pair_schema, chosen = "k string, v string", []
+    spark = ans.sparkSession
     for _ in range(n):
-        c = left.groupBy("k", "v").agg(F.count_distinct("mid").alias("n"))
-        r = c.orderBy(F.col("n").desc() if policy == "max_cover" else F.col("n"), "k", "v").limit(1).collect()
+        picked = spark.createDataFrame(chosen, pair_schema)  # fewer than n rows
+        covered = ans.join(F.broadcast(picked), ["k", "v"], "left_semi").select("mid", F.lit(1).alias("c")).distinct()
+        c = ans.select("mid", "k", "v").distinct().join(covered, "mid", "left").groupBy("k", "v").agg(F.count("c").alias("old"), F.count("*").alias("all"))
+        order = [(F.col("all") - F.col("old")).desc()] if policy == "max_cover" else [F.col("old"), F.col("all")]
+        r = free(c).join(F.broadcast(picked), ["k", "v"], "left_anti").orderBy(*order, "k", "v").limit(1).collect()
         if not r:
             break
         chosen.append((r[0]["k"], r[0]["v"]))
-        picked = (F.col("k") == r[0]["k"]) & (F.col("v") == r[0]["v"])
-        if policy == "max_cover":  # mappings covered so far leave
-            left = left.join(left.where(picked).select("mid").distinct(), "mid", "left_anti")
-        else:
-            left = left.where(~picked)
-    return ans.sparkSession.createDataFrame(chosen, "k string, v string")
+    return spark.createDataFrame(chosen, pair_schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import tempfile
 import uuid
@@ -26,9 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._tabweave_dir
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A folder of its own below the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tabweave/{label}-{uuid.uuid4().hex}"
+    made = spark.__dict__.setdefault("_tabweave_made", [])
+    if not made:
+        atexit.register(cleanup, spark)
+    made.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes the scratch folders of this driver. Results that still read them must be written before."""
+    made = spark.__dict__.get("_tabweave_made", [])
+    try:
+        jvm = spark.sparkContext._jvm
+        for path in made:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended before: nothing can be deleted through it any more
+        return
+    made.clear()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: a cut of the lineage that survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/tabweave/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,9 @@
 """Queries of the table engine: corpus, search, scoring, dependencies, matching, look-ups and evaluation.
 
-The query table is the first corpus table with two headed columns: keys in column 0, values in column 1; its first rows
-(by rowid) are the examples and the others are to be found. Every SQL twin is written on its own, from the semantics.
+The query table is the first ordinary corpus table of ten and more rows whose first pair of cells also begins another
+table: keys in column 0, values in column 1. Its first rows are the examples; the values of the others are to be found,
+and take no part in any search. The query table itself is taken out of the corpus. Every SQL twin is written on its own,
+from the semantics.
 """
 
 from __future__ import annotations
@@ -11,12 +13,12 @@ from pyspark.sql import functions as F
 
 from tabweave.functions import text
 from tabweave.operators import em, evaluate, fd, forms, graph, indirect, lookup, match, score, search, strings
-from tabweave.plans.common import table, written
+from tabweave.plans.common import parallelism, scratch, table, written
 from tabweave.sources import corpus
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-LEAST, WIDE, GIVEN = 2, 1, 3
+LEAST, GIVEN, ASKED, SEARCHES = 2, 3, 50, 2
 #: Smaller ids are the corpus' largest tables; a query table is an ordinary one.
 FIRST = 1000
 
@@ -33,27 +35,48 @@ def query(sql: str | None = None):
 
 # relations that several queries start from, in both languages
 
+_RATED = """
+ tabs{i} as (select mid, coalesce(max(confidence), 0.5) prior, any_value(s) "schema" from (select distinct mid, tableid, x_col, y_col from ev{i}) a join hdr using (tableid, x_col, y_col) left join new_tables_tokenized_full t on t.id = a.tableid group by mid),
+ ekey{i} as (select k, max(score) top from ex{p} group by k),
+ evid{i} as (select mid, good, total, (select coalesce(sum(top), 0) from ekey{i}) - seen unseen from (select a.mid, sum(coalesce(e.score, 0.0)) good, count(*)::double total from ev{i} a join ekey{i} using (k) left join ex{p} e on e.k = a.k and e.v = a.v group by a.mid) join (select mid, sum(top) seen from (select distinct a.mid, a.k, top from ev{i} a join ekey{i} using (k)) group by mid) using (mid)),
+ rat{i} as (select mid, ((coalesce((good + prior * unseen) * 0.99 / nullif(total + unseen, 0), 0)) + "schema") / 2 rating from evid{i} join tabs{i} using (mid)),
+ ar{i} as (select k, v, mid, rating from ev{i} join rat{i} using (mid)),
+ kt{i} as (select k, mid, any_value(rating) r from ar{i} group by k, mid),
+ kv{i} as (select distinct k, v from ar{i}),
+ sf{i} as (select kv.k, kv.v, product(case when ar.mid is not null then r else 1 - r end) s from kv{i} kv join kt{i} kt on kt.k = kv.k left join ar{i} ar on ar.k = kv.k and ar.v = kv.v and ar.mid = kt.mid group by kv.k, kv.v),
+ scored{i} as (select sf.k, sf.v, coalesce(s / nullif(z + none, 0), 0) score from sf{i} sf join (select k, sum(s) z from sf{i} group by k) using (k) join (select k, product(1 - r) none from kt{i} group by k) using (k)),
+ ex{i} as (select k, v, score from ex0 union all select k, v, score from (select *, row_number() over (partition by k order by round(score, 9) desc, v) i from scored{i}) where i = 1 and k not in (select k from ex0))"""
+
+_SEARCHED = """
+ ask{i} as (select k, v from ex{p} order by score desc, k, v limit 50),
+ xcol{i} as (select tableid, colid from uc where tokenized in (select k from ask{i}) group by all having count(distinct tokenized) >= 2),
+ ycol{i} as (select tableid, colid from uc where tokenized in (select v from ask{i}) group by all having count(distinct tokenized) >= 2),
+ matches{i} as (select x.tableid, x.colid x_col, y.colid y_col from xcol{i} x join ycol{i} y on x.tableid = y.tableid and x.colid <> y.colid where (x.tableid, x.colid, y.colid) not in (select (tableid, x_col, y_col) from seen{p})),
+ seen{i} as (select * from seen{p} union all select * from matches{i}),
+ mapped{i} as (select m.tableid, m.x_col, m.y_col, a.tokenized k, b.tokenized v, count(*) n from matches{i} m join uc a on a.tableid = m.tableid and a.colid = m.x_col join uc b on b.tableid = m.tableid and b.colid = m.y_col and b.rowid = a.rowid group by all),
+ cand{i} as (select distinct concat(tableid, ':', x_col, ':', y_col) mid, tableid, x_col, y_col, k, v from mapped{i}),
+ checked{i} as (select mid, a.k, sum(coalesce(e.score, 0.0)) good, sum(case when e.score is null then 1.0 else 0.0 end) bad, count(e.score) n_good from cand{i} a left join ex0 e on e.k = a.k and e.v = a.v where a.k in (select k from ex0) group by mid, a.k),
+ ok{i} as (select mid from checked{i} group by mid having sum(n_good) >= 2 and sum(good) >= 0.3 * (sum(good) + sum(bad))),
+ ev{i} as (select * from ev{p} union select mid, tableid, x_col, y_col, k, v from cand{i} where mid in (select mid from ok{i}) and k in (select k from rows0)),"""
+
 _WITH = """with cells as (select distinct tableid, colid, rowid, term, tokenized from main_tokenized),
  u as (select tableid, colid, rowid, tokenized from cells where tokenized <> ''),
- t0 as (select min(tableid) id from columns_tokenized where colid = 1 and tableid >= 1000),
+ heads as (select a.tableid, a.tokenized k, b.tokenized v from u a join u b on a.tableid = b.tableid and a.rowid = b.rowid where a.rowid = 0 and a.colid = 0 and b.colid = 1 and a.tableid >= 1000),
+ t0 as (select min(tableid) id from heads h where tableid in (select tableid from u where rowid >= 9) and exists (select 1 from heads o where o.k = h.k and o.v = h.v and o.tableid <> h.tableid)),
  rows0 as (select a.rowid, a.tokenized k, b.tokenized v from u a join u b on a.tableid = b.tableid and a.rowid = b.rowid where a.tableid = (select id from t0) and a.colid = 0 and b.colid = 1),
- ex as (select k, min(v) v, 1.0::double score from (select * from rows0 order by rowid limit 3) group by k),
- xcol as (select tableid, colid from u where tokenized in (select k from rows0) group by all having count(distinct tokenized) >= 1),
- ycol as (select tableid, colid from u where tokenized in (select v from rows0) group by all having count(distinct tokenized) >= 1),
- matches as (select x.tableid, x.colid x_col, y.colid y_col from xcol x join ycol y on x.tableid = y.tableid and x.colid <> y.colid),
- mapped as (select m.tableid, m.x_col, m.y_col, a.tokenized k, b.tokenized v, count(*) n from matches m join u a on a.tableid = m.tableid and a.colid = m.x_col join u b on b.tableid = m.tableid and b.colid = m.y_col and b.rowid = a.rowid group by all),
- ans as (select distinct concat(tableid, ':', x_col, ':', y_col) mid, tableid, k, v from mapped),
- checked as (select mid, a.k, sum(coalesce(e.score, 0.0)) good, sum(case when e.score is null then 1.0 else 0.0 end) bad, count(e.score) n_good from ans a left join ex e on e.k = a.k and e.v = a.v where a.k in (select k from ex) group by mid, a.k),
- bad as (select distinct a.k, a.v from ans a where a.k in (select k from ex) and not exists (select 1 from ex e where e.k = a.k and e.v = a.v)),
- tabs as (select mid, coalesce(max(confidence), 0.5) prior, 0.5::double "schema" from (select distinct mid, tableid from ans) a left join new_tables_tokenized_full t on t.id = a.tableid group by mid),
- ekey as (select k, max(score) top from ex group by k),
- evid as (select mid, good, total, (select coalesce(sum(top), 0) from ekey) - seen unseen from (select a.mid, sum(coalesce(e.score, 0.0)) good, count(*)::double total from ans a join ekey using (k) left join ex e on e.k = a.k and e.v = a.v group by a.mid) join (select mid, sum(top) seen from (select distinct a.mid, a.k, top from ans a join ekey using (k)) group by mid) using (mid)),
- rat as (select mid, ((coalesce((good + prior * unseen) * 0.99 / nullif(total + unseen, 0), 0)) + "schema") / 2 rating from evid join tabs using (mid)),
- ar as (select k, v, mid, rating from ans join rat using (mid)),
- kt as (select k, mid, any_value(rating) r from ar group by k, mid),
- kv as (select distinct k, v from ar),
- sf as (select kv.k, kv.v, product(case when ar.mid is not null then r else 1 - r end) s from kv join kt on kt.k = kv.k left join ar on ar.k = kv.k and ar.v = kv.v and ar.mid = kt.mid group by kv.k, kv.v),
- scored as (select sf.k, sf.v, coalesce(s / nullif(z + none, 0), 0) score from sf join (select k, sum(s) z from sf group by k) using (k) join (select k, product(1 - r) none from kt group by k) using (k))
+ ex0 as (select k, min(v) v, 1.0::double score from (select * from rows0 order by rowid limit 3) group by k),
+ uc as (select * from u where tableid <> (select id from t0)),
+ head as (select tableid, colid, min(header_tokenized) h from columns_tokenized group by 1, 2),
+ sims as (select a.h a, b.h b, 1 - levenshtein(a.h, b.h)::double / greatest(length(a.h), length(b.h), 1) s from (select distinct h from head) a, (select distinct h from head where tableid = (select id from t0) and colid in (0, 1)) b),
+ sim as (select a, b, case when s < 0.5 then 0.0 else s end s from sims where s is not null union all select h, null, 0.0 from (select distinct h from head where h is not null) union all select null, h, 0.0 from (select distinct h from head where h is not null) union all select null, null, 1.0),
+ hdr as (select x.tableid, x.colid x_col, y.colid y_col, case when hx.h is null and hy.h is null then 0.5 else (sx.s + sy.s) / 2 end s from (select distinct tableid, colid from u) x join (select distinct tableid, colid from u) y on x.tableid = y.tableid and x.colid <> y.colid
+  left join head hx on hx.tableid = x.tableid and hx.colid = x.colid left join head hy on hy.tableid = y.tableid and hy.colid = y.colid left join head ox on ox.tableid = (select id from t0) and ox.colid = 0 left join head oy on oy.tableid = (select id from t0) and oy.colid = 1
+  left join sim sx on sx.a is not distinct from hx.h and sx.b is not distinct from ox.h left join sim sy on sy.a is not distinct from hy.h and sy.b is not distinct from oy.h),
+ seen0 as (select 1::bigint tableid, 0 x_col, 0 y_col where false), ev0 as (select '' mid, 0::bigint tableid, 0 x_col, 0 y_col, '' k, '' v where false),""" + "".join(_SEARCHED.format(i=i, p=i - 1) + _RATED.format(i=i, p=i - 1) + "," for i in range(1, SEARCHES + 1)) + """
+ ex as (select * from ex0), matches as (select * from matches1), mapped as (select * from mapped1), cand as (select * from cand1), checked as (select * from checked1), ans as (select * from ev1),
+ bad as (select distinct a.k, a.v from cand a where a.k in (select k from ex) and not exists (select 1 from ex e where e.k = a.k and e.v = a.v)),
+ tabs as (select * from tabs1), evid as (select * from evid1), rat as (select * from rat1), ar as (select * from ar1), scored as (select * from scored1),
+ xcol as (select tableid, colid from uc where tokenized in (select k from rows0) group by all having count(distinct tokenized) >= 2)
 """
 
 
@@ -61,13 +84,29 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "main_tokenized").distinct()
 
 
+_T0: dict[tuple[str, str], int] = {}
+
+
 def _t0(spark: SparkSession, d: str) -> int:
-    return table(spark, d, "columns_tokenized").where(f"colid = 1 and tableid >= {FIRST}").agg(F.min("tableid")).first()[0]
+    """The query table's id, found once for each folder."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _T0:
+        c = table(spark, d, "main_tokenized").where(f"tableid >= {FIRST} and tokenized <> ''")
+        first = c.where("rowid = 0 and colid in (0, 1)").groupBy("tableid").agg(F.min(F.when(F.col("colid") == 0, F.col("tokenized"))).alias("k"), F.min(F.when(F.col("colid") == 1, F.col("tokenized"))).alias("v")).where("k is not null and v is not null")
+        twins = first.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
+        long = c.where("rowid >= 9").select("tableid").distinct()
+        _T0[at] = first.join(twins, ["k", "v"], "left_semi").join(long, "tableid", "left_semi").agg(F.min("tableid")).first()[0]
+    return _T0[at]
+
+
+def rest(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus that is searched: all cells but the query table's."""
+    return table(spark, d, "main_tokenized").where(F.col("tableid") != F.lit(_t0(spark, d)))
 
 
 def rows0(spark: SparkSession, d: str) -> DataFrame:
     """(rowid, k, v) of the query table."""
-    c = table(spark, d, "main_tokenized").where((F.col("tableid") == _t0(spark, d)) & (F.col("tokenized") != "")).distinct()
+    c = table(spark, d, "main_tokenized").where((F.col("tableid") == F.lit(_t0(spark, d))) & (F.col("tokenized") != "")).distinct()
     k = c.where("colid = 0").select("rowid", F.col("tokenized").alias("k"))
     return k.join(c.where("colid = 1").select("rowid", F.col("tokenized").alias("v")), "rowid")
 
@@ -82,23 +121,54 @@ def _tok(df: DataFrame, c: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    r = rows0(spark, d)
-    return search.find_tables(table(spark, d, "main_tokenized"), _tok(r, "k"), _tok(r, "v"), WIDE)
+    e = examples(spark, d)
+    return search.find_tables(rest(spark, d), _tok(e, "k"), _tok(e, "v"), LEAST)
 
 
 def mapped(spark: SparkSession, d: str) -> DataFrame:
-    return score.table_map(table(spark, d, "main_tokenized"), matches(spark, d))
+    return score.table_map(rest(spark, d), written(matches(spark, d), "matches"))
+
+
+def cand(spark: SparkSession, d: str) -> DataFrame:
+    """What the candidate tables say, before any is accepted."""
+    return written(score.answers(mapped(spark, d)), "candidates")
+
+
+def ans(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
+    """The answers of accepted tables for the input's keys; written once, as the scoring queries read it several times."""
+    found = cand(spark, d) if found is None else found
+    return written(score.accepted(found, examples(spark, d), rows0(spark, d).select("k"), LEAST), "answers")
+
 
+#: All that tables with two of the keys say of them, in any other column: most of it contradicts the examples.
+_WIDE = "wide as (select distinct concat(x.tableid, ':', x.colid, ':', b.colid) mid, a.tokenized k, b.tokenized v from xcol x join uc a on a.tableid = x.tableid and a.colid = x.colid join uc b on b.tableid = a.tableid and b.rowid = a.rowid and b.colid <> a.colid where a.tokenized in (select k from rows0)), wbad as (select distinct k, v from wide where k in (select k from ex) and (k, v) not in (select (k, v) from ex))"
 
-def ans(spark: SparkSession, d: str) -> DataFrame:
-    """Written once: the scoring queries read it several times."""
-    return written(score.answers(mapped(spark, d)), "answers")
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    c, r = rest(spark, d), rows0(spark, d)
+    x = written(find_x_tables(spark, d), "x-columns")
+    others = c.where("tokenized <> ''").join(search.small(x.select("tableid").distinct()), "tableid", "left_semi").select("tableid", F.col("colid").alias("y_col")).distinct()
+    m = written(x.join(others, "tableid").where("x_col <> y_col"), "wide-columns")
+    return written(score.answers(score.table_map(c, m)).join(search.small(r.select("k").distinct()), "k", "left_semi"), "wide")
 
 
 def tabs(spark: SparkSession, d: str, answers_: DataFrame | None = None) -> DataFrame:
-    prior = table(spark, d, "new_tables_tokenized_full").groupBy(F.col("id").cast("string").alias("t")).agg(F.max("confidence").alias("p"))
-    mids = (answers_ or ans(spark, d)).select("mid").distinct().withColumn("t", F.split("mid", ":")[0])
-    return mids.join(prior, "t", "left").select("mid", F.coalesce("p", F.lit(0.5)).alias("prior"), F.lit(0.5).alias("schema"))
+    """(mid, prior, schema): confidence of the table, likeness of its headers."""
+    prior = table(spark, d, "new_tables_tokenized_full").groupBy(F.col("id").alias("tableid")).agg(F.max("confidence").alias("p"))
+    mids = score.named((ans(spark, d) if answers_ is None else answers_).select("mid").distinct())
+    alike = _schema(spark, d, mids.drop("mid")).select("mid", "schema")
+    return mids.join(prior, "tableid", "left").join(alike, "mid").select("mid", F.coalesce("p", F.lit(0.5)).alias("prior"), "schema")
+
+
+def _schema(spark: SparkSession, d: str, m: DataFrame) -> DataFrame:
+    """m (tableid, x_col, y_col). (mid, schema)."""
+    h = table(spark, d, "columns_tokenized").join(search.small(m.select("tableid").union(spark.createDataFrame([(_t0(spark, d),)], "tableid long")).distinct()), "tableid", "left_semi")
+    h = h.groupBy("tableid", "colid").agg(F.min("header_tokenized").alias("h"))
+    own = {r["colid"]: r["h"] for r in h.where((F.col("tableid") == F.lit(_t0(spark, d))) & F.col("colid").isin(0, 1)).collect()}
+    x, y = h.withColumnsRenamed({"colid": "x_col", "h": "x_header"}), h.withColumnsRenamed({"colid": "y_col", "h": "y_header"})
+    p = m.join(x, ["tableid", "x_col"], "left").join(y, ["tableid", "y_col"], "left")
+    p = p.select(F.concat_ws(":", "tableid", "x_col", "y_col").alias("mid"), "x_header", "y_header", F.lit(own.get(0)).cast("string").alias("x_wanted"), F.lit(own.get(1)).cast("string").alias("y_wanted"))
+    return score.schema_match(p)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -110,20 +180,16 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 @query("select n_nationkey, n_name, n_regionkey from nation where n_nationkey < 20")
 def scan_csv(spark, d):
-    from tabweave.plans.common import shared_dir
-
-    path = f"{shared_dir(spark)}/tabweave/csv-nation"
-    table(spark, d, "nation").where("n_nationkey < 20").selectExpr("cast(n_nationkey as string) n_nationkey", "n_name", "cast(n_regionkey as string) n_regionkey").write.mode("overwrite").csv(path, header=True)
+    path = scratch(spark, "csv-nation")
+    table(spark, d, "nation").where("n_nationkey < 20").selectExpr("cast(n_nationkey as string) n_nationkey", "n_name", "cast(n_regionkey as string) n_regionkey").write.csv(path, header=True)
     r = corpus.read_csv(spark, path, ["n_nationkey", "n_name", "n_regionkey"])
     return r.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
 @query("select colid, count(*) n_cells, count(distinct term) n_terms from (select 0 colid, cast(n_nationkey as varchar) term from nation union all select 1, n_name from nation union all select 2, cast(n_regionkey as varchar) from nation) group by colid")
 def scan_multi(spark, d):
-    from tabweave.plans.common import shared_dir
-
-    path = f"{shared_dir(spark)}/tabweave/csv-multi"
-    table(spark, d, "nation").selectExpr("cast(n_nationkey as string) a", "n_name b", "cast(n_regionkey as string) c").write.mode("overwrite").csv(path)
+    path = scratch(spark, "csv-multi")
+    table(spark, d, "nation").selectExpr("cast(n_nationkey as string) a", "n_name b", "cast(n_regionkey as string) c").write.csv(path)
     return corpus.read_lookup_files(spark, [path], 3).groupBy("colid").agg(F.count("*").alias("n_cells"), F.count_distinct("term").alias("n_terms"))
 
 
@@ -275,8 +341,15 @@ def has_header(spark, d):
     return table(spark, d, "columns_tokenized").groupBy("tableid").agg(F.bool_or(~F.coalesce("header", F.lit("")).rlike(r"^COLUMN\d+$")).alias("has_header"))
 
 
+_SQL_TYPES = (
+    ("NUMBER", r"(\s|&nbsp;)*-?(\s|&nbsp;)*([0-9]+(\.[0-9]+)?|[0]*\.[0-9]+)((\s|&nbsp;)?%)?(\s|&nbsp;)*"),
+    ("DATE", r"(\s|&nbsp;)*[0-3]?[0-9](-|/|.)[0-3]?[0-9](-|/|.)([0-9]{2})?[0-9]{2}(\s|&nbsp;)*"),
+    ("CURRENCY", r"(\s|&nbsp;)*(\$|€|EUR|USD|CAD|C\$)( )?\d+ | \d+( )?(\$|€|EUR|USD|CAD|C\$)(\s|&nbsp;)*"),
+)
+
+
 def _type_sql(c: str, where: str) -> str:
-    tests = " ".join(f"when bool_and(regexp_matches({c}, '{p}')) filter (where {where}) then '{n}'" for n, p in text.TYPES.items())
+    tests = " ".join(f"when bool_and(regexp_full_match({c}, '{p}')) filter (where {where}) then '{n}'" for n, p in _SQL_TYPES)
     return f"case when count({c}) filter (where {where}) = 0 then null {tests} else 'STRING' end"
 
 
@@ -285,10 +358,11 @@ def infer_types(spark, d):
     return corpus.column_types(cells(spark, d))
 
 
-@query(f"""select t.tableid, case when coalesce(colon, false) or coalesce(r.x, false) then 1 when coalesce(c.x, false) then 2 else 0 end header from (select distinct tableid from cells where term is not null) t
- left join (select tableid, count(*) filter (where ends_with(term, ':')) >= 0.75 * count(*) colon from cells where term is not null and rowid = 0 group by 1) using (tableid)
- left join (select tableid, bool_or(h <> b) x from (select tableid, colid, {_type_sql('term', 'rowid = 0')} h, {_type_sql('term', 'rowid > 0')} b from cells where term is not null group by 1, 2) where h is not null and b is not null group by 1) r using (tableid)
- left join (select tableid, bool_or(h <> b) x from (select tableid, rowid, {_type_sql('term', 'colid = 0')} h, {_type_sql('term', 'colid > 0')} b from cells where term is not null group by 1, 2) where h is not null and b is not null group by 1) c using (tableid)""")
+@query(f"""select t.tableid, case when coalesce(colon, false) then 1 when r0 = 'STRING' and coalesce(rx, false) then 1 when c0 = 'STRING' and coalesce(cx, false) then 2 else 0 end header from (select distinct tableid from cells where term is not null) t
+ left join (select tableid, count(*) filter (where regexp_matches(term, ':[^a-zA-Z0-9_]*$')) >= 0.75 * count(*) colon, {_type_sql('term', 'true')} r0 from cells where term is not null and rowid = 0 group by 1) using (tableid)
+ left join (select tableid, bool_or(ty <> 'STRING') rx from (select tableid, colid, {_type_sql('term', 'true')} ty from cells where term is not null group by 1, 2) group by 1) using (tableid)
+ left join (select tableid, {_type_sql('term', 'true')} c0 from cells where term is not null and colid = 0 group by 1) using (tableid)
+ left join (select tableid, bool_or(ty <> 'STRING') cx from (select tableid, rowid, {_type_sql('term', 'true')} ty from cells where term is not null and colid > 0 group by 1, 2) group by 1) using (tableid)""")
 def detect_header(spark, d):
     return corpus.detect_header(cells(spark, d))
 
@@ -320,48 +394,80 @@ def find_tables(spark, d):
 @query("select tableid, colid x_col from xcol")
 def find_x_tables(spark, d):
     k = _tok(rows0(spark, d), "k").select(F.lit(0).alias("pos"), "tokenized")
-    return search.matching_columns(table(spark, d, "main_tokenized"), k, WIDE).select("tableid", F.col("colid").alias("x_col"))
+    return search.matching_columns(rest(spark, d), k, LEAST).select("tableid", F.col("colid").alias("x_col"))
 
 
-@query("select tableid, x0, x1, y0 from (select distinct a.tableid, a.colid x0, b.colid x1, y.colid y0 from u a join u b on a.tableid = b.tableid and a.rowid = b.rowid and a.colid <> b.colid join ycol y on y.tableid = a.tableid and y.colid <> a.colid and y.colid <> b.colid where a.tokenized in (select k from rows0) and b.tokenized in ('unknown', 'yes', 'other')) order by all limit 1000")
+@query("select * from matches")
+def find_tables_by_token(spark, d):
+    """find_tables over the copy of the cells that is sorted by token: the scan skips the row groups without an example."""
+    e = examples(spark, d)
+    path = scratch(spark, "by-token")
+    corpus.write_by_token(rest(spark, d), path, parallelism(spark))
+    return search.find_tables(spark.read.parquet(path), _tok(e, "k"), _tok(e, "v"), LEAST)
+
+
+_T3 = "(select min(tableid) from u where colid = 2 and tableid >= 1000)"
+
+
+@query(f", own as (select distinct colid, tokenized from u where tableid = {_T3}) select distinct a.tableid, a.colid x0, b.colid x1, y.colid y0 from u a join u b on a.tableid = b.tableid and a.rowid = b.rowid and a.colid <> b.colid join (select tableid, colid from u where tokenized in (select tokenized from own where colid = 2) group by all having count(distinct tokenized) >= 2) y on y.tableid = a.tableid and y.colid <> a.colid and y.colid <> b.colid where a.tokenized in (select tokenized from own where colid = 0) and b.tokenized in (select tokenized from own where colid = 1) order by all limit 1000")
 def find_tables_multi(spark, d):
-    r = rows0(spark, d)
-    second = spark.createDataFrame([("unknown",), ("yes",), ("other",)], "tokenized string")
-    return search.find_tables_multi(table(spark, d, "main_tokenized"), [_tok(r, "k"), second], [_tok(r, "v")], WIDE)
+    """Two X columns in one row, one Y column: those of the first ordinary table with three columns, in the whole corpus."""
+    c = table(spark, d, "main_tokenized").where("tokenized <> ''")
+    own = c.where(F.col("tableid") == F.lit(c.where(f"colid = 2 and tableid >= {FIRST}").agg(F.min("tableid")).first()[0]))
+    x0, x1, y = (_tok(own.where(F.col("colid") == i), "tokenized") for i in range(3))
+    return search.find_tables_multi(c, [x0, x1], [y], LEAST)
+
+
+@query("select * from matches order by all limit 1000")
+def similar_find_tables(spark, d):
+    """The entry with parallel lists of inputs and outputs, validated."""
+    e = [(r["k"], r["v"]) for r in examples(spark, d).collect()]
+    found = search.similar_find_tables(rest(spark, d), [k for k, _ in e], [v for _, v in e], LEAST)
+    return found.select("tableid", F.col("x0").alias("x_col"), F.col("y0").alias("y_col"))
 
 
 _UN = "(select unionid, colid, tokenized from u join (select distinct * from union_tables_new) using (tableid))"
 
 
-@query(f"select x.unionid, x.colid x0, y.colid y0 from (select unionid, colid from {_UN} where tokenized in (select k from rows0) group by all having count(distinct tokenized) >= 2) x join (select unionid, colid from {_UN} where tokenized in (select v from rows0) group by all having count(distinct tokenized) >= 2) y on x.unionid = y.unionid and x.colid <> y.colid order by all limit 1000")
+@query(f"select x.unionid, x.colid x0, y.colid y0 from (select unionid, colid from {_UN} where tokenized in (select tokenized from big where colid = 0) group by all having count(distinct tokenized) >= 2) x join (select unionid, colid from {_UN} where tokenized in (select tokenized from big where colid = 1) group by all having count(distinct tokenized) >= 2) y on x.unionid = y.unionid and x.colid <> y.colid order by all limit 1000".replace("select x.unionid", ", big as (select distinct colid, tokenized from u where colid in (0, 1) and tableid = (select min(tableid) from union_tables_new where unionid in (select unionid from union_tables_new group by unionid having count(distinct tableid) > 1) and tableid in (select tableid from u where colid = 1 group by 1 having count(distinct tokenized) > 1) and tableid in (select tableid from u where colid = 0 group by 1 having count(distinct tokenized) > 1))) select x.unionid", 1))
 def find_tables_union(spark, d):
-    r = rows0(spark, d)
-    un = table(spark, d, "main_tokenized").join(table(spark, d, "union_tables_new").distinct(), "tableid")
-    return search.find_tables_multi(un, [_tok(r, "k")], [_tok(r, "v")], LEAST, key="unionid", by_row=False)
+    """The columns of the first member of a union of several tables, searched for in all unions."""
+    m = table(spark, d, "union_tables_new").distinct()
+    cells_ = table(spark, d, "main_tokenized")
+    several = m.groupBy("unionid").agg(F.count_distinct("tableid").alias("n")).where("n > 1").select("unionid")
+    with_y = cells_.where("colid in (0, 1) and tokenized <> ''").groupBy("tableid", "colid").agg(F.count_distinct("tokenized").alias("n")).where("n > 1").groupBy("tableid").count().where("count = 2").select("tableid")
+    first = m.join(several, "unionid", "left_semi").join(with_y, "tableid", "left_semi").agg(F.min("tableid")).first()[0]
+    own = cells_.where((F.col("tableid") == F.lit(first)) & (F.col("tokenized") != ""))
+    x, y = (_tok(own.where(F.col("colid") == i), "tokenized") for i in (0, 1))
+    return search.find_tables_multi(cells_.join(m, "tableid"), [x], [y], LEAST, key="unionid", by_row=False)
 
 
-_PAIRS = "(select a.tableid, a.rowid, a.colid xc, b.colid yc, k, v from u a join (select distinct k, v from rows0) r on r.k = a.tokenized join u b on b.tableid = a.tableid and b.rowid = a.rowid and b.colid <> a.colid and b.tokenized = r.v)"
+_PAIRS = "(select a.tableid, a.rowid, a.colid xc, b.colid yc, k, v from uc a join (select distinct k, v from rows0) r on r.k = a.tokenized join uc b on b.tableid = a.tableid and b.rowid = a.rowid and b.colid <> a.colid and b.tokenized = r.v)"
 
 
-@query(f"select tableid, xc x_col, yc y_col, count(*) n from {_PAIRS} group by all having count(*) >= 2")
+@query(f"select tableid, xc x_col, yc y_col, count(*) n from {_PAIRS} where (k, v) in (select (k, v) from ex) group by all having count(*) >= 2")
 def find_row_aligned(spark, d):
-    return search.find_row_aligned(table(spark, d, "main_tokenized"), rows0(spark, d).select(F.col("k").alias("x"), F.col("v").alias("y")), LEAST)
+    return search.find_row_aligned(rest(spark, d), examples(spark, d).select(F.col("k").alias("x"), F.col("v").alias("y")), LEAST)
 
 
-_ASCII = "regexp_full_match({0}, '[ -~]+')"
+#: DuckDB's edit distance counts bytes: characters beyond ASCII are mapped one to one to ASCII ones that no token has.
+_ODD = ", odd as (select coalesce(string_agg(c, '' order by c), '') cs from (select distinct unnest(regexp_extract_all(tokenized, '[^ -~]')) c from u)), flat as (select tokenized, translate(tokenized, (select cs from odd), (select string_agg(chr(i::int), '' order by i) from (select unnest(list_concat(range(1, 32), range(65, 91), [33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 47, 58, 59, 60, 61, 62, 63, 64, 91, 92, 93, 94, 96, 123, 124, 125, 126])) i))) f from (select distinct tokenized from u))"
+_FUZZY = "select w, tokenized, distance from (select *, row_number() over (partition by w order by distance, tokenized) i from (select r.k w, t.tokenized, levenshtein(a.f, t.f) distance from (select distinct k from rows0 where length(k) >= 5) r join flat a on a.tokenized = r.k join (select * from flat where tokenized in (select tokenized from uc)) t on levenshtein(a.f, t.f) <= least(2, ceil(0.2 * length(r.k))))) where i <= 100"
 
 
-@query("select w, tokenized, distance from (select *, row_number() over (partition by w order by distance, tokenized) i from (select r.k w, t.tokenized, levenshtein(r.k, t.tokenized) distance from (select distinct k from rows0 where length(k) >= 5 and regexp_full_match(k, '[ -~]+')) r join (select distinct tokenized from u where regexp_full_match(tokenized, '[ -~]+')) t on levenshtein(r.k, t.tokenized) <= least(2, ceil(0.2 * length(r.k))))) where i <= 100")
+@query(f"{_ODD} {_FUZZY}")
 def fuzzy_terms(spark, d):
-    ascii_ = lambda c: F.col(c).rlike("^[ -~]+$")
-    w = rows0(spark, d).select(F.col("k").alias("w")).where(ascii_("w"))
-    return search.fuzzy_terms(table(spark, d, "main_tokenized").where(ascii_("tokenized")), w)
+    return search.fuzzy_terms(rest(spark, d), rows0(spark, d).select(F.col("k").alias("w")))
 
 
-@query()
+def _wide_sql(c: str) -> str:
+    return f"(select tokenized from (select *, row_number() over (partition by w order by distance, tokenized) i from (select r.w, t.tokenized, levenshtein(a.f, t.f) distance from (select distinct {c} w from ex where length({c}) >= 5) r join flat a on a.tokenized = r.w join flat t on levenshtein(a.f, t.f) <= least(2, ceil(0.2 * length(r.w))) where t.tokenized in (select tokenized from uc))) where i <= 100 union select {c} from ex)"
+
+
+@query(f"{_ODD}, wx as (select * from {_wide_sql('k')}), wy as (select * from {_wide_sql('v')}), fx as (select tableid, colid from uc where tokenized in (select tokenized from wx) group by all having count(distinct tokenized) >= 2), fy as (select tableid, colid from uc where tokenized in (select tokenized from wy) group by all having count(distinct tokenized) >= 2) select x.tableid, x.colid x_col, y.colid y_col from fx x join fy y on x.tableid = y.tableid and x.colid <> y.colid")
 def find_tables_fuzzy(spark, d):
-    r = rows0(spark, d)
-    return search.find_tables_fuzzy(table(spark, d, "main_tokenized"), _tok(r, "k"), _tok(r, "v"), LEAST)
+    e = examples(spark, d)
+    return search.find_tables_fuzzy(rest(spark, d), _tok(e, "k"), _tok(e, "v"), LEAST)
 
 
 @query("select distinct v, substr(v, i, n) s from (select n_name v from nation where length(n_name) > 3), range(1, 40) t(i), range(4, 40) q(n) where i + n - 1 <= length(v)")
@@ -369,53 +475,64 @@ def substrings(spark, d):
     return search.substrings(table(spark, d, "nation").select(F.col("n_name").alias("v")))
 
 
-@query("select tableid, n_keys, coalesce(n_headers, 0) n_headers, n_keys + coalesce(n_headers, 0) * 0.25::double score from (select tableid, count(distinct tokenized) n_keys from u where tokenized in (select k from rows0) group by 1 having count(distinct tokenized) >= 2) left join (select tableid, count(distinct header_tokenized) n_headers from columns_tokenized where header_tokenized in (select k from rows0) group by 1) using (tableid) order by score desc, tableid limit 1000")
+_FT = "select tableid, sum(w) s, count(*) n from (select distinct u.tableid, u.tokenized, coalesce(i.w, 0) w from uc u left join widf i on i.term = u.tokenized where u.tokenized in (select {0} from {1})) group by tableid"
+_META = "(select distinct t.id tableid, unnest(regexp_extract_all(lower(concat_ws(' ', title, context)), '[\\p{L}\\p{N}_]+')) w from new_tables_tokenized_full t)"
+
+
+@query(f""", widf as (select term, least(max(idf), 30) w from inverse_document_frequency where isfinite(idf) and idf > 0 group by term),
+ fx as (select * from ({_FT.format('k', 'rows0')}) where n >= 2), fy as (select * from ({_FT.format('v', 'ex')}) where n >= 1),
+ words as (select distinct unnest(string_split(k, ' ')) w from rows0),
+ h as (select tableid, count(distinct header_tokenized) n from columns_tokenized where header_tokenized in (select h from head where tableid = (select id from t0) and colid in (0, 1)) group by 1),
+ m as (select tableid, count(distinct w) n from {_META} where w in (select w from words) group by 1)
+ select fx.tableid, fx.n n_keys, fy.n n_values, coalesce(h.n, 0) n_headers, coalesce(m.n, 0) n_around, round(fx.s + fy.s + 0.25 * coalesce(h.n, 0) + 0.1 * coalesce(m.n, 0), 6) score from fx join fy using (tableid) left join h using (tableid) left join m using (tableid) order by score desc, tableid limit 1000""")
 def fulltext_tables(spark, d):
-    return search.fulltext_tables(table(spark, d, "main_tokenized"), table(spark, d, "columns_tokenized"), _tok(rows0(spark, d), "k"), LEAST)
+    t = table(spark, d, "new_tables_tokenized_full").select(F.col("id").alias("tableid"), "title", "context")
+    own = [r[0] for r in table(spark, d, "columns_tokenized").where((F.col("tableid") == F.lit(_t0(spark, d))) & F.col("colid").isin(0, 1)).groupBy("colid").agg(F.min("header_tokenized")).select(F.col("min(header_tokenized)")).where("`min(header_tokenized)` is not null").collect()]
+    return search.fulltext_tables(rest(spark, d), table(spark, d, "columns_tokenized"), t, table(spark, d, "inverse_document_frequency"), _tok(rows0(spark, d), "k"), _tok(examples(spark, d), "v"), own, LEAST, 1)
 
 
 _XY = "(select distinct a.k x, b.k y from rows0 a join rows0 b on a.k < b.k)"
 
 
-@query(f"select x, y, count(*) n from {_XY} p join (select distinct tableid, colid, tokenized from u) a on a.tokenized = x join (select distinct tableid, colid, tokenized from u) b on b.tokenized = y and a.tableid = b.tableid and a.colid = b.colid group by x, y")
+@query(f"select x, y, count(*) n from {_XY} p join (select distinct tableid, colid, tokenized from uc) a on a.tokenized = x join (select distinct tableid, colid, tokenized from uc) b on b.tokenized = y and a.tableid = b.tableid and a.colid = b.colid group by x, y")
 def cooccurrence(spark, d):
     k = rows0(spark, d).select("k").distinct()
     p = k.withColumnRenamed("k", "x").join(k.withColumnRenamed("k", "y"), F.col("x") < F.col("y"))
-    return search.cooccurrence(table(spark, d, "main_tokenized"), p)
+    return search.cooccurrence(rest(spark, d), p)
 
 
-@query("select * from matches where tableid not in (select tableid from mapped where k in (select k from ex))")
+@query("select tableid, colid x_col from xcol where tableid not in (select tableid from matches)")
 def table_difference(spark, d):
-    seen = mapped(spark, d).join(examples(spark, d).select("k"), "k", "left_semi")
-    return search.table_difference(matches(spark, d), seen)
+    """Tables that hold the input's keys, without those the search by examples has seen."""
+    return search.table_difference(find_x_tables(spark, d), matches(spark, d))
 
 
 @query(f"select distinct k x, v y from {_PAIRS}")
 def present_in_corpus(spark, d):
-    return search.present_in_corpus(table(spark, d, "main_tokenized"), rows0(spark, d).select(F.col("k").alias("x"), F.col("v").alias("y")))
+    return search.present_in_corpus(rest(spark, d), rows0(spark, d).select(F.col("k").alias("x"), F.col("v").alias("y")))
 
 
 @query(f"select distinct k x, v y from {_PAIRS} where tableid in (select id from new_tables_tokenized_full where numrows > 3)")
 def present_in_larger_tables(spark, d):
     sizes = table(spark, d, "new_tables_tokenized_full").select(F.col("id").alias("tableid"), "numrows")
-    return search.present_in_corpus(table(spark, d, "main_tokenized"), rows0(spark, d).select(F.col("k").alias("x"), F.col("v").alias("y")), sizes)
+    return search.present_in_corpus(rest(spark, d), rows0(spark, d).select(F.col("k").alias("x"), F.col("v").alias("y")), sizes)
 
 
 def _freqx(most: bool):
     order = "desc" if most else "asc"
 
     def f(spark, d):
-        return search.policy_by_frequency(table(spark, d, "main_tokenized"), _tok(rows0(spark, d), "k"), 5, most)
+        return search.policy_by_frequency(rest(spark, d), _tok(rows0(spark, d), "k"), 5, most)
 
     f.__name__ = f"policy_{'most' if most else 'least'}_freqx"
-    query(f"select tokenized, count(distinct (tableid, colid)) n_cols from u where tokenized in (select k from rows0) group by 1 order by n_cols {order}, tokenized limit 5")(f)
+    query(f"select tokenized, count(distinct (tableid, colid)) n_cols from uc where tokenized in (select k from rows0) group by 1 order by n_cols {order}, tokenized limit 5")(f)
 
 
 def _freqpair(most: bool):
     order = "desc" if most else "asc"
 
     def f(spark, d):
-        return search.policy_by_pairs(table(spark, d, "main_tokenized"), rows0(spark, d).select(F.col("k").alias("x"), F.col("v").alias("y")), 5, most)
+        return search.policy_by_pairs(rest(spark, d), rows0(spark, d).select(F.col("k").alias("x"), F.col("v").alias("y")), 5, most)
 
     f.__name__ = f"policy_{'most' if most else 'least'}_freqpair"
     query(f"select x, y, n_tables from (select *, row_number() over (partition by x order by n_tables {order}, y) i from (select k x, v y, count(distinct tableid) n_tables from {_PAIRS} group by all)) where i = 1 order by n_tables {order}, x limit 5")(f)
@@ -425,23 +542,25 @@ for _m in (True, False):
     _freqx(_m)
     _freqpair(_m)
 
-_SC = "(select c_name x, c_mktsegment y, (c_custkey % 10 + 1) / 10.0::double score from customer)"
+_SC = "(select concat('k', c_custkey % 97) x, concat(c_mktsegment, c_custkey % 3) y, max((c_custkey * 7919 % 100 + 1) / 100.0::double) score from customer group by 1, 2)"
 
 
 def _certain(policy: str, sql: str):
     def f(spark, d):
-        e = table(spark, d, "customer").select(F.col("c_name").alias("x"), F.col("c_mktsegment").alias("y"), ((F.col("c_custkey") % 10 + 1) / 10.0).alias("score"))
+        c = F.col("c_custkey").cast("long")
+        e = table(spark, d, "customer").groupBy(F.concat(F.lit("k"), c % 97).alias("x"), F.concat("c_mktsegment", c % 3).alias("y")).agg(F.max((c * 7919 % 100 + 1) / 100.0).alias("score"))
         return search.policy_certain(e, policy, 10)
 
     f.__name__ = f"policy_{policy}" if policy.startswith("most") else f"policy_certain_{policy}"
     query(sql)(f)
 
 
-_certain("most_certain", f"select x, y, score from {_SC} order by score desc, x, y limit 10")
+_TOPX = f"(select x from {_SC} group by x order by max(score) desc, x limit 10)"
+_certain("most_certain", f"select x, y, score from {_SC} where x in {_TOPX}")
 _certain("pairs", f"select x, y, score from {_SC} order by score desc, x, y limit 10")
-_certain("xs", f"select x, y, score from {_SC} order by score desc, x, y limit 10")
+_certain("xs", f"select x, y, score from (select *, row_number() over (partition by x order by score desc, y) i from {_SC} where x in {_TOPX}) where i <= 2")
 _certain("only", f"select x, y, score from {_SC} where score = 1.0")
-_certain("fill", f"select x, y, score from {_SC} where score = 1.0")
+_certain("fill", f"select x, y, score from {_SC} where score = 1.0 and (select count(distinct x) from {_SC} where score = 1.0) >= 10 union all select * from (select x, y, score from {_SC} where (select count(distinct x) from {_SC} where score = 1.0) < 10 order by score desc, x, y limit 10)")
 
 
 # checking, scoring, iteration
@@ -459,75 +578,66 @@ def answers(spark, d):
 
 @query("select mid, sum(good) good, sum(bad) bad from checked group by mid")
 def check_mapping(spark, d):
-    return score.check(ans(spark, d), examples(spark, d)).groupBy("mid").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    return score.check(cand(spark, d), examples(spark, d)).groupBy("mid").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
 @query("select mid, k, good, bad, n_good from checked")
 def check_mapping_keyed(spark, d):
-    return score.check(ans(spark, d), examples(spark, d))
+    return score.check(cand(spark, d), examples(spark, d))
 
 
-@query("select k, v from bad")
+@query(f", {_WIDE} select k, v from wbad")
 def check_mapping_func(spark, d):
-    return score.bad_pairs(ans(spark, d), examples(spark, d))
+    return score.bad_pairs(wide(spark, d), examples(spark, d))
 
 
 @query("select mid, k, good, 0.0::double bad, n_good from checked")
 def check_mapping_nonfunc(spark, d):
-    return score.check(ans(spark, d), examples(spark, d), "nonfunctional")
+    return score.check(cand(spark, d), examples(spark, d), "nonfunctional")
 
 
-def _forms(spark, d):
-    return examples(spark, d).select("v", F.concat("v", F.lit("s")).alias("form"), F.lit(0.8).alias("sim")).distinct()
+_FORM = "(select e.{0}, c.{0} form, 1 - levenshtein(fe.f, fc.f)::double / greatest(length(fe.f), length(fc.f)) sim from (select distinct {0} from ex where length({0}) >= 5) e join (select distinct {0} from cand) c on c.{0} <> e.{0} join flat fe on fe.tokenized = e.{0} join flat fc on fc.tokenized = c.{0} where levenshtein(fe.f, fc.f) <= least(2, ceil(0.2 * length(e.{0}))))"
 
 
-@query("select a.mid, a.k, sum(coalesce(e.score, 0.0)) good, sum(case when e.score is null then 1.0 else 0.0 end) bad, count(e.score) n_good from ans a left join (select k, v, max(score) score from (select k, v, score from ex union all select k, concat(v, 's'), score * 0.8 from ex) group by k, v) e on e.k = a.k and e.v = a.v where a.k in (select k from ex) group by a.mid, a.k")
+@query(f"{_ODD}, vf as (select * from {_FORM.format('v')}), kf as (select * from {_FORM.format('k')}), e1 as (select k, v, score from ex union all select ex.k, form, score * sim from ex join vf using (v)), e2 as (select k, v, max(score) score from (select * from e1 union all select form, v, score * sim from e1 join kf using (k)) group by all) select a.mid, a.k, sum(coalesce(e.score, 0.0)) good, sum(case when e.score is null then 1.0 else 0.0 end) bad, count(e.score) n_good from cand a left join e2 e on e.k = a.k and e.v = a.v where a.k in (select k from e2) group by a.mid, a.k")
 def check_mapping_fuzzy(spark, d):
-    return score.check_fuzzy(ans(spark, d), examples(spark, d), _forms(spark, d))
+    a, e = cand(spark, d), examples(spark, d)
+
+    def forms_of(c: str) -> DataFrame:
+        near = search.fuzzy_terms(_tok(a, c), e.select(F.col(c).alias("w"))).where("distance > 0")
+        return near.select(F.col("w").alias(c), F.col("tokenized").alias("form"), text.similarity(F.col("w"), F.col("tokenized")).alias("sim"))
+
+    return score.check_fuzzy(a, e, forms_of("v"), forms_of("k"))
 
 
-@query("select a.mid, a.k, sum(case when b.v is not null then e.score else 0.0 end) present, sum(case when b.v is null then e.score else 0.0 end) absent from (select distinct mid, k from ans) a join ex e on e.k = a.k left join ans b on b.mid = a.mid and b.k = e.k and b.v = e.v group by a.mid, a.k")
+@query("select a.mid, a.k, sum(case when b.v is not null then e.score else 0.0 end) present, sum(case when b.v is null then e.score else 0.0 end) absent from (select distinct mid, k from cand) a join ex e on e.k = a.k left join cand b on b.mid = a.mid and b.k = e.k and b.v = e.v group by a.mid, a.k")
 def local_completeness(spark, d):
-    return score.local_completeness(ans(spark, d), examples(spark, d))
+    return score.local_completeness(cand(spark, d), examples(spark, d))
 
 
 @query("select mid, sum(n_good)::bigint n_good, round(coalesce(sum(good) / nullif(sum(good) + sum(bad), 0), 0), 6) correctness from checked group by mid having sum(n_good) >= 1 and coalesce(sum(good) / nullif(sum(good) + sum(bad), 0), 0) >= 0.3")
 def assess(spark, d):
-    return _rounded(score.assess(score.check(ans(spark, d), examples(spark, d)), 1), "correctness")
+    return _rounded(score.assess(score.check(cand(spark, d), examples(spark, d)), 1), "correctness")
 
 
 @query("select mid, sum(n_good * n_good)::bigint n_good, round(coalesce(sum(c * w) / nullif(sum(w), 0), 0), 6) correctness from (select mid, n_good, coalesce(good / nullif(good + bad, 0), 0) c, good + bad w from checked) group by mid having sum(n_good * n_good) >= 1 and coalesce(sum(c * w) / nullif(sum(w), 0), 0) >= 0.3")
 def assess_weighted(spark, d):
-    return _rounded(score.assess_weighted(score.check(ans(spark, d), examples(spark, d)), 1), "correctness")
+    return _rounded(score.assess_weighted(score.check(cand(spark, d), examples(spark, d)), 1), "correctness")
 
 
 @query("select distinct mid, k, v from (select mid, k, v from ans union all select 'query', k, v from ex) a where not exists (select 1 from bad b where b.k = a.k and b.v = a.v)")
 def consolidate(spark, d):
-    a, e = ans(spark, d), examples(spark, d)
-    return score.consolidate(a, e.select(F.lit("query").alias("mid"), "k", "v"), score.bad_pairs(a, e))
+    found, e = cand(spark, d), examples(spark, d)
+    return score.consolidate(ans(spark, d, found), e.select(F.lit("query").alias("mid"), "k", "v"), score.bad_pairs(found, e))
 
 
-_HEAD = "(select tableid, colid, min(case when regexp_full_match(header_tokenized, '[ -~]*') then header_tokenized end) h from columns_tokenized group by 1, 2)"
-
-
-def _sim_sql(a: str, b: str) -> str:
-    s = f"case when {a} is null and {b} is null then 1.0 when {a} is null or {b} is null then 0.0 when greatest(length({a}), length({b})) = 0 then 1.0 else 1 - levenshtein({a}, {b})::double / greatest(length({a}), length({b}), 1) end"
-    return f"case when {s} < 0.5 then 0.0 else {s} end"
-
-
-@query(f"select concat(m.tableid, ':', x_col, ':', y_col) mid, round(case when x.h is null and y.h is null then 0.5 else ({_sim_sql('x.h', 'a.h')} + {_sim_sql('y.h', 'b.h')}) / 2 end, 6) \"schema\" from matches m left join {_HEAD} x on x.tableid = m.tableid and x.colid = x_col left join {_HEAD} y on y.tableid = m.tableid and y.colid = y_col, (select h from {_HEAD} where tableid = (select id from t0) and colid = 0) a, (select h from {_HEAD} where tableid = (select id from t0) and colid = 1) b")
+@query("select concat(m.tableid, ':', m.x_col, ':', m.y_col) mid, round(s, 6) \"schema\" from matches m join hdr using (tableid, x_col, y_col)")
 def schema_match(spark, d):
-    h = table(spark, d, "columns_tokenized").groupBy("tableid", "colid").agg(F.min(F.when(F.col("header_tokenized").rlike("^[ -~]*$"), F.col("header_tokenized"))).alias("h"))
-    own = {r["colid"]: r["h"] for r in h.where((F.col("tableid") == _t0(spark, d)) & F.col("colid").isin(0, 1)).collect()}
-    m = matches(spark, d)
-    x, y = h.withColumnsRenamed({"colid": "x_col", "h": "x_header"}), h.withColumnsRenamed({"colid": "y_col", "h": "y_header"})
-    p = m.join(x, ["tableid", "x_col"], "left").join(y, ["tableid", "y_col"], "left")
-    p = p.select(F.concat_ws(":", "tableid", "x_col", "y_col").alias("mid"), "x_header", "y_header", F.lit(own.get(0)).cast("string").alias("x_wanted"), F.lit(own.get(1)).cast("string").alias("y_wanted"))
-    return _rounded(score.schema_match(p), "schema")
+    return _rounded(_schema(spark, d, matches(spark, d)), "schema")
 
 
 def _ratings(spark, d, a=None):
-    a = a or ans(spark, d)
+    a = ans(spark, d) if a is None else a
     return written(score.rating(a, examples(spark, d), tabs(spark, d, a)), "ratings")
 
 
@@ -541,26 +651,29 @@ _NBAD = "(select mid, count(*) n_bad from ans join bad using (k, v) group by mid
 
 @query(f"select mid, round(coalesce((good + prior * unseen) * 0.99 / nullif(total + unseen + 10 * coalesce(n_bad, 0), 0), 0), 6) rating from evid join tabs using (mid) left join {_NBAD} using (mid)")
 def rating_indirect(spark, d):
-    a, e = ans(spark, d), examples(spark, d)
-    return _rounded(score.rating_indirect(a, e, tabs(spark, d, a), score.bad_pairs(a, e)), "rating")
+    found, e = cand(spark, d), examples(spark, d)
+    a = ans(spark, d, found)
+    return _rounded(score.rating_indirect(a, e, tabs(spark, d, a), score.bad_pairs(found, e)), "rating")
 
 
-_CTX = "(select a.mid, coalesce(sum(i.idf), 0) context from (select distinct mid, tableid from ans) a left join (select distinct u.tableid, i.term, i.idf from u join inverse_document_frequency i on i.term = u.tokenized where i.term in (select k from ex) and isfinite(i.idf)) i using (tableid) group by a.mid)"
+_CTX = "(select a.mid, coalesce(sum(i.idf), 0) context from (select distinct mid, tableid from ans) a left join (select distinct u.tableid, i.term, i.idf from uc u join inverse_document_frequency i on i.term = u.tokenized where i.term in (select k from ex) and isfinite(i.idf)) i using (tableid) group by a.mid)"
 
 
 @query(f"select mid, rating from (select mid, round(coalesce((p * good - (1 - p) * 2 * coalesce(n_bad, 0)) * 0.99 / nullif(total + (1 - p) * unseen, 0), 0), 6) rating from (select e.*, n_bad, least(prior * (1 + exp(-0.1 * context)), 1) p from evid e join tabs using (mid) join {_CTX} using (mid) left join {_NBAD} using (mid))) where rating > 0")
 def rating_sets(spark, d):
-    a, e = ans(spark, d), examples(spark, d)
+    found, e = cand(spark, d), examples(spark, d)
+    a = ans(spark, d, found)
     i = table(spark, d, "inverse_document_frequency").where("idf is not null and abs(idf) < double('infinity') and not isnan(idf)").select(F.col("term").alias("tokenized"), "idf").join(F.broadcast(e.select(F.col("k").alias("tokenized"))), "tokenized", "left_semi")
-    ctx = table(spark, d, "main_tokenized").join(F.broadcast(i), "tokenized").select("tableid", "tokenized", "idf").distinct().groupBy(F.col("tableid").cast("string").alias("t")).agg(F.sum("idf").alias("c"))
+    ctx = search.holding(rest(spark, d).select("tableid", "tokenized"), i).distinct().groupBy(F.col("tableid").cast("string").alias("t")).agg(F.sum("idf").alias("c"))
     t = tabs(spark, d, a).withColumn("t", F.split("mid", ":")[0]).join(ctx, "t", "left").select("mid", "prior", F.coalesce("c", F.lit(0.0)).alias("context"))
-    return _rounded(score.rating_sets(a, e, t, score.bad_pairs(a, e)), "rating").where("rating > 0")
+    return _rounded(score.rating_sets(a, e, t, score.bad_pairs(found, e)), "rating").where("rating > 0")
 
 
 @query(f"select mid, rating from (select mid, round(coalesce((prior * coalesce(g, 0) - (1 - prior) * 2 * coalesce(n_bad, 0)) * 0.99 / nullif(coalesce(g, 0) + coalesce(n_bad, 0), 0), 0), 6) rating from tabs left join (select mid, count(*) g from ans join (select k, v from ex) using (k, v) group by mid) using (mid) left join {_NBAD} using (mid)) where rating >= 0")
 def rating_pruned(spark, d):
-    a, e = ans(spark, d), examples(spark, d)
-    return _rounded(score.rating_pruned(a, e, score.bad_pairs(a, e), tabs(spark, d, a)), "rating")
+    found, e = cand(spark, d), examples(spark, d)
+    a = ans(spark, d, found)
+    return _rounded(score.rating_pruned(a, e, score.bad_pairs(found, e), tabs(spark, d, a)), "rating")
 
 
 @query("select k, v, round(score, 6) score from scored")
@@ -581,15 +694,17 @@ def score_majority(spark, d):
 
 
 _BEST = "(select k, v, score from (select *, row_number() over (partition by k order by round(score, 9) desc, v) i from {0}) where i = 1)"
+#: The second round of the iteration over the first round's evidence, without another search.
+_EM2 = ", ev3 as (select * from ev1)," + _RATED.format(i=3, p=1)
 
 
-@query(f"select k, v, round(score, 6) score from (select k, v, score from ex union all select k, v, score from {_BEST.format('scored')} where k not in (select k from ex))")
+@query("select k, v, round(score, 6) score from ex1")
 def em_1(spark, d):
     a = ans(spark, d)
     return _rounded(em.rounds(a, examples(spark, d), tabs(spark, d, a), 1)[1], "score")
 
 
-@query()
+@query(_EM2 + " select k, v, round(score, 6) score from ex3")
 def em_2(spark, d):
     a = ans(spark, d)
     return _rounded(em.rounds(a, examples(spark, d), tabs(spark, d, a), 2)[1], "score")
@@ -598,7 +713,7 @@ def em_2(spark, d):
 @query()
 def em_to_convergence(spark, d):
     a = ans(spark, d)
-    return _rounded(em.run(a, examples(spark, d), tabs(spark, d, a), most=8)[1], "score")
+    return _rounded(em.run(a, examples(spark, d), tabs(spark, d, a))[1], "score")
 
 
 @query(f"select k, v, round(score, 6) score from {_BEST.format('scored')} where k in (select k from rows0)")
@@ -608,28 +723,49 @@ def current_answer(spark, d):
     return _rounded(s.join(rows0(spark, d).select("k").distinct(), "k", "left_semi"), "score")
 
 
-@query(f"select r.k, b.v, round(coalesce(b.score, 0), 6) score from (select distinct k from rows0) r left join {_BEST.format('scored')} b using (k)")
+def induced(spark: SparkSession, d: str, most: int) -> em.Induced:
+    return em.induce(rest(spark, d), rows0(spark, d).select("k"), examples(spark, d), lambda a: tabs(spark, d, a), LEAST, searches=SEARCHES, most=most, asked=ASKED)
+
+
+_FINAL = f"ex{SEARCHES}"
+
+
+@query(f"select r.k, b.v, round(coalesce(b.score, 0), 6) score from (select distinct k from rows0) r left join {_FINAL} b using (k)")
 def transform(spark, d):
-    a = ans(spark, d)
-    return _rounded(score.transform(rows0(spark, d), score.score_functional(a, _ratings(spark, d, a))), "score")
+    """The flagship: search by the examples, accept, rate, score, search again with what was found; two rounds."""
+    return _rounded(score.transform(rows0(spark, d), induced(spark, d, SEARCHES).examples), "score")
+
+
+@query()
+def transform_to_convergence(spark, d):
+    """The same until the scores settle (at most 100 rounds)."""
+    return _rounded(score.transform(rows0(spark, d), induced(spark, d, 100).examples), "score")
 
 
-@query("select distinct k, v from ans a where not exists (select 1 from ans b join rat using (mid) where b.k = a.k and b.v = a.v and rating > 0.4)")
+@query(f"select mid, k, v from ev{SEARCHES}")
+def evidence(spark, d):
+    """All accepted evidence after the second search."""
+    return induced(spark, d, SEARCHES).evidence
+
+
+@query(f", {_WIDE} select distinct k, v from wide where (k, v) not in (select (k, v) from wide where mid not in (select mid from wide join wbad using (k, v)))")
 def prune_dangling(spark, d):
-    a = ans(spark, d)
-    return score.prune_dangling(a, _ratings(spark, d, a).where("rating <= 0.4"))[1]
+    """The answers that lose all support once the tables that contradict an example are removed."""
+    a, e = wide(spark, d), examples(spark, d)
+    return score.prune_dangling(a, a.join(score.bad_pairs(a, e), ["k", "v"], "left_semi").select("mid"))[1]
 
 
-@query("select mid, k, v from ans a where exists (select 1 from ans b where b.k = a.k and b.v = a.v and b.mid not in (select mid from ans join bad using (k, v) group by mid having count(*) > 1))")
+@query(f", {_WIDE} select mid, k, v from wide a where exists (select 1 from wide b where b.k = a.k and b.v = a.v and b.mid not in (select mid from wide join wbad using (k, v) group by mid having count(*) > 1))")
 def prune_bad_only(spark, d):
-    a = ans(spark, d)
+    a = wide(spark, d)
     return score.prune_bad_only(a, score.bad_pairs(a, examples(spark, d)), 1)
 
 
 @query("select distinct mid, k, v from (select mid, k, v from ans a where not exists (select 1 from bad b where b.k = a.k and b.v = a.v) union all select 'query', k, v from ex)")
 def feedback(spark, d):
-    a, e = ans(spark, d), examples(spark, d)
-    return score.feedback(a, e, e, score.bad_pairs(a, e), "query")[0]
+    found, e = cand(spark, d), examples(spark, d)
+    a = ans(spark, d, found)
+    return score.feedback(a, e, e, score.bad_pairs(found, e), "query")[0]
 
 
 @query("select mid, round(prior + (1 - prior) * coalesce(n, 0) * 0.99 / (select count(*) from ans join (select k, v from ex) using (k, v)), 6) prior from tabs left join (select mid, count(*) n from ans join (select k, v from ex) using (k, v) group by mid) using (mid)")
@@ -650,32 +786,51 @@ def top_tables(spark, d):
     return score.top_tables(_rounded(_ratings(spark, d), "rating"))
 
 
-@query("select distinct a.mid, a.k, a.v from ans a join ex e on (contains(a.k, e.k) or contains(e.k, a.k)) and (contains(a.v, e.v) or contains(e.v, a.v)) where levenshtein(a.k, e.k) <= 23 and levenshtein(a.v, e.v) <= 23")
+@query("select distinct a.mid, a.k, a.v from cand a join ex e on (contains(a.k, e.k) or contains(e.k, a.k)) and (contains(a.v, e.v) or contains(e.v, a.v)) where levenshtein(a.k, e.k) <= 23 and levenshtein(a.v, e.v) <= 23")
 def similar_example_tables(spark, d):
-    return score.similar_examples(ans(spark, d), examples(spark, d))
+    return score.similar_examples(cand(spark, d), examples(spark, d))
 
 
 @query()
 def truth_discovery(spark, d):
-    return em.latent_truth(ans(spark, d))
+    return em.latent_truth(wide(spark, d))
+
+
+PICKS = 5
 
 
-def _select(policy: str, sql: str | None):
+def _select(policy: str, sql: str):
     def f(spark, d):
-        a = ans(spark, d)
-        return score.select_pairs(a, score.score_majority(a) if policy == "xy_min_score" else a, policy, 10)
+        a = wide(spark, d)
+        r = rows0(spark, d)
+        scored = score.score_majority(a) if policy == "xy_min_score" else score.score_noisy_or(a, a.select("mid", F.lit(0.3).alias("rating")).distinct()) if policy == "clustering" else a
+        return score.select_pairs(a, scored, policy, PICKS, examples(spark, d), r)
 
     f.__name__ = f"select_{policy}"
-    query(sql)(f)
+    query(f", {_WIDE}{'' if sql.startswith(',') else ' '}{sql}")(f)
+
+
+_N = "(select k, v, count(distinct mid) n from wide where (k, v) not in (select (k, v) from ex) group by k, v)"
+_MAJ = "(select *, case when i = 1 then 0.5 + n * 0.5 / all_n else 0.0 end score from (select *, row_number() over (partition by k order by n desc, v) i from (select k, v, count(distinct mid) n from wide group by k, v)) join (select k, count(distinct mid) all_n from wide group by k) using (k))"
+
+
+def _greedy_sql(order: str) -> str:
+    """One step per pick: the pairs so far cover their tables; counts are made anew."""
+    steps = ["w0 as (select '' k, '' v where false)"]
+    for i in range(1, PICKS + 1):
+        steps.append(f"c{i} as (select distinct mid from wide where (k, v) in (select (k, v) from w{i - 1})), w{i} as (select * from w{i - 1} union all select k, v from (select k, v, count(distinct mid) filter (where mid in (select mid from c{i})) o, count(distinct mid) a from wide where (k, v) not in (select (k, v) from ex) and (k, v) not in (select (k, v) from w{i - 1}) group by k, v order by {order}, k, v limit 1))")
+    return ", " + ", ".join(steps) + f" select k, v from w{PICKS}"
 
 
-_N = "(select k, v, count(distinct mid) n from ans group by k, v)"
-_select("x_max", "select distinct k, v from ans where k in (select k from (select k, count(distinct mid) n from ans group by k order by n desc, k limit 10))")
-_select("xy_max", f"select k, v from {_N} order by n desc, k, v limit 10")
-_select("xy_min", f"select k, v from {_N} order by n, k, v limit 10")
-_select("xy_min_score", None)
-_select("max_cover", None)
-_select("min_overlap", f"select k, v from {_N} order by n, k, v limit 10")
+_select("x_max", f"select distinct k, v from wide where k in (select k from (select k, count(distinct mid) n from wide where k not in (select k from ex) group by k order by n desc, k limit {PICKS}))")
+_select("xy_max", f"select k, v from {_N} order by n desc, k, v limit {PICKS}")
+_select("xy_min", f"select k, v from {_N} order by n, k, v limit {PICKS}")
+_select("xy_min_score", f"select k, v from {_MAJ} where (k, v) not in (select (k, v) from ex) order by round(score, 9), k, v limit {PICKS}")
+_select("max_cover", _greedy_sql("a - o desc"))
+_select("min_overlap", _greedy_sql("o, a"))
+_select("oracle_bad", f"select k, v from {_N} where (k, v) not in (select (k, v) from rows0) order by n desc, k, v limit {PICKS}")
+# written from the definition: the value list of a key grows while its sum less its pairwise gaps grows
+_select("clustering", ", s as (select k, list(sc order by sc desc, v) ss, list(v order by sc desc, v) vs from (select k, v, round(1 - product(0.7), 12) sc from (select distinct k, v, mid from wide) group by k, v) group by k), g as (select k, ss, vs, m, list_sum(ss[1:m]) - coalesce(list_sum(list_transform(range(1, m + 1), lambda i: coalesce(list_sum(list_transform(range(i + 1, m + 1), lambda j: abs(ss[i] - ss[j]))), 0))), 0) f from s, unnest(range(1, len(ss) + 1)) t(m)), stop as (select k, min(m) m from (select *, f - coalesce(lag(f) over (partition by k order by m), 0) gain from g) where round(gain, 9) <= 0 group by k) select k, v from (select s.k, unnest(vs[stop.m + 1:]) v from s join stop using (k)) where (k, v) not in (select (k, v) from ex)")
 
 
 # dependencies, keys, two hops, enrichment
@@ -732,81 +887,111 @@ def fds_from_col(spark, d):
     return _deps(spark, d)
 
 
-_XZ = _DEP.rstrip() + ", xz as (select c.tableid, c.x_col, c.z_col, a.tokenized k, min(b.tokenized) z from dep c join xcol on xcol.tableid = c.tableid and xcol.colid = c.x_col join u a on a.tableid = c.tableid and a.colid = c.x_col join u b on b.tableid = c.tableid and b.colid = c.z_col and b.rowid = a.rowid where a.tokenized in (select k from rows0) group by all) "
+_STEM = "array_to_string(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x not in " + str(text.STOP_WORDS) + "), ' ')"
+#: Two tables that share no key with the answer: suppliers with their nations, nations with their regions. Wanted: the region
+#: of each supplier, given that of three.
+_HOP = f""", hcells as (select 1::bigint tableid, 0 colid, s_suppkey rowid, {_STEM.format('s_name')} tokenized from supplier union all select 1, 1, s_suppkey, {_STEM.format('n_name')} from supplier join nation on s_nationkey = n_nationkey union all select 1, 2, s_suppkey, {_STEM.format('cast(round(s_acctbal) as int)::varchar')} from supplier
+ union all select 2, 0, n_nationkey, {_STEM.format('n_name')} from nation union all select 2, 1, n_nationkey, {_STEM.format('r_name')} from nation join region on n_regionkey = r_regionkey),
+ hu as (select distinct * from hcells where tokenized <> ''), hrows as (select s_suppkey rowid, {_STEM.format('s_name')} k, {_STEM.format('r_name')} v from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+ hex as (select k, v, 1.0::double score from (select * from hrows order by rowid limit 3)),"""
+_DEPS = _DEP.lstrip(", ").replace("from cells)", "from hcells)")
+_XZ = _HOP + " " + _DEPS.rstrip() + """, hx as (select tableid, colid from hu where tokenized in (select k from hrows) group by all having count(distinct tokenized) >= 2),
+ xz0 as (select c.tableid, c.x_col, c.z_col, a.tokenized k, min(b.tokenized) z from dep c join hx on hx.tableid = c.tableid and hx.colid = c.x_col join hu a on a.tableid = c.tableid and a.colid = c.x_col join hu b on b.tableid = c.tableid and b.colid = c.z_col and b.rowid = a.rowid where a.tokenized in (select k from hrows) group by all),
+ xz as (select * from xz0 where (tableid, x_col, z_col) in (select (tableid, x_col, z_col) from xz0 join hex using (k) group by tableid, x_col, z_col having count(distinct z) >= count(distinct v))) """
+
+
+def _hop(spark, d):
+    """(cells, rows, examples) of the two-hop case."""
+    s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
+    sn = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    nr = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    one = lambda df, t, rowid, *cols: df.select(F.lit(t).cast("long").alias("tableid"), F.col(rowid).cast("int").alias("rowid"), F.posexplode(F.array(*cols)).alias("colid", "term"))
+    c = one(sn, 1, "s_suppkey", "s_name", "n_name", F.round("s_acctbal").cast("int").cast("string")).unionByName(one(nr, 2, "n_nationkey", "n_name", "r_name")).withColumn("tokenized", text.stem(F.col("term")))
+    rows = sn.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("rowid"), text.stem(F.col("s_name")).alias("k"), text.stem(F.col("r_name")).alias("v"))
+    e = rows.orderBy("rowid").limit(GIVEN).select("k", "v", F.lit(1.0).alias("score"))
+    return written(c, "hop"), rows, spark.createDataFrame(e.collect(), e.schema)
 
 
 def _xz(spark, d):
-    r = rows0(spark, d)
-    k = _tok(r, "k").select(F.lit(0).alias("pos"), "tokenized")
-    m = table(spark, d, "main_tokenized")
-    x = search.matching_columns(m, k, WIDE).select("tableid", F.col("colid").alias("x_col"))
-    own = m.join(x.select("tableid").distinct(), "tableid", "left_semi")  # only these tables' dependencies are needed
-    return written(indirect.x_to_z(own, x, fd.cell_dependencies(own), r), "xz")
+    c, rows, e = _hop(spark, d)
+    return c, rows, e, written(indirect.intermediate(c, rows, e, LEAST), "xz")
 
 
 @query(_XZ + "select * from xz")
 def intermediate(spark, d):
-    return _xz(spark, d)
+    return _xz(spark, d)[3]
 
 
-_ZY = _XZ.rstrip() + """, zc as (select tableid, colid from u where tokenized in (select z from xz) group by all having count(distinct tokenized) >= 2),
- yc as (select tableid, colid from u where tokenized in (select v from rows0) group by all having count(distinct tokenized) >= 2),
- zy as (select distinct concat(x.tableid, ':', x.colid, ':', y.colid) mid, a.tokenized k, b.tokenized v from zc x join yc y on x.tableid = y.tableid and x.colid <> y.colid join u a on a.tableid = x.tableid and a.colid = x.colid join u b on b.tableid = y.tableid and b.colid = y.colid and b.rowid = a.rowid),
+_ZY = _XZ.rstrip() + """, zc as (select tableid, colid from hu where tokenized in (select z from xz) group by all having count(distinct tokenized) >= least(2, (select count(distinct v) from hex))),
+ yc as (select tableid, colid from hu where tokenized in (select v from hex) group by all having count(distinct tokenized) >= least(2, (select count(distinct v) from hex))),
+ zy as (select distinct concat(x.tableid, ':', x.colid, ':', y.colid) mid, a.tokenized k, b.tokenized v from zc x join yc y on x.tableid = y.tableid and x.colid <> y.colid join hu a on a.tableid = x.tableid and a.colid = x.colid join hu b on b.tableid = y.tableid and b.colid = y.colid and b.rowid = a.rowid),
  zu as (select mid, k z, count(distinct v) m, min(v) v from zy group by all),
- ez as (select distinct concat(tableid, ':', x_col, ':', z_col) x_mid, z, e.v y from xz join ex e on e.k = xz.k),
- jo as (select x_mid, mid, count(*) filter (where m = 1 and v = y) n from ez join zu using (z) group by all having count(*) filter (where m = 1 and v = y) >= 2 and count(*) filter (where m > 1 or v <> y) = 0)
+ ez as (select distinct concat(tableid, ':', x_col, ':', z_col) x_mid, z, e.v y from xz join hex e on e.k = xz.k),
+ jo as (select x_mid, mid, count(*) filter (where m = 1 and v = y) n from ez join zu using (z) group by all having count(*) filter (where m = 1 and v = y) >= least(2, (select count(distinct v) from hex)) and count(*) filter (where m > 1 or v <> y) = 0)
 """
 
 
-def _zy(spark, d, xz):
-    r = rows0(spark, d)
-    m = table(spark, d, "main_tokenized")
-    found = search.find_tables(m, _tok(xz.select("z"), "z"), _tok(r, "v"), LEAST)
-    return written(score.answers(score.table_map(m, found)), "zy")
-
-
 @query(_ZY + "select x_mid, mid, n from jo")
 def joinable_zy(spark, d):
-    xz = _xz(spark, d)
-    return indirect.joinable(xz, _zy(spark, d, xz), examples(spark, d), LEAST)
+    c, _, e, xz = _xz(spark, d)
+    return indirect.joinable(xz, indirect.z_to_y(c, xz, e, LEAST), e, indirect.reachable(e, LEAST))
 
 
 @query(_ZY + "select distinct concat(x_mid, '>', mid) mid, k, v from (select concat(tableid, ':', x_col, ':', z_col) x_mid, k, z from xz) join jo using (x_mid) join (select mid, z, v from zu) using (mid, z)")
 def two_hop(spark, d):
-    xz = _xz(spark, d)
-    zy = _zy(spark, d, xz)
-    return indirect.two_hop(xz, zy, indirect.joinable(xz, zy, examples(spark, d), LEAST))
+    c, _, e, xz = _xz(spark, d)
+    return indirect.hops(c, xz, e, LEAST)
 
 
-@query()
+@query(f"select distinct {_STEM.format('s_name')} k, {_STEM.format('r_name')} v from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey".replace("select", _HOP.rstrip(",") + " select", 1))
 def transform_indirect(spark, d):
-    hops = two_hop(spark, d)
-    both = ans(spark, d).unionByName(hops).distinct()
-    return score.transform(rows0(spark, d), score.score_majority(both))
+    """Direct search finds nothing here; every answer comes over the two hops."""
+    c, rows, e = _hop(spark, d)
+    half = lambda a: a.select("mid").distinct().select("mid", F.lit(0.5).alias("prior"), F.lit(0.5).alias("schema"))
+    return indirect.transform(c, rows, e, half, LEAST).select("k", "v")
 
 
-@query("select n_name k, min(s_name) t1_1, min(c_name) t2_1 from nation left join supplier on s_nationkey = n_nationkey left join customer on c_nationkey = n_nationkey group by n_name")
+_RICH = _DEPS.replace("from hcells)", "from cells where tableid in (select tableid from xt))").rstrip()
+
+
+@query(", xt as (select tableid, min(colid) c0 from (select tableid, colid from uc where tokenized in (select k from rows0) group by all having count(distinct tokenized) >= 10) group by tableid order by tableid limit 20), xc as (select tableid, colid from uc where tableid in (select tableid from xt) and tokenized in (select k from rows0) group by all having count(distinct tokenized) >= 10), " + _RICH + " select a.tokenized k, concat('t_', d.tableid, '_', d.z_col) name, min(b.tokenized) z from dep d join xc on xc.tableid = d.tableid and xc.colid = d.x_col join uc a on a.tableid = d.tableid and a.colid = d.x_col join uc b on b.tableid = d.tableid and b.colid = d.z_col and b.rowid = a.rowid where a.tokenized in (select k from rows0) group by all")
 def enrich(spark, d):
+    """What the first 20 tables with ten of the keys add to each key, by the columns that the key determines."""
+    return indirect.enrichment(rest(spark, d), rows0(spark, d), 10, 20)
+
+
+@query("select n_name k, min(s_name) t1_1, min(c_name) t2_1 from nation left join supplier on s_nationkey = n_nationkey left join customer on c_nationkey = n_nationkey group by n_name")
+def enrich_wide(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("k"))
     one = lambda t, key, z, i: n.join(table(spark, d, t), F.col("n_nationkey") == F.col(key)).select(F.lit(i).alias("tableid"), F.lit(1).alias("z_col"), "k", F.col(z).alias("z"))
     xz = one("supplier", "s_nationkey", "s_name", 1).unionByName(one("customer", "c_nationkey", "c_name", 2))
-    return indirect.enrich(n, xz, ["t_1_1", "t_2_1"]).withColumnsRenamed({"t_1_1": "t1_1", "t_2_1": "t2_1"})
+    return indirect.widen(n, xz, ["t_1_1", "t_2_1"]).withColumnsRenamed({"t_1_1": "t1_1", "t_2_1": "t2_1"})
 
 
-@query(_XZ + "select k, v, count(*) n from (select k, v from rows0 union all select k, z from xz) group by k, v")
+@query("select k, v, count(*) n from (select k, v from rows0 union all select k, v from mapped where k in (select k from rows0)) group by k, v")
 def alternatives(spark, d):
-    return indirect.alternatives(rows0(spark, d), _xz(spark, d))
+    """The original values and what matched tables say of the same keys."""
+    return indirect.alternatives(rows0(spark, d), mapped(spark, d).select("k", F.col("v").alias("z")))
+
+
+@query("select own_col, rowid, o.v, w.v other, count(*) n from (select rowid, 1 own_col, v, k from rows0) o join (select distinct x.tableid, x.rowid r, x.tokenized k, y.colid, y.tokenized v from uc x join uc y on x.tableid = y.tableid and x.rowid = y.rowid and x.colid <> y.colid join matches m on m.tableid = x.tableid and m.x_col = x.colid and m.y_col = y.colid) w using (k) where o.v <> w.v group by all")
+def clean(spark, d):
+    """Other values that matched tables give where a row shares its key with them."""
+    m = written(matches(spark, d), "matches")
+    web = score.row_values(rest(spark, d), m)
+    return indirect.marked(rows0(spark, d), web)
 
 
 # column matching, graph, look-ups, strings, pages, evaluation
 
-_COV = "(select own_col, web_col, sum(n)::bigint n from (select case when colid = 0 then 0 else 1 end web_col, tokenized v, count(*) n from cells where colid in (0, 1) and tokenized is not null group by all) join (select distinct 0 own_col, k v from rows0 union select distinct 1, v from rows0) using (v) group by all)"
+_COV = "(select own_col, web_col, sum(n)::bigint n from (select concat(tableid, ':', colid) web_col, tokenized v, count(*) n from cells where tokenized is not null and tableid <> (select id from t0) group by all) join (select distinct 0 own_col, k v from rows0 union select distinct 1, v from rows0) using (v) group by all)"
 
 
 def _cov(spark, d):
+    """Of every column of the corpus, the rows whose value the input's keys (0) or values (1) hold."""
     r = rows0(spark, d)
     own = r.select(F.lit(0).alias("own_col"), F.col("k").alias("v")).union(r.select(F.lit(1), "v"))
-    web = cells(spark, d).where("colid in (0, 1) and tokenized is not null").select(F.col("colid").alias("web_col"), F.col("tokenized").alias("v"))
+    web = rest(spark, d).where("tokenized is not null").select("tableid", "colid", "rowid", "term", "tokenized").distinct().select(F.concat_ws(":", "tableid", "colid").alias("web_col"), F.col("tokenized").alias("v"))
     return match.coverage(web, own)
 
 
@@ -820,9 +1005,10 @@ def map_column(spark, d):
     return match.best_column(_cov(spark, d), LEAST)
 
 
-@query()
+@query(f", cov as (select * from {_COV} where split_part(web_col, ':', 1)::bigint in (select tableid from matches)), two as (select a.web_col w0, a.n n0, b.web_col w1, b.n n1 from (select web_col, n from cov where own_col = 0) a, (select web_col, n from cov where own_col = 1) b where a.web_col <> b.web_col order by n0 + n1 desc limit 1) select 0 own_col, w0 web_col, n0 n from two union all select 1, w1, n1 from two")
 def col_map(spark, d):
-    return match.column_mapping(_cov(spark, d), 0)
+    ids = [str(r[0]) for r in matches(spark, d).select("tableid").distinct().limit(1000).collect()]
+    return match.column_mapping(_cov(spark, d).where(F.split("web_col", ":")[0].isin(ids)), 0)
 
 
 @query("select distinct c_mktsegment v, concat('s', s_suppkey) subject from customer join supplier on s_suppkey = c_nationkey where false union all select lower(n_name), concat('n', n_nationkey) from nation")
@@ -831,21 +1017,30 @@ def entity_match(spark, d):
     return match.entity_match(table(spark, d, "nation").select(F.lower("n_name").alias("v")), t)
 
 
-_POST = "(select field, tok, tableid from (select *, row_number() over (partition by field, tok order by tableid) i, count(*) over (partition by field, tok) c from (select distinct 'header' field, header_tokenized tok, tableid from columns_tokenized where header_tokenized <> '')) where c > 1 and i <= 1000)"
+_FIELDS = """(select 'header' field, header_tokenized tok, tableid from columns_tokenized union all select 'content', tokenized, tableid from main_tokenized union all select f, unnest(string_split(t, ' ')), id from (select id, 'title' f, title_tokenized t from new_tables_tokenized_full union all select id, 'context', context_tokenized from new_tables_tokenized_full))"""
+_POST = "(select field, tok, tableid from (select *, row_number() over (partition by field, tok order by tableid) i, count(*) over (partition by field, tok) c from (select distinct field, tok, tableid from {0} where tok <> '' {1})) where c > 1 and i <= 1000)"
 
 
-def _headers(spark, d):
-    return table(spark, d, "columns_tokenized").select(F.lit("header").alias("field"), F.col("header_tokenized").alias("tok"), "tableid")
+_HPOST = _POST.format(_FIELDS, "and field = 'header'")
 
 
-@query(f"select * from {_POST}")
+def _terms(spark, d):
+    """(field, tok, tableid) of content, context, header and title."""
+    m = table(spark, d, "main_tokenized").select(F.lit("content").alias("field"), F.col("tokenized").alias("tok"), "tableid")
+    h = table(spark, d, "columns_tokenized").select(F.lit("header").alias("field"), F.col("header_tokenized").alias("tok"), "tableid")
+    t = table(spark, d, "new_tables_tokenized_full")
+    of = lambda f: t.select(F.lit(f).alias("field"), F.explode(F.split(f"{f}_tokenized", " ")).alias("tok"), F.col("id").alias("tableid"))
+    return h.unionByName(m).unionByName(of("title")).unionByName(of("context"))
+
+
+@query(f"select * from {_POST.format(_FIELDS, '')}")
 def postings(spark, d):
-    return graph.postings(_headers(spark, d))
+    return graph.postings(_terms(spark, d))
 
 
-@query(f", s as (select * from {_POST} qualify count(*) over (partition by field, tok) <= 50) select distinct x.tableid a, y.tableid b from s x join s y using (field, tok) where x.tableid < y.tableid")
+@query(f", s as (select * from {_HPOST}) select distinct x.tableid a, y.tableid b from s x join s y using (field, tok) where x.tableid < y.tableid")
 def join_graph(spark, d):
-    return graph.join_graph(graph.postings(_headers(spark, d)))
+    return graph.join_graph(graph.postings(_terms(spark, d).where("field = 'header'")))
 
 
 @query("select distinct tableid, colid from cells where term in (select term from cells where tableid = (select id from t0) and colid = 0)")
@@ -943,15 +1138,22 @@ def crowd_questions(spark, d):
     return evaluate.question_batches(table(spark, d, "customer").select(F.col("c_name").alias("k")), 10)
 
 
-_PR = f"(select count(*) filter (where b.v = t.v) c, count(b.v) a, count(*) t from (select k, min(v) v from rows0 group by k) t left join {_BEST.format('scored')} b using (k))"
+_PR = f"(select count(*) filter (where b.v = t.v) c, count(b.v) a, count(*) t from (select k, min(v) v from rows0 group by k) t left join {_FINAL} b using (k))"
 
 
 @query(f"select greatest(c - 3, 0) correct, greatest(a - 3, 0) answered, t - 3 total, round(coalesce(greatest(c - 3, 0) / nullif(greatest(a - 3, 0), 0), 0), 6) \"precision\", round(coalesce(greatest(c - 3, 0) / nullif(t - 3, 0), 0), 6) recall from {_PR}")
 def precision_recall(spark, d):
+    """Of the flagship; the given examples don't count."""
     truth = rows0(spark, d).groupBy("k").agg(F.min("v").alias("v"))
-    a = ans(spark, d)
-    found = score.best_per_key(score.score_functional(a, _ratings(spark, d, a)))
-    return _rounded(evaluate.precision_recall(found, truth, GIVEN), "precision", "recall")
+    return _rounded(evaluate.precision_recall(induced(spark, d, SEARCHES).examples, truth, GIVEN), "precision", "recall")
+
+
+@query("select c correct, a answered, t total, round(c / a, 6) \"precision\", round(c / t, 6) recall from (select count(*) c, count(*) a, (select count(*) from supplier) t from supplier where s_suppkey % 7 <> 0)")
+def precision_recall_lookup(spark, d):
+    """Of look-ups: equality but for case, and no output is no answer."""
+    s = table(spark, d, "supplier")
+    found = s.select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 7 == 0, "").otherwise(F.upper("s_name")).alias("v"))
+    return _rounded(evaluate.precision_recall(found, s.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v")), ignore_case=True, blank_is_none=True), "precision", "recall")
 
 
 @query("select tableid, count(distinct rowid) n_rows from cells group by tableid having count(distinct colid) = (select min(c) from (select count(distinct colid) c from cells group by tableid))")

@@ -56,17 +56,19 @@ def extract_table(relation: Column, header_row: Column) -> Column:
 
 
 def detect_header(cells: DataFrame) -> DataFrame:
-    """(tableid, header): 1 if three quarters of the first row end in a colon, or the first row's type differs from its
-    column's in some column; else 2 if the first column's does from its row's; else 0."""
+    """(tableid, header): 1 (a header row) if three quarters of the first row end in a colon, or the first row is of type
+    STRING and some column is not; else 2 (a header column) if the first column is STRING and some row's other cells are
+    not; else 0."""
     c = cells.where("term is not null")
-    colon = c.where("rowid = 0").groupBy("tableid").agg((F.count_if(F.col("term").endswith(":")) >= 0.75 * F.count("*")).alias("colon"))
-    def differs(axis: str, other: str, name: str) -> DataFrame:
-        body = c.where(f"{other} > 0").groupBy("tableid", axis).agg(infer_type(F.col("term")).alias("body"))
-        head = c.where(f"{other} = 0").groupBy("tableid", axis).agg(infer_type(F.col("term")).alias("head"))
-        return head.join(body, ["tableid", axis]).groupBy("tableid").agg(F.bool_or(F.col("head") != F.col("body")).alias(name))
-    t = c.select("tableid").distinct().join(colon, "tableid", "left").join(differs("colid", "rowid", "by_row"), "tableid", "left").join(differs("rowid", "colid", "by_col"), "tableid", "left")
+    colon = F.count_if(F.col("term").rlike(r":[^A-Za-z0-9_]*$")) >= 0.75 * F.count("*")
+    first_row = c.where("rowid = 0").groupBy("tableid").agg(colon.alias("colon"), infer_type(F.col("term")).alias("row_type"))
+    first_col = c.where("colid = 0").groupBy("tableid").agg(infer_type(F.col("term")).alias("col_type"))
+    other = lambda df, axis, name: df.groupBy("tableid", axis).agg(infer_type(F.col("term")).alias("t")).groupBy("tableid").agg(F.bool_or(F.col("t") != "STRING").alias(name))
+    t = c.select("tableid").distinct().join(first_row, "tableid", "left").join(first_col, "tableid", "left")
+    t = t.join(other(c, "colid", "by_row"), "tableid", "left").join(other(c.where("colid > 0"), "rowid", "by_col"), "tableid", "left")
     yes = lambda n: F.coalesce(F.col(n), F.lit(False))
-    return t.select("tableid", F.when(yes("colon") | yes("by_row"), 1).when(yes("by_col"), 2).otherwise(0).alias("header"))
+    header = F.when(yes("colon"), 1).when((F.col("row_type") == "STRING") & yes("by_row"), 1).when((F.col("col_type") == "STRING") & yes("by_col"), 2).otherwise(0)
+    return t.select("tableid", header.alias("header"))
 
 
 def column_types(cells: DataFrame) -> DataFrame:
