@@ -1,7 +1,8 @@
 """Per-key processing when a few keys hold most rows: fragment and replicate by estimated load.
 
-1. Loads: rows are counted per hash bucket of the key (BUCKETS numbers, whatever the data), then per key inside those
-   buckets only that could hold a heavy key. Both counts combine on the map side.
+1. Loads: rows are counted per hash bucket of the key (BUCKETS_PER_TASK times as many buckets as tasks, so that an ordinary
+   bucket is far below the weight of a heavy key), then per key inside those buckets only that could hold a heavy key. Both
+   counts combine on the map side.
 2. Plan: a key above HEAVY of a task's fair share is heavy; there are at most tasks / HEAVY of them, which bounds what
    reaches the driver and what is broadcast. A heavy key is split into shards in proportion to its load; shards and the
    buckets of the remaining keys are packed, largest first, into the least loaded task.
@@ -20,13 +21,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS_PER_TASK, LEAST_BUCKETS = 16, 4096
 HEAVY = 0.25
 BIN, SHARD = "__tw_bin", "__tw_shard"
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(BUCKETS)).cast("int")
+def _bucket(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(n)).cast("int")
 
 
 def _literal(numbers: list[int]) -> Column:
@@ -60,8 +61,9 @@ def pack(loads: dict, tasks: int, heavy_at: float) -> tuple[dict, float]:
 
 def plan(df: DataFrame, key: str, tasks: int) -> Plan:
     """Counts loads (two small jobs) and packs them."""
-    keyed = df.select(F.col(key).alias("k"), _bucket(F.col(key)).alias("b"))
-    of_bucket = dict(keyed.groupBy("b").count().collect())  # at most BUCKETS rows
+    n_buckets = max(LEAST_BUCKETS, BUCKETS_PER_TASK * tasks)
+    keyed = df.select(F.col(key).alias("k"), _bucket(F.col(key), n_buckets).alias("b"))
+    of_bucket = dict(keyed.groupBy("b").count().collect())  # at most n_buckets rows
     total = sum(of_bucket.values())
     fair = max(1.0, total / tasks)
     hot = [b for b, n in of_bucket.items() if n >= fair * HEAVY]
@@ -73,7 +75,7 @@ def plan(df: DataFrame, key: str, tasks: int) -> Plan:
     for (b, _), n in heavy.items():
         rest[b] -= n
     placed, _ = pack({("k", k): (n, True) for (_, k), n in heavy.items()} | {("b", b): (n, False) for b, n in rest.items()}, tasks, fair * HEAVY)
-    return Plan(tasks, total, {k: placed["k", k] for _, k in heavy}, [placed.get(("b", b), [b % tasks])[0] for b in range(BUCKETS)])
+    return Plan(tasks, total, {k: placed["k", k] for _, k in heavy}, [placed.get(("b", b), [b % tasks])[0] for b in range(n_buckets)])
 
 
 def _shards(p: Plan, df: DataFrame, key: str) -> DataFrame:
@@ -90,16 +92,16 @@ def fragment(df: DataFrame, key: str, p: Plan, shard_by: list[str]) -> DataFrame
         out = out.join(F.broadcast(_shards(p, df, key)), out[key] == F.col("__tw_k"), "left")
         n = F.size("__tw_tasks")
         shard = F.when(F.col("__tw_k").isNotNull(), F.pmod(F.xxhash64(*shard_by), F.greatest(n, F.lit(1))).cast("int")).otherwise(0)
-        out = out.withColumn(SHARD, shard).withColumn(BIN, F.when(F.col("__tw_k").isNotNull(), F.try_element_at("__tw_tasks", F.col(SHARD) + 1)).otherwise(F.get(buckets, _bucket(F.col(key))))).drop("__tw_k", "__tw_tasks")
+        out = out.withColumn(SHARD, shard).withColumn(BIN, F.when(F.col("__tw_k").isNotNull(), F.try_element_at("__tw_tasks", F.col(SHARD) + 1)).otherwise(F.get(buckets, _bucket(F.col(key), len(p.buckets))))).drop("__tw_k", "__tw_tasks")
     else:
-        out = out.withColumn(SHARD, F.lit(0)).withColumn(BIN, F.get(buckets, _bucket(F.col(key))))
+        out = out.withColumn(SHARD, F.lit(0)).withColumn(BIN, F.get(buckets, _bucket(F.col(key), len(p.buckets))))
     return out.repartitionById(p.tasks, F.col(BIN).cast("int"))
 
 
 def replicate(df: DataFrame, key: str, p: Plan) -> DataFrame:
     """The matching side: a row of a heavy key goes to each of the key's shards, any other row to one task."""
     buckets = _literal(p.buckets)
-    one = F.array(F.struct(F.lit(0).alias("s"), F.get(buckets, _bucket(F.col(key))).alias("t")))
+    one = F.array(F.struct(F.lit(0).alias("s"), F.get(buckets, _bucket(F.col(key), len(p.buckets))).alias("t")))
     at = one
     out = df
     if p.heavy:
@@ -120,15 +122,18 @@ def join(left: DataFrame, right: DataFrame, key: str, how: str = "left", tasks:
 def key_stats(cells: DataFrame, key: str, tasks: int = 0) -> tuple[DataFrame, Plan]:
     """(key_value, n_rows, n_columns, n_tables) per non-null key of a cell relation (tableid, colid, ..), and the plan.
 
-    A shard holds whole tables of a value (or whole columns of a table), so that the shards' numbers add up.
+    Rows are combined per (key, table, column) on the map side first, so that even one value in one column of one table is
+    a single row when it is placed. A shard holds whole tables of a value (or whole columns of a table), so that the shards'
+    numbers add up.
     """
     tasks = tasks or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cells.select(F.col(key).alias("key_value"), F.col("tableid").alias("t"), F.col("colid").alias("c"))
     p = plan(rows, "key_value", tasks)
     by_table = key != "tableid"
-    placed = fragment(rows.where(F.col("key_value").isNotNull()), "key_value", p, ["t"] if by_table else ["c"])
-    columns = placed.groupBy(BIN, SHARD, "key_value", "t", "c").agg(F.count("*").alias("n"))
-    shards = columns.groupBy(BIN, SHARD, "key_value").agg(F.sum("n").alias("n"), F.count("*").alias("cols"), F.count_distinct("t").alias("tabs"))
+    columns = rows.where(F.col("key_value").isNotNull()).groupBy("key_value", "t", "c").agg(F.count("*").alias("n"))
+    placed = fragment(columns, "key_value", p, ["t"] if by_table else ["c"])
+    per_table = placed.groupBy(BIN, SHARD, "key_value", "t").agg(F.sum("n").alias("n"), F.count("*").alias("cols"))
+    shards = per_table.groupBy(BIN, SHARD, "key_value").agg(F.sum("n").alias("n"), F.sum("cols").alias("cols"), F.count("*").alias("tabs"))
     tables = F.sum("tabs") if by_table else F.max("tabs")
     return shards.groupBy("key_value").agg(F.sum("n").alias("n_rows"), F.sum("cols").alias("n_columns"), tables.alias("n_tables")), p
 
