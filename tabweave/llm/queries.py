@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm import capping, distinctive, encoding, leakage, mojibake, set_join, term_counts, truncation
-from tabweave.plans.common import shared_dir, table, written
+from tabweave.operators.search import small
+from tabweave.plans.common import scratch, table, written
 
 
 def _column_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -36,12 +36,37 @@ def p4_kept_per_contributor(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("contributor").agg(F.count_if(~F.col("over")).alias("n_kept"), F.count_if("over").alias("n_dropped"))
 
 
+#: Tables loaded in the last days of the corpus are a delta to the counts of all tables loaded before.
+LATE_DAYS = 90
+
+
 def _counted(spark: SparkSession, d: str) -> term_counts.TermCounts:
-    state = term_counts.TermCounts(spark, f"{shared_dir(spark)}/tabweave/terms-{uuid.uuid4().hex}")
-    state.apply(added=table(spark, d, "main_tokenized").select("tableid", "colid", "rowid", "term", "tokenized"))
+    """The corpus as it was LATE_DAYS before its last load, and then, on the state opened again, what came since."""
+    root = scratch(spark, "terms")
+    cells = table(spark, d, "main_tokenized").select("tableid", "colid", "rowid", "term", "tokenized")
+    loads = table(spark, d, "new_tables_tokenized_full").select(F.col("id").alias("tableid"), "loaded_at")
+    last = loads.agg(F.max("loaded_at").alias("last"))  # one row
+    late = small(loads.join(F.broadcast(last), F.col("loaded_at") > F.col("last") - F.expr(f"interval {LATE_DAYS} days")).select("tableid").distinct())
+    term_counts.TermCounts(spark, root).apply(added=cells.join(late, "tableid", "left_anti"))
+    state = term_counts.TermCounts(spark, root)
+    state.apply(added=cells.join(late, "tableid", "left_semi"))
     return state
 
 
+def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Three deltas, the state opened again for each: the tables of sources up to 4; those of the other sources; those of
+    source 1 go, and those of source 2 lose their first column."""
+    root = scratch(spark, "terms")
+    of = table(spark, d, "new_tables_tokenized_full").groupBy(F.col("id").alias("tableid")).agg(F.coalesce(F.min("source"), F.lit(0)).alias("source"))
+    cells = table(spark, d, "main_tokenized").select("tableid", "colid", "rowid", "term", "tokenized").join(of, "tableid", "left").withColumn("source", F.coalesce("source", F.lit(0)))
+    plain = lambda where: cells.where(where).drop("source")
+    term_counts.TermCounts(spark, root).apply(added=plain("source <= 4"))
+    term_counts.TermCounts(spark, root).apply(added=plain("source > 4"))
+    state = term_counts.TermCounts(spark, root)
+    state.apply(added=plain("source = 2 and colid <> 0"), removed=plain("source in (1, 2)"))
+    return term_counts.TermCounts(spark, root).terms()
+
+
 def _n_tables(spark: SparkSession, d: str) -> int:
     return table(spark, d, "main_tokenized").select("tableid").distinct().count()
 
@@ -118,7 +143,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_membership, p4_found, p4_kept_per_contributor, p5_found, p5_counts, p6_found, p6_graph_of_words, p7_found, p7_share_per_source, p8_ids, p8_token_totals, p9_found, p9_clean_corpus, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_membership, p4_found, p4_kept_per_contributor, p5_found, p5_counts, p5_incremental, p6_found, p6_graph_of_words, p7_found, p7_share_per_source, p8_ids, p8_token_totals, p9_found, p9_clean_corpus, p10_found, p10_restored)}
 
 _CONTRIBUTOR = r"""select distinct id, regexp_replace(regexp_replace(lower(trim(case when trim(coalesce(domain, '')) <> '' then domain
  else regexp_extract(coalesce(url, ''), '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) end)), '\.+$', ''), '^www\.', '') c,
@@ -137,6 +162,9 @@ SQL = {
  union all select term, 'common' from {_CELLS} where term is not null group by term having count(distinct tableid) > 0.03 * (select count(distinct tableid) from main_tokenized)
  union all select distinct i.term, 'drift' from inverse_document_frequency i left join (select tokenized, count(distinct tableid) n from main_tokenized group by 1) m on m.tokenized = i.term where number_occurence is not null and number_occurence <> coalesce(n, 0)""",
     "p5_counts": f"select term, count(*) occurrences, count(distinct tableid) records from {_CELLS} where term is not null group by term",
+    "p5_incremental": f"""with c as (select m.*, coalesce(s, 0) source from {_CELLS} m left join (select id, min(source) s from new_tables_tokenized_full group by id) t on t.id = m.tableid),
+ k as (select * from c where source <> 1 and not (source = 2 and colid = 0)), v as (select 'term' field, term "value", tableid from k union all select 'tokenized', tokenized, tableid from k)
+ select field, "value", count(*) occurrences, count(distinct tableid) records from v where "value" is not null group by all""",
     "p6_found": f"""select tableid, tokenized from (select tableid, tokenized, row_number() over (partition by tableid order by round(n * ln((select count(distinct tableid) from main_tokenized) / df), 6) desc, tokenized) k
  from (select tableid, tokenized, count(*) n from {_CELLS} where tokenized <> '' group by all) join (select tokenized, count(distinct tableid) df from main_tokenized group by 1) using (tokenized)) where k <= 3""",
     "p6_graph_of_words": f"""with c as (select tableid, colid, tokenized, row_number() over (partition by tableid, colid order by rowid, tokenized) i from {_CELLS} where tokenized <> ''),

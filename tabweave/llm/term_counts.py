@@ -1,107 +1,151 @@
 """Occurrences and record counts of every value, kept up to date by signed deltas.
 
-The state in a folder, partitioned by field and bucket of the value:
+The state is a folder, and is opened again from it:
 
-    pairs/  (field, value, record) -> occurrences of the value in the record
-    terms/  (field, value)         -> occurrences, records
+    manifest/   one set of rows per version: bucket -> folder of its counts, number of buckets
+    terms/      (field, value) -> occurrences, records; partitioned by bucket, a hash of the value
 
-apply() takes only added and removed cells (a changed record: its old cells removed, its new ones added), nets them to
-one signed number per (field, value, record), finds from the stored pairs of those values alone which records gain or
-lose a value, and merges both relations bucket by bucket. Buckets that no delta touches are carried over by reference.
+apply() reads only added, changed and deleted records: a record that came is added, one that went is removed, a changed one
+is removed as it was and added as it is. Each side is aggregated to one occurrence and one record count per value; the
+signed sums are merged into the buckets they touch, all other buckets are carried over by reference, and a new version of
+the manifest is written last. changes() finds the changed records of two snapshots; whole() turns added and removed cells
+of known records into old and new records.
 
-Defined cases: exact repeats of an added or removed row count once; a null value has no count, the empty string is a
-value; a value whose occurrences fall to 0 leaves the state; removing what was never added raises ValueError. An empty
-delta leaves the counts as they are. A hot value is combined on the map side, per record first.
+Records are aggregated where they are: one exchange by record serves the removal of repeats and the counts per (value,
+record). Records that hold more than a quarter of a task's share are split by value instead. The number of buckets follows
+the number of tasks, and is doubled when buckets hold more than PER_BUCKET values.
+
+Defined cases: exact repeats of an added or removed row count once; a null value has no count, the empty string is a value;
+rows without a record are ignored; a value whose occurrences fall to 0 leaves the state; removing what was never added
+raises ValueError and leaves the state as it was. An empty delta changes nothing.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAIR = ["field", "value", "record"]
+from tabweave.plans.common import parallelism
+
+PER_BUCKET = 4_000_000
+_TERMS = "field string, value string, occurrences long, records long"
+_MANIFEST = "version long, n_buckets int, n_terms long, bucket int, folder string"
+
+
+def counted(cells: DataFrame, record: str, fields: tuple[str, ...]) -> DataFrame:
+    """(field, value, occurrences, records) of whole records; cells may repeat rows."""
+    spark = cells.sparkSession
+    rows = cells.where(F.col(record).isNotNull())
+    loads = rows.groupBy(record).agg(F.count("*").alias("n"))
+    total = loads.agg(F.sum("n")).first()[0] or 0
+    heavy = loads.where(F.col("n") > max(1.0, total / parallelism(spark) / 4)).select(F.col(record).alias("__tw_r"))  # fewer than 4 per task
+    light = rows.join(F.broadcast(heavy), rows[record] == F.col("__tw_r"), "left_anti").repartition(record)
+    large = rows.join(F.broadcast(heavy), rows[record] == F.col("__tw_r"), "left_semi")
+
+    def pairs(df: DataFrame) -> DataFrame:
+        values = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))
+        one = df.distinct().select(F.col(record).cast("long").alias("record"), values.alias("x")).where("x.value is not null")
+        return one.groupBy("record", "x.field", "x.value").agg(F.count("*").alias("n"))
+
+    both = pairs(light).unionByName(pairs(large))
+    return both.groupBy("field", "value").agg(F.sum("n").alias("occurrences"), F.count("*").alias("records"))
+
+
+def changes(old: DataFrame, new: DataFrame, record: str = "tableid") -> tuple[DataFrame, DataFrame]:
+    """(added, removed): the new and old cells of the records that differ between two snapshots with the same columns."""
+
+    def prints(df: DataFrame) -> DataFrame:
+        rows = df.distinct()
+        h = [F.bit_xor(F.xxhash64(F.lit(i), *(F.struct(F.col(c)) for c in df.columns))).alias(f"h{i}") for i in (1, 2)]
+        return rows.groupBy(record).agg(F.count("*").alias("n"), *h)
+
+    a, b = prints(old).alias("a"), prints(new).alias("b")
+    same = a.join(b, F.expr(f"a.{record} = b.{record} and a.n = b.n and a.h1 = b.h1 and a.h2 = b.h2")).select(F.col(f"a.{record}").alias(record))
+    return new.join(same, record, "left_anti"), old.join(same, record, "left_anti")
+
+
+def whole(held: DataFrame, added: DataFrame, removed: DataFrame, record: str = "tableid") -> tuple[DataFrame, DataFrame]:
+    """(added, removed) of apply() for cells that come and go in records whose other cells (held) stay."""
+    touched = added.select(record).union(removed.select(record)).distinct()
+    old = held.select(*added.columns).join(touched, record, "left_semi").select(*added.columns).distinct()
+    return old.union(added).subtract(removed), old
 
 
 class TermCounts:
-    """The state under root; each apply() writes a new version beside the old ones and points to it."""
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-        self.parts: dict[str, dict[int, str]] = {"pairs": {}, "terms": {}}  # relation -> bucket -> folder
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64("field", "value"), F.lit(self.buckets)).cast("int")
-
-    def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame | None:
-        held = self.parts[name]
-        folders = sorted({held[b] for b in held if buckets is None or b in buckets})
-        if not folders:
-            return None
-        schema = "field string, value string, record long, n long" if name == "pairs" else "field string, value string, occurrences long, records long"
-        out = None
-        for f in folders:
-            own = [b for b in held if held[b] == f and (buckets is None or b in buckets)]
-            part = self.spark.read.schema(schema + ", bucket int").parquet(f).where(F.col("bucket").isin(own))
-            out = part if out is None else out.unionByName(part)
-        return out
+    """The state under root."""
 
-    def _write(self, name: str, df: DataFrame, buckets: list[int]) -> None:
-        folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        df.write.partitionBy("bucket").parquet(folder)
-        for b in buckets:
-            self.parts[name][b] = folder
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 0):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.version, self.n_terms, self.buckets = 0, 0, buckets or parallelism(spark)
+        self.folders: dict[int, str] = {}
+        try:
+            m = spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
+            last = m.agg(F.max("version")).first()[0]
+        except AnalysisException:  # nothing has been written there
+            last = None
+        if last is not None:
+            rows = m.where(F.col("version") == last).collect()  # one row per bucket
+            self.version, self.n_terms, self.buckets = last, rows[0]["n_terms"], rows[0]["n_buckets"]
+            self.folders = {r["bucket"]: r["folder"] for r in rows}
+
+    def _read(self, buckets: set[int] | None = None) -> DataFrame:
+        out = self.spark.createDataFrame([], _TERMS)
+        for f in sorted(set(self.folders.values())):
+            own = [b for b, g in self.folders.items() if g == f and (buckets is None or b in buckets)]
+            if own:
+                out = out.unionByName(self.spark.read.schema(_TERMS + ", bucket int").parquet(f).where(F.col("bucket").isin(own)).drop("bucket"))
+        return out
 
     def apply(self, added: DataFrame | None = None, removed: DataFrame | None = None, record: str = "tableid", fields: tuple[str, ...] = ("term", "tokenized")) -> None:
+        n_buckets = self.buckets
+        while self.n_terms > n_buckets * PER_BUCKET:
+            n_buckets *= 2
+        bucket = F.pmod(F.xxhash64("field", "value"), F.lit(n_buckets)).cast("int")
         signed = None
         for df, sign in ((added, 1), (removed, -1)):
             if df is not None:
-                values = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))
-                one = df.distinct().select(F.col(record).cast("long").alias("record"), values.alias("x")).where("x.value is not null and record is not null")
-                one = one.select("x.field", "x.value", "record", F.lit(sign).cast("long").alias("n"))
+                one = counted(df, record, fields).select("field", "value", (F.lit(sign) * F.col("occurrences")).alias("occurrences"), (F.lit(sign) * F.col("records")).alias("records"))
                 signed = one if signed is None else signed.unionByName(one)
         if signed is None:
             return
-        delta = signed.groupBy(*PAIR).agg(F.sum("n").alias("d")).where("d <> 0").withColumn("bucket", self._bucket())
-        if not self.parts["pairs"]:  # nothing stored: the deltas are the pairs
-            touched, pairs = list(range(self.buckets)), delta.withColumn("n", F.col("d")).withColumn("was", F.lit(0).cast("long"))
-        else:
+        if self.folders:
             folder = f"{self.root}/delta/{uuid.uuid4().hex}"
-            delta.write.parquet(folder)
-            delta = self.spark.read.schema(delta.schema).parquet(folder)
-            touched = sorted(r[0] for r in delta.select("bucket").distinct().collect())  # at most `buckets` numbers
-            old = self._read("pairs", touched)
+            signed.write.parquet(folder)
+            signed = self.spark.read.schema(_TERMS).parquet(folder)
+            touched = {r[0] for r in signed.select(bucket.alias("b")).distinct().collect()}  # at most n_buckets numbers
             if not touched:
                 return
-            pairs = delta.withColumnRenamed("bucket", "b").join(old, PAIR, "full") if old is not None else delta.withColumnRenamed("bucket", "b").withColumns({"n": F.lit(None).cast("long"), "bucket": F.lit(None).cast("int")})
-            was = F.coalesce("n", F.lit(0))
-            pairs = pairs.select(*PAIR, F.coalesce("d", F.lit(0)).alias("d"), (was + F.coalesce("d", F.lit(0))).alias("n"), was.alias("was"), F.coalesce("b", "bucket").alias("bucket"))
-        base = None if not self.parts["terms"] else self._read("terms", touched)
-        folder = f"{self.root}/work/{uuid.uuid4().hex}"
-        pairs.select(*PAIR, "d", "n", "was", "bucket").write.partitionBy("bucket").parquet(folder)
-        pairs = self.spark.read.schema("field string, value string, record long, d long, n long, was long, bucket int").parquet(folder)
-        gain = (F.col("n") > 0).cast("long") - (F.col("was") > 0).cast("long")
-        changes = pairs.where("d <> 0").groupBy("bucket", "field", "value").agg(F.sum("d").alias("d_occ"), F.sum(gain).alias("d_rec"), F.min("n").alias("least"))
-        if base is None:
-            terms = changes.select("field", "value", F.col("d_occ").alias("occurrences"), F.col("d_rec").alias("records"), "least", "bucket")
+            if n_buckets != self.buckets:  # every bucket is split
+                touched = set(range(n_buckets))
+            signed = signed.unionByName(self._read(None if n_buckets != self.buckets else touched))
         else:
-            terms = changes.join(base, ["bucket", "field", "value"], "full").select("field", "value", (F.coalesce("occurrences", F.lit(0)) + F.coalesce("d_occ", F.lit(0))).alias("occurrences"), (F.coalesce("records", F.lit(0)) + F.coalesce("d_rec", F.lit(0))).alias("records"), "least", "bucket")
-        wrong = F.when(F.col("least") < 0, F.raise_error(F.lit("a removed cell was never added"))).otherwise(F.col("occurrences"))
-        terms = terms.withColumn("occurrences", wrong).where("occurrences > 0").drop("least")
+            touched = set(range(n_buckets))
+        placed = signed.withColumn("bucket", bucket).repartition(n_buckets, "bucket")
+        merged = placed.groupBy("bucket", "field", "value").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        wrong = "occurrences < 0 or records < 0 or (occurrences = 0) <> (records = 0)"
+        checked = F.when(F.expr(wrong), F.raise_error(F.lit("a removed cell was never added"))).otherwise(F.col("occurrences"))
+        merged = merged.withColumn("occurrences", checked).where("occurrences <> 0")
+        folder = f"{self.root}/terms/{uuid.uuid4().hex}"
         try:
-            self._write("terms", terms.repartition("bucket"), touched)
+            merged.write.partitionBy("bucket").parquet(folder)
         except Exception as e:
             if "never added" in str(e):
                 raise ValueError("a removed cell was never added") from e
             raise
-        for b in touched:
-            self.parts["pairs"][b] = folder  # rows with n = 0 are gone records
+        kept = {} if n_buckets != self.buckets else {b: f for b, f in self.folders.items() if b not in touched}
+        folders = kept | {b: folder for b in touched}
+        before, self.folders, self.buckets = self.folders, folders, n_buckets
+        self.n_terms = self._read().count() if before else self.spark.read.schema(_TERMS).parquet(folder).count()
+        self.version += 1
+        rows = [(self.version, n_buckets, self.n_terms, b, f) for b, f in folders.items()]
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
 
     def terms(self) -> DataFrame:
         """(field, value, occurrences, records) of everything counted."""
-        t = self._read("terms")
-        return t.drop("bucket") if t is not None else self.spark.createDataFrame([], "field string, value string, occurrences long, records long")
+        return self._read()
 
 
 def marks(terms: DataFrame, n_records: int, stored: DataFrame, common_share: float = 0.03) -> DataFrame:

@@ -98,21 +98,51 @@ def brute_counts(rows):
     return {(f, v, n, len(rec[f, v])) for (f, v), n in occ.items()}
 
 
-def test_deltas_equal_a_recount(spark, tmp_path):
+_FIVE = "tableid long, colid int, rowid int, term string, tokenized string"
+
+
+@pytest.mark.parametrize("per_bucket", [4_000_000, 5])
+def test_deltas_equal_a_recount(spark, tmp_path, monkeypatch, per_bucket):
+    monkeypatch.setattr(term_counts, "PER_BUCKET", per_bucket)
     rows = [x[:5] for x in random_cells()]
     old, changed = rows[:700], rows[650:]
-    frame = lambda x: spark.createDataFrame(x, "tableid long, colid int, rowid int, term string, tokenized string")
-    state = term_counts.TermCounts(spark, f"file://{tmp_path}/s", buckets=4)
+    frame = lambda x: spark.createDataFrame(x, _FIVE)
+    at = f"file://{tmp_path}/s"
+    state = term_counts.TermCounts(spark, at, buckets=4)
     state.apply(added=frame(old))
     assert {tuple(x) for x in state.terms().collect()} == brute_counts(old)
+    # cells that come and go in records whose other cells stay
     new = sorted(set(changed) - set(old), key=str)
     gone = sorted(set(old[:120]), key=str)
-    state.apply(added=frame(new), removed=frame(gone))
-    assert {tuple(x) for x in state.terms().collect()} == brute_counts((set(old) | set(new)) - set(gone))
+    state = term_counts.TermCounts(spark, at)
+    added, removed = term_counts.whole(frame(old), frame(new), frame(gone))
+    state.apply(added=added, removed=removed)
+    now = (set(old) | set(new)) - set(gone)
+    assert {tuple(x) for x in state.terms().collect()} == brute_counts(now)
     state.apply(added=frame([]))
-    assert {tuple(x) for x in state.terms().collect()} == brute_counts((set(old) | set(new)) - set(gone))
+    assert {tuple(x) for x in term_counts.TermCounts(spark, at).terms().collect()} == brute_counts(now)
     with pytest.raises(ValueError):
         state.apply(removed=frame([(1, 1, 1, "never", "there")]))
+    again = term_counts.TermCounts(spark, at)
+    assert {tuple(x) for x in again.terms().collect()} == brute_counts(now)
+    assert (again.buckets > 4) == (per_bucket == 5)
+    # two snapshots: records that differ are replaced, the others are not read
+    later = {x for x in now if x[0] != 3} | {(50, 0, 0, "new", "new"), (1, 0, 0, None, "x")}
+    added, removed = term_counts.changes(frame(sorted(now, key=str)), frame(sorted(later, key=str)))
+    assert {x["tableid"] for x in added.collect()} == {1, 50} and {x["tableid"] for x in removed.collect()} == {1, 3}
+    again.apply(added=added, removed=removed)
+    assert {tuple(x) for x in again.terms().collect()} == brute_counts(later)
+    again.apply(removed=frame(sorted(later, key=str)))
+    assert again.terms().count() == 0
+
+
+def test_counts_of_nothing_and_of_one_hot_record(spark, tmp_path):
+    state = term_counts.TermCounts(spark, f"file://{tmp_path}/e", buckets=2)
+    state.apply(added=spark.createDataFrame([], _FIVE))
+    assert state.terms().count() == 0
+    rows = [(7, 0, i, f"v{i % 5}", "t" if i % 2 else None) for i in range(500)] * 2 + [(None, 0, 0, "lost", "lost")]
+    state.apply(added=spark.createDataFrame(rows, _FIVE))
+    assert {tuple(x) for x in state.terms().collect()} == {("term", f"v{i}", 100, 1) for i in range(5)} | {("tokenized", "t", 250, 1)}
 
 
 def test_marks(spark, tmp_path):
