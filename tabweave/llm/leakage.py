@@ -1,15 +1,19 @@
 """Evaluation texts inside training texts: suffix arrays over shards of the corpus.
 
 Texts and items are read as words: markup, entities, case, punctuation and white space don't count. Each task cuts its
-documents into shards of at most SHARD words and builds a suffix array over the stretches of a shard that consist of
-item words only (no other stretch can match). Every suffix of every item is looked up by binary search; its whole range
-of matches of at least SEED words gives the places, the words around each place are compared on the same diagonal, and
-runs of at least min_words with at most one word in `replaced` exchanged are kept. Such a run always holds SEED equal
-words in a row: with k <= L / 8 exchanged words, the longest of its k + 1 equal stretches has (L - k) / (k + 1) words,
-which is above 5 for every L >= 22 up to 8 * k + 7, k >= 2.
+documents into shards of about SHARD words and sorts all suffixes of the shard's stretches of item words (no other stretch
+can match) to their full depth, with the lengths of the common prefixes of neighbours. Every suffix of every item is looked
+up by binary search at full depth; its neighbours there give the longest verbatim match, and the suffixes around it that
+share at least SEED words give all places with the length of each match. Matches that a longer one covers are left out.
 
-The items are the stated query set; they are sent to all tasks in blocks of at most ITEMS, so what is sent has a bound.
-A document longer than a shard is read in parts that overlap by the longest item.
+A leaked passage may have exchanged words: the words around each verbatim match are compared on the same diagonal, and runs
+of at least min_words with at most one word in `replaced` exchanged are kept. Such a run always holds SEED equal words in a
+row: with k <= L / 8 exchanged words, the longest of its k + 1 equal stretches has (L - k) / (k + 1) words, which is above 5
+for every L >= 22 up to 8 * k + 7, k >= 2.
+
+The items are the stated query set; they are sent to all tasks in blocks of at most ITEMS items or ITEM_WORDS words, so what
+is sent has a bound. A document longer than a shard is read in parts, each with the words of the next part up to the length
+of the longest item, so that no run is lost between them.
 
 Defined cases: null, empty and blank texts leak nothing; an item shorter than min_words leaks nowhere; a run begins and
 ends with an equal word; repeated rows and several runs give one row per (document, item).
@@ -30,7 +34,9 @@ from tabweave.plans.common import received, shipped
 
 SEED = 6
 SHARD = 300_000
-ITEMS = 2_000
+ITEMS, ITEM_WORDS = 2_000, 2_000_000
+#: Words compared at a time on the diagonals.
+CELLS = 4_000_000
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -45,45 +51,46 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes of ids, sorted by their first depth values (a suffix that ends sooner comes first)."""
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes of ids in order (a suffix that ends sooner comes first), by doubling the compared length."""
     n = len(ids)
     rank = np.unique(ids, return_inverse=True)[1].astype(np.int64) + 1
     k = 1
     order = np.argsort(rank, kind="stable")
-    while k < depth:
+    while n and rank.max() < n:
         second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] if k < n else []
+        if k < n:
+            second[: n - k] = rank[k:]
         key = rank * (n + 2) + second
         order = np.argsort(key, kind="stable")
         new = np.empty(n, np.int64)
         new[order] = np.concatenate(([1], 1 + np.cumsum(np.diff(key[order]) > 0)))
         rank, k = new, 2 * k
-        if rank.max() == n:
-            break
     return order
 
 
-def ranges(corpus: np.ndarray, order: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of queries (SEED values), the part of order whose suffixes begin with it. corpus ends with SEED
-    values that are in no query."""
+def common_prefix(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of places, how many values of a from i and of b from j are equal. Both end in a value of their own."""
+    out = np.zeros(len(i), np.int64)
+    live = np.arange(len(i))
+    while len(live):
+        live = live[a[i[live] + out[live]] == b[j[live] + out[live]]]
+        out[live] += 1
+    return out
 
-    def bound(upper: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(queries), np.int64), np.full(len(queries), len(order), np.int64)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) // 2
-            at = order[np.minimum(mid, len(order) - 1)]
-            less, equal = np.zeros(len(queries), bool), np.ones(len(queries), bool)
-            for j in range(queries.shape[1]):
-                c = corpus[at + j]
-                less |= equal & (c < queries[:, j])
-                equal &= c == queries[:, j]
-            right = open_ & (less | (equal if upper else False))
-            lo = np.where(right, mid + 1, lo)
-            hi = np.where(open_ & ~right, mid, hi)
-        return lo
 
-    return bound(False), bound(True)
+def places(text: np.ndarray, order: np.ndarray, items: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each suffix of items (by its start in at), how many suffixes of text are smaller: binary search at full depth.
+    text ends in a value that items lack, items in one that text lacks."""
+    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        mid = (lo[open_] + hi[open_]) // 2
+        p, q = order[mid], at[open_]
+        n = common_prefix(text, p, items, q)
+        less = text[p + n] < items[q + n]
+        lo[open_] = np.where(less, mid + 1, lo[open_])
+        hi[open_] = np.where(less, hi[open_], mid)
+    return lo
 
 
 class Items:
@@ -102,16 +109,18 @@ class Items:
         self.matrix = np.full((len(texts), self.longest + 1), -1, np.int64)
         for i, t in enumerate(texts):
             self.matrix[i, : len(t)] = t
-        item, at = [], []
-        for i, t in enumerate(texts):
-            n = len(t) - SEED + 1
-            item += [i] * n
-            at += range(n)
-        self.item, self.at = np.array(item, np.int64), np.array(at, np.int64)
-        self.seeds = self.matrix[self.item[:, None], self.at[:, None] + np.arange(SEED)] if len(item) else np.zeros((0, SEED), np.int64)
-
-    def search(self, ids: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(owner, item, longest run, its exchanged words) over the words ids; owner is the document of each word."""
+        # all items one after the other, each closed by -2, which no shard has inside a stretch
+        self.flat = np.array([x for t in texts for x in (*t, -2)] or [-2], np.int64)
+        length = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(length + 1) - length - 1
+        n = np.maximum(length - SEED + 1, 0)
+        self.item = np.repeat(np.arange(len(texts)), n)
+        self.at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.starts = (begin[self.item] if len(texts) else np.zeros(0, np.int64)) + self.at
+
+    def search(self, ids: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+        """(owner, item, longest run, its exchanged words, longest verbatim match, its word in ids and in the item) over the
+        words ids; owner is the document of each word."""
         n = len(ids)
         known = ids > 0
         # starts of SEED known words in a row; a suffix elsewhere can't match
@@ -119,28 +128,64 @@ class Items:
         starts = np.zeros(n, bool)
         if n >= SEED:
             starts[: n - SEED + 1] = (c[SEED:] - c[:-SEED]) == SEED
-        if not starts.any() or not len(self.seeds):
+        if not starts.any() or not len(self.starts):
             return
         inside = np.convolve(starts.astype(np.int64), np.ones(SEED, np.int64))[:n] > 0
         gap = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
         place = np.flatnonzero(inside)
-        # stretches one after the other, each followed by a separator
-        stretch = np.searchsorted(gap, place, "right")
-        at = np.arange(len(place)) + stretch - 1
-        text = np.zeros(len(place) + len(gap) + SEED, np.int64)
+        # stretches one after the other, each closed by 0, which no item has
+        at = np.arange(len(place)) + np.searchsorted(gap, place, "right") - 1
+        text = np.zeros(len(place) + len(gap), np.int64)
         origin = np.zeros(len(text), np.int64)
         text[at], origin[at] = ids[place], place
-        order = suffix_array(text[: len(text) - SEED], SEED)
-        lo, hi = ranges(text, order, self.seeds)
-        hits = hi - lo
-        which = np.repeat(np.arange(len(lo)), hits)
-        if not len(which):
+        order = suffix_array(text)
+        # the longest match of an item suffix is with a neighbour of its place; all matches of SEED words stand around it
+        where = places(text, order, self.flat, self.starts)
+        group = np.concatenate(([0], np.cumsum(self._shared(text, order) < SEED)))
+        sizes = np.bincount(group)
+        first = np.cumsum(sizes) - sizes
+        found = []
+        for near in (where - 1, where):
+            q = np.flatnonzero((near >= 0) & (near < len(order)))
+            q = q[common_prefix(text, order[near[q]], self.flat, self.starts[q]) >= SEED]
+            found.append((q, group[near[q]]))
+        q, g = (np.concatenate(x) for x in zip(*found))
+        if not len(q):
             return
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(hits) - hits, hits)
-        where = origin[order[np.repeat(lo, hits) + offset]]
-        diagonal = np.unique(np.stack([self.item[which], where - self.at[which]], 1), axis=0)
-        for part in range(0, len(diagonal), 20_000):
-            yield from self._runs(ids, owner, diagonal[part : part + 20_000])
+        q, g = np.unique(np.stack([q, g], 1), axis=0).T
+        chunk = np.cumsum(sizes[g]) // CELLS  # so many matches are looked at together
+        match: dict[tuple[int, int], tuple[int, int, int]] = {}
+        diagonals = []
+        for c in np.unique(chunk):
+            part, hits = q[chunk == c], sizes[g[chunk == c]]
+            which = np.repeat(part, hits)
+            spot = order[np.repeat(first[g[chunk == c]], hits) + np.arange(len(which)) - np.repeat(np.cumsum(hits) - hits, hits)]
+            # a match that goes on to the left is part of a longer one
+            left = (spot > 0) & (self.at[which] > 0) & (text[spot - 1] == self.flat[self.starts[which] - 1])
+            which, spot = which[~left], spot[~left]
+            length = common_prefix(text, spot, self.flat, self.starts[which])
+            for i, p, a, m in zip(self.item[which].tolist(), origin[spot].tolist(), self.at[which].tolist(), length.tolist()):
+                k = (int(owner[p]), i)
+                if m > match.get(k, (0, 0, 0))[0]:
+                    match[k] = (m, p, a)
+            diagonals.append(np.unique(np.stack([self.item[which], origin[spot] - self.at[which]], 1), axis=0))
+        diagonal = np.unique(np.concatenate(diagonals), axis=0)
+        step = max(1, CELLS // (self.longest + 1))
+        for part in range(0, len(diagonal), step):
+            for o, i, best, lost in self._runs(ids, owner, diagonal[part : part + step]):
+                yield o, i, best, lost, *match.get((o, i), (0, 0, 0))
+
+    @staticmethod
+    def _shared(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """The common prefixes of neighbouring suffixes, as far as SEED words."""
+        out = np.zeros(max(0, len(order) - 1), np.int64)
+        a, b = order[:-1], order[1:]
+        live = np.arange(len(out))
+        for k in range(SEED):
+            live = live[(a[live] + k < len(text)) & (b[live] + k < len(text))]
+            live = live[(text[a[live] + k] == text[b[live] + k]) & (text[a[live] + k] > 0)]
+            out[live] += 1
+        return out
 
     def _runs(self, ids: np.ndarray, owner: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Runs on each diagonal (item, start of the item in ids)."""
@@ -170,10 +215,26 @@ class Items:
             yield int(owner[place]), int(item[g]), best, lost
 
 
+def blocks_of(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """rows in blocks of bounded size; an item of more words than that is a block by itself."""
+    block: list[tuple[int, str]] = []
+    n = 0
+    for r in rows:
+        size = len(r[1]) // 2 + 1
+        if block and (len(block) >= ITEMS or n + size > ITEM_WORDS):
+            yield block
+            block, n = [], 0
+        block.append(r)
+        n += size
+    yield block
+
+
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = 22, replaced: int = 8, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, n_words, n_replaced): each document with each item it leaks, by the longest run."""
+    """(doc_id, item_id, n_words, n_replaced, n_verbatim, doc_word, item_word): each document with each item it leaks: the
+    longest run, and the longest verbatim match with the words of document and item at which it begins."""
     rows = [(r[0], r[1]) for r in items.select(item, "text").where("text is not null").distinct().orderBy(item, "text").toLocalIterator()]
-    blocks = [Items(rows[i : i + ITEMS], min_words, replaced) for i in range(0, len(rows), ITEMS)] or [Items([], min_words, replaced)]
+    schema = "doc_id long, item_id long, n_words int, n_replaced int, n_verbatim int, doc_word long, item_word int"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def scan(block: Items):
         shared = shipped(documents.sparkSession, block)
@@ -182,44 +243,47 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 22, replaced:
             q: Items = received(shared)
             get = q.vocabulary.get
             parts: list[np.ndarray] = []
-            owners: list[int] = []
+            owners: list[tuple[int, int]] = []
             size = 0
 
             def flush() -> pd.DataFrame:
-                found: dict[tuple[int, int], tuple[int, int]] = {}
+                found: dict[tuple[int, int], tuple] = {}
                 if parts:
                     ids = np.concatenate(parts)
-                    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                    for o, i, length, lost in q.search(ids, owner):
-                        k = (owners[o], q.keys[i])
+                    lengths = np.array([len(p) for p in parts])
+                    begin = np.cumsum(lengths) - lengths
+                    owner = np.repeat(np.arange(len(parts)), lengths)
+                    for o, i, length, lost, verbatim, p, a in q.search(ids, owner):
+                        k = (owners[o][0], q.keys[i])
                         if found.get(k, (0, 0))[0] < length:
-                            found[k] = (length, lost)
-                return pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["doc_id", "item_id", "n_words", "n_replaced"])
+                            found[k] = (length, lost, verbatim, owners[o][1] + p - int(begin[o]), a)
+                return pd.DataFrame([(*k, *v) for k, v in found.items()], columns=names)
 
             for f in frames:
                 for doc, t in zip(f["k"], f["t"]):
                     w = np.fromiter((get(x, -1) for x in words(t)), np.int64)
                     if len(w) < q.min_words:
                         continue
-                    for a in range(0, max(1, len(w) - q.longest), SHARD - q.longest if SHARD > 2 * q.longest else SHARD):
-                        piece = w[a : a + max(SHARD, 2 * q.longest)]
+                    for a in range(0, len(w), SHARD):
+                        piece = w[a : a + SHARD + q.longest]
                         if size and size + len(piece) > SHARD:
                             yield flush()
                             parts.clear()
                             owners.clear()
                             size = 0
                         parts.append(np.append(piece, -2))
-                        owners.append(doc)
+                        owners.append((doc, a))
                         size += len(piece) + 1
             yield flush()
 
-        return documents.select(documents[key].cast("long").alias("k"), documents[text].cast("string").alias("t")).where("t is not null and k is not null").mapInPandas(run, "doc_id long, item_id long, n_words int, n_replaced int")
+        return documents.select(documents[key].cast("long").alias("k"), documents[text].cast("string").alias("t")).where("t is not null and k is not null").mapInPandas(run, schema)
 
-    out = scan(blocks[0])
-    for b in blocks[1:]:
-        out = out.unionByName(scan(b))
-    longest = F.max(F.struct("n_words", (-F.col("n_replaced")).alias("kept")))
-    return out.groupBy("doc_id", "item_id").agg(longest.alias("run")).select("doc_id", "item_id", "run.n_words", (-F.col("run.kept")).alias("n_replaced"))
+    out = None
+    for block in blocks_of(rows):
+        one = scan(Items(block, min_words, replaced))
+        out = one if out is None else out.unionByName(one)
+    longest = F.max(F.struct("n_words", (-F.col("n_replaced")).alias("kept"), "n_verbatim", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i")))
+    return out.groupBy("doc_id", "item_id").agg(longest.alias("run")).select("doc_id", "item_id", "run.n_words", (-F.col("run.kept")).alias("n_replaced"), "run.n_verbatim", (-F.col("run.d")).alias("doc_word"), (-F.col("run.i")).alias("item_word"))
 
 
 def clean(documents: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -128,6 +128,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Each leak with its longest run and its longest verbatim match, and where that begins in document and item."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
     """What is left of each source once the documents that leak an item are removed."""
     docs = table(spark, d, "documents")
@@ -143,7 +148,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_membership, p4_found, p4_kept_per_contributor, p5_found, p5_counts, p5_incremental, p6_found, p6_graph_of_words, p7_found, p7_share_per_source, p8_ids, p8_token_totals, p9_found, p9_clean_corpus, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_membership, p4_found, p4_kept_per_contributor, p5_found, p5_counts, p5_incremental, p6_found, p6_graph_of_words, p7_found, p7_share_per_source, p8_ids, p8_token_totals, p9_found, p9_locations, p9_clean_corpus, p10_found, p10_restored)}
 
 _CONTRIBUTOR = r"""select distinct id, regexp_replace(regexp_replace(lower(trim(case when trim(coalesce(domain, '')) <> '' then domain
  else regexp_extract(coalesce(url, ''), '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) end)), '\.+$', ''), '^www\.', '') c,

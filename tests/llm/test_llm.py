@@ -265,9 +265,10 @@ def brute_leaks(docs, items):
     return out
 
 
-@pytest.mark.parametrize("shard", [300_000, 120])
-def test_leaks(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard, cells", [(300_000, 4_000_000), (120, 4_000_000), (300_000, 50)])
+def test_leaks(spark, monkeypatch, shard, cells):
     monkeypatch.setattr(leakage, "SHARD", shard)
+    monkeypatch.setattr(leakage, "CELLS", cells)
     r = random.Random(11)
     vocab = [f"word{i}" for i in range(80)]
     items = [(900 + i, " ".join(r.choices(vocab, k=r.choice([10, 30, 50])))) for i in range(8)] + [(999, None)]
@@ -289,6 +290,30 @@ def test_leaks(spark, monkeypatch, shard):
     assert leakage.clean(d, leakage.leaks(d, i)).where("doc_id = 60").count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(text=st.lists(st.integers(1, 3), max_size=40), item=st.lists(st.integers(1, 3), min_size=1, max_size=20))
+def test_suffix_order_and_places(text, item):
+    t, q = np.array([*text, 0], np.int64), np.array([*item, -2], np.int64)
+    order = leakage.suffix_array(t)
+    assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    at = np.arange(len(item))
+    want = [sum(t[p:].tolist() < q[a:].tolist() for p in range(len(t))) for a in at]
+    assert leakage.places(t, order, q, at).tolist() == want
+
+
+def test_longest_match_and_its_place(spark, monkeypatch):
+    r = random.Random(3)
+    item = [f"w{r.randrange(500)}" for _ in range(60)]
+    passage = item[10:50]
+    passage[25] = "changed"
+    docs = [(1, " ".join(["x"] * 7 + passage + ["y"] * 30 + item[:12])), (2, " ".join(["z"] * 300 + item[5:40]))]
+    for shard in (300_000, 40):
+        monkeypatch.setattr(leakage, "SHARD", shard)
+        got = {x["doc_id"]: x for x in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+        assert (got[1]["n_words"], got[1]["n_replaced"], got[1]["n_verbatim"], got[1]["doc_word"], got[1]["item_word"]) == (40, 1, 25, 7, 10)
+        assert (got[2]["n_words"], got[2]["n_verbatim"], got[2]["doc_word"], got[2]["item_word"]) == (35, 35, 300, 5)
+
+
 # wrong decoding
 
 
