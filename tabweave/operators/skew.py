@@ -119,6 +119,19 @@ def join(left: DataFrame, right: DataFrame, key: str, how: str = "left", tasks:
     return a.join(b, [BIN, SHARD, key], how).drop(BIN, SHARD)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", shard_by: list[str] | None = None, tasks: int = 0) -> DataFrame:
+    """left join right on key, heavy keys of left split into shards in proportion to their load and matched by copies of
+    their right rows; where rows stand is left to the join's own exchange. left should be a written table: it is read twice."""
+    p = plan(left, key, tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not p.heavy:
+        return left.join(right, key, how)
+    heavy = F.broadcast(_shards(p, left, key).select("__tw_k", F.size("__tw_tasks").alias("__tw_n")))
+    of = F.coalesce("__tw_n", F.lit(1))
+    a = left.join(heavy, left[key] == F.col("__tw_k"), "left").withColumn(SHARD, F.pmod(F.xxhash64(*(shard_by or left.columns)), of).cast("int")).drop("__tw_k", "__tw_n")
+    b = right.join(heavy, right[key] == F.col("__tw_k"), "left").withColumn(SHARD, F.explode(F.sequence(F.lit(0), of - 1))).drop("__tw_k", "__tw_n")
+    return a.join(b, [SHARD, key], how).drop(SHARD)
+
+
 def key_stats(cells: DataFrame, key: str, tasks: int = 0) -> tuple[DataFrame, Plan]:
     """(key_value, n_rows, n_columns, n_tables) per non-null key of a cell relation (tableid, colid, ..), and the plan.
 

@@ -1077,12 +1077,25 @@ def lookup_chain(spark, d):
     return lookup.chain(_nation_cells(spark, d), table(spark, d, "nation").select(F.col("n_name").alias("input")), [(1, 1, 2), (2, 0, 1)])
 
 
-@query()
-def filter_programs(spark, d):
-    c = table(spark, d, "main_tokenized")
-    own = c.where(F.col("tableid") == _t0(spark, d)).where("term is not null").distinct()
-    e = own.where("colid = 0").select("rowid", F.col("term").alias("x")).join(own.where("colid = 1").select("rowid", F.col("term").alias("y")), "rowid").orderBy("rowid").limit(GIVEN)
-    return lookup.programs(c, e)
+@query("select concat('1:', i, ':', j) path, n_nationkey id, case j when 0 then n_nationkey::varchar when 1 then n_name else concat('r', n_regionkey) end \"value\" from nation, (values (1, 0), (1, 2)) t(i, j) where n_nationkey < 3 union all select concat('1:1:2>2:0:', 1), n_nationkey, r_name from nation join region on n_regionkey = r_regionkey where n_nationkey < 3")
+def lookup_chains(spark, d):
+    """All chains of up to two tables from three nations."""
+    e = table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("int").alias("id"), F.array("n_name").alias("parts"), F.lit("").alias("y"))
+    return lookup.generate(_nation_cells(spark, d), e)
+
+
+@query("select n_nationkey id, concat(upper(r_name[1]), lower(r_name[2:]), ' / ', n_name) output from nation join region on n_regionkey = r_regionkey")
+def lookup_program(spark, d):
+    """A program of a two-table chain and a string program, learned from two examples and run on all nations."""
+    c = _nation_cells(spark, d)
+    two = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey in (0, 2)").orderBy("n_nationkey").collect()
+    p = lookup.learn(c, [([r["n_name"]], f"{r['r_name'].capitalize()} / {r['n_name']}") for r in two])
+    return lookup.apply(p, c, table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array("n_name").alias("parts")))
+
+
+@query("select tableid, count(distinct colid) n_columns from cells group by tableid")
+def catalog_keys(spark, d):
+    return lookup.catalog_keys(table(spark, d, "main_tokenized")).groupBy("tableid").agg(F.count("*").alias("n_columns"))
 
 
 @query("select c_nationkey g, arg_max(c_name || repeat('x', (c_custkey % 3)::int), (length(c_name || repeat('x', (c_custkey % 3)::int)), -c_custkey)) s from customer group by 1")

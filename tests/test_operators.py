@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tabweave.functions import text
-from tabweave.operators import em, evaluate, fd, forms, graph, lookup, match, score, strings
+from tabweave.operators import em, evaluate, fd, forms, graph, indirect, lookup, match, score, search, strings
 from tabweave.sources import corpus
 
 
@@ -17,6 +17,59 @@ def test_string_programs():
     assert strings.learn([(["a"], "1"), (["b"], "2")]) is None
 
 
+def test_string_programs_by_position():
+    for examples, inputs, want in (
+        ([(["20110305"], "2011-03-05"), (["19991231"], "1999-12-31")], ["20200107"], "2020-01-07"),
+        ([(["9780306406157"], "978-0-306-40615-7"), (["9781861972712"], "978-1-861-97271-2")], ["9783161484100"], "978-3-161-48410-0"),
+        ([(["a bb c d e f"], "f e d c bb a"), (["g h i j kk l"], "l kk j i h g")], ["1 2 3 4 5 6"], None),
+        ([(["aa bb cc dd ee ff"], "ff ee dd cc bb aa"), (["g h i j kk l"], "l kk j i h g")], ["q w e r t y"], "y t r e w q"),
+    ):
+        parts = strings.learn(examples)
+        if want:
+            assert strings.run(parts, inputs) == want
+
+
+def table_cells(spark, *tables):
+    rows = [(t, c, r, v) for t, rows in enumerate(tables) for r, row in enumerate(rows) for c, v in enumerate(row)]
+    return spark.createDataFrame(rows, "tableid int, colid int, rowid int, term string")
+
+
+def test_look_up_with_string_program(spark):
+    people = [("044-58-3429", "Steve", "Russell", "m"), ("027-36-4557", "John", "Henry", "m"), ("034-83-7683", "William", "Johnson", "m"), ("011-11-1111", "Ann", "Moor", "f")]
+    l = lookup.LookUp(table_cells(spark, people))
+    assert l.provide_example("044-58-3429", "Mr. Steve Russell") and l.provide_example("027-36-4557", "Mr. John Henry")
+    assert l.find_match("034-83-7683") == "Mr. William Johnson"
+    assert not l.provide_example("034-83-7683", "nothing of the kind")
+    many = spark.createDataFrame([(i, [p[0]]) for i, p in enumerate(people)] + [(9, ["unknown"])], "id int, parts array<string>")
+    assert {r["id"]: r["output"] for r in l.find_matches(many).collect()} == {0: "Mr. Steve Russell", 1: "Mr. John Henry", 2: "Mr. William Johnson", 3: "Mr. Ann Moor", 9: None}
+
+
+def test_look_up_of_a_part_of_the_input(spark):
+    l = lookup.LookUp(table_cells(spark, [("Algeria", "Algiers"), ("Angola", "Luanda"), ("Egypt", "Cairo"), ("Tunisia", "Tunis")]))
+    assert l.provide_example("Land: Algeria", "City: Algiers") and l.provide_example("Land: Angola", "City: Luanda")
+    assert [l.find_match(f"Land: {x}") for x in ("Egypt", "Tunisia")] == ["City: Cairo", "City: Tunis"]
+
+
+def test_look_up_through_two_tables(spark):
+    sales = [("Peter Shaw", "s1"), ("Gary Limb", "s2"), ("Mike Henry", "s3"), ("Sean Riley", "s4")]
+    l = lookup.LookUp(table_cells(spark, sales, [("s1", "110"), ("s2", "225"), ("s3", "2015"), ("s4", "495")]))
+    assert l.provide_example("Peter Shaw", "110")
+    assert [l.find_match(x) for x in ("Gary Limb", "Mike Henry", "Sean Riley")] == ["225", "2015", "495"]
+
+
+def test_look_up_narrowed_by_the_other_inputs(spark):
+    bikes = [("Ducati", "100", "10.000"), ("Ducati", "125", "12.500"), ("Ducati", "250", "18.000"), ("Honda", "125", "11.500"), ("Honda", "250", "19.000")]
+    l = lookup.LookUp(table_cells(spark, bikes))
+    assert l.provide_example(["Honda", "125"], "11.500")
+    assert [l.find_match(*x) for x in (("Ducati", "100"), ("Honda", "250"), ("Ducati", "250"))] == ["10.000", "19.000", "18.000"]
+
+
+def test_look_up_word_by_word(spark):
+    l = lookup.LookUp(table_cells(spark, [("c1", "Microsoft"), ("c2", "Google"), ("c3", "Apple"), ("c4", "Facebook"), ("c5", "IBM"), ("c6", "Xerox")]))
+    assert l.provide_example("c4 c3 c1", "Facebook Apple Microsoft")
+    assert l.find_match("c2 c5 c6") == "Google IBM Xerox"
+
+
 def test_string_program_as_column(spark):
     parts = strings.learn([(["Customer#000000012"], "C-12"), (["Customer#000000907"], "C-907")])
     df = spark.createDataFrame([("Customer#000000100",), ("nothing",)], "c string")

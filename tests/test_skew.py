@@ -41,6 +41,16 @@ def test_join_replicates_only_to_shards(spark):
     assert left.count() == df.join(right, "tokenized", "left").count()
 
 
+def test_salted_join_equals_the_plain_one(spark):
+    _, df = cells(spark)
+    right = spark.createDataFrame([("hot", 1), ("hot", 9), ("v1", 2), ("none", 4), (None, 5)], "tokenized string, x int")
+    for how in ("inner", "left"):
+        got = sorted((r["rowid"], str(r["x"])) for r in skew.salted_join(df, right, "tokenized", how, ["rowid"], 8).collect())
+        assert got == sorted((r["rowid"], str(r["x"])) for r in df.join(right, "tokenized", how).collect())
+    assert skew.plan(df, "tokenized", 8).heavy
+    assert skew.salted_join(df.limit(0), right, "tokenized").count() == 0
+
+
 def test_dominant_and_empty(spark):
     _, df = cells(spark)
     found = {tuple(r) for r in skew.dominant_keys(df, ["tokenized", "tableid"], 0.3).collect()}
