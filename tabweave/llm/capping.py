@@ -1,9 +1,9 @@
 """Capping records per dominant contributor, the best by quality kept.
 
-Ranks are exact and no contributor, however large, is ranked in one task. The salt of a record is its quality stratum:
-(whole points of openrank, thousandths of confidence, block of 2^16 ids), which follows the ranking order. A record's
-rank is its pre-rank inside (contributor, salt) plus the sizes of all better salts. Sizes come from one aggregation that
-combines on the map side; only a salt that the cap cuts through is ranked, and it has at most 2^16 distinct ids.
+Ranks are exact and no contributor, however large, is ranked in one task. The salt of a record is the range it falls into
+when all records are cut by (contributor, quality, id) into as many ranges of about equal size as there are tasks: salts
+follow the ranking order for any values. A record's rank is its pre-rank inside (contributor, salt) plus the sizes of the
+contributor's better salts, of which there are at most as many as tasks. Only a salt that the cap cuts through is ranked.
 
 Defined cases: exact repeats of a row count once; a record whose id is null is ignored; null or negative openrank counts
 as 0, null or NaN confidence as 0; ties go to the smaller id. A record with neither domain nor a host in its url belongs
@@ -19,7 +19,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ID_BLOCK = 1 << 16
+from tabweave.plans.common import parallelism, written
 
 
 def contributor(domain: Column, url: Column) -> Column:
@@ -35,20 +35,20 @@ def ranked(df: DataFrame, share: float | None = None, most: int | None = None) -
     openrank = F.greatest(F.coalesce(F.nanvl(F.col("openrank").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
     confidence = F.coalesce(F.nanvl(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = df.where("id is not null").select(F.col("id").cast("long").alias("id"), contributor(F.col("domain"), F.col("url")).alias("contributor"), F.struct(openrank.alias("o"), confidence.alias("c")).alias("q"))
-    one = rows.groupBy("id", "contributor").agg(F.max("q").alias("q"))
-    salt = F.struct((-F.floor("q.o")).alias("o"), (-F.floor(F.col("q.c") * 1000)).alias("c"), F.floor(F.col("id") / ID_BLOCK).alias("b"))
-    one = one.select("id", "contributor", "q", salt.alias("salt"))
-    sizes = one.groupBy("contributor", "salt").agg(F.count("*").alias("n"))
+    one = rows.groupBy("id", "contributor").agg(F.max("q").alias("q")).select("id", "contributor", "q.o", "q.c")
+    best = (F.col("o").desc(), F.col("c").desc(), F.col("id"))
+    ranges = one.repartitionByRange(parallelism(df.sparkSession), F.col("contributor"), *best)
+    one = written(ranges.withColumn("salt", F.spark_partition_id()), "ranges")
     if most is None:
         n_ids = one.select("id").distinct().count()
         most = math.ceil(Fraction(str(share)) * n_ids)
+    sizes = one.groupBy("contributor", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("contributor").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     sizes = sizes.withColumn("before", before)
     # whole salts under or over the cap need no rank; those the cap cuts through (one per contributor) do
     kind = F.when(F.col("before") + F.col("n") <= most, 0).when(F.col("before") >= most, 2).otherwise(1)
-    sizes = sizes.select("contributor", "salt", "before", kind.alias("kind"))
-    placed = one.join(sizes, ["contributor", "salt"])
-    pre = F.row_number().over(Window.partitionBy("contributor", "salt").orderBy(F.col("q.o").desc(), F.col("q.c").desc(), "id"))
+    placed = one.join(sizes.select("contributor", "salt", "before", kind.alias("kind")), ["contributor", "salt"])
+    pre = F.row_number().over(Window.partitionBy("contributor", "salt").orderBy(*best))
     whole = placed.where("kind <> 1").select("id", "contributor", (F.col("kind") == 2).alias("over"))
     cut = placed.where("kind = 1").withColumn("pre", pre).select("id", "contributor", (F.col("before") + F.col("pre") > most).alias("over"))
     return whole.unionByName(cut)
