@@ -45,10 +45,11 @@ def degrees(cells: DataFrame, window: int = 4) -> DataFrame:
     rows = rows.select("tableid", "colid", "p", "tokenized", F.explode(F.array_compact(F.array(own, back))).alias("block"))
     order = Window.partitionBy("tableid", "colid", "block").orderBy("p")
     ahead = F.array(*(F.lead("tokenized", i).over(order) for i in range(1, window)))
-    near = rows.withColumn("near", ahead).select("tableid", "tokenized", F.explode_outer("near").alias("other"))
-    both = F.explode(F.array(F.struct(F.col("tokenized").alias("a"), F.col("other").alias("b")), F.struct(F.col("other").alias("a"), F.col("tokenized").alias("b"))))
-    edges = near.select("tableid", both.alias("e")).where("e.a is not null").select("tableid", "e.a", F.when(F.col("e.a") != F.col("e.b"), F.col("e.b")).alias("b")).distinct()
-    return edges.groupBy("tableid", F.col("a").alias("tokenized")).agg(F.count("b").alias("weight"))
+    near = rows.withColumn("near", ahead).select("tableid", "tokenized", F.explode(F.array_distinct(F.concat(F.array(F.lit(None).cast("string")), "near"))).alias("other"))
+    # an edge is one row, its smaller end first; a value alone keeps a row without a second end
+    edges = near.where("other is null or other <> tokenized").select("tableid", F.when(F.col("other").isNull(), F.col("tokenized")).otherwise(F.least("tokenized", "other")).alias("a"), F.when(F.col("other").isNotNull(), F.greatest("tokenized", "other")).alias("b")).distinct()
+    ends = edges.select("tableid", F.explode(F.when(F.col("b").isNull(), F.array(F.struct(F.col("a").alias("v"), F.lit(0).alias("n")))).otherwise(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("n")), F.struct(F.col("b").alias("v"), F.lit(1).alias("n"))))).alias("e"))
+    return ends.groupBy("tableid", F.col("e.v").alias("tokenized")).agg(F.sum("e.n").alias("weight"))
 
 
 def scores(weights: DataFrame, n_records: int) -> DataFrame:
