@@ -158,7 +158,14 @@ _CELLS = "(select distinct tableid, colid, rowid, term, tokenized from main_toke
 
 _SETS = "(select tableid, colid, list(distinct tokenized) s from main_tokenized where tokenized <> '' group by all having count(distinct tokenized) >= 8)"
 
+_MEMBER = f"""with s as (select tableid, colid, list_sort(list(distinct tokenized)) s from main_tokenized where tokenized <> '' group by all having count(distinct tokenized) >= 8),
+ k as (select s, min((tableid, colid)) c, len(s) n from s group by s),
+ l as (select a.c x, b.c y from k a join k b on a.c < b.c and b.n >= 0.6 * a.n and a.n >= 0.6 * b.n where len(list_intersect(a.s, b.s)) >= 0.6 * (a.n + b.n - len(list_intersect(a.s, b.s)))),
+ n as (select c, count(*) n_links from (select x c from l union all select y from l) group by c)
+ select s.tableid, s.colid, k.c[1] class_tableid, k.c[2] class_colid, coalesce(n_links, 0) n_links from s join k on k.s = s.s left join n on n.c = k.c"""
+
 SQL = {
+    "p2_membership": _MEMBER,
     "p2_found": f"""with s as {_SETS} select a.tableid tableid_a, a.colid colid_a, b.tableid tableid_b, b.colid colid_b from s a join s b on (a.tableid, a.colid) < (b.tableid, b.colid)
  and len(b.s) >= 0.6 * len(a.s) and len(a.s) >= 0.6 * len(b.s) where len(list_intersect(a.s, b.s)) >= 0.6 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""",
     "p4_found": f"select id from ({_RANKED}) where over_cap",
