@@ -46,13 +46,43 @@ def array_similarity(a: Column, b: Column) -> Column:
     return F.try_divide(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), F.size(each))
 
 
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 - edit distance / longer length, but for case; two nulls are equal, one null is 0, two empty strings have none."""
+    d = F.levenshtein(F.lower(a), F.lower(b)) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0))
+    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(1 - d)
+
+
+def similar_components(a: Column, b: Column, edits: int = 3) -> Column:
+    """Whether two arrays of equal size are similar in every component."""
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) | F.coalesce(F.levenshtein(x, y) <= edits, F.lit(False))), lambda z: z)
+
+
 def polish(c: Column) -> Column:
-    """Letters, digits and blanks only."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9 ]", " "), " +", " "))
+    """Letters, digits, blanks and | only."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9 |]", " "), " +", " "))
 
 
 def split_camel_case(c: Column) -> Column:
-    return F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")
+    """A blank where a capital begins a word, and before figures and marks after letters."""
+    return F.regexp_replace(c, r"(?<=[A-Z])(?=[A-Z][a-z])|(?<=[^A-Z ])(?=[A-Z])|(?<=[A-Za-z])(?=[^A-Za-z\- ])", " ")
+
+
+def is_vowel(c: Column) -> Column:
+    return F.lower(c).isin(*"aeiou")
+
+
+def is_empty(c: Column) -> Column:
+    return c.isNull() | (F.trim(c) == "")
+
+
+def index_of_max(c: Column) -> Column:
+    """The place, from 0, of the first greatest element of an array."""
+    return F.array_position(c, F.array_max(c)) - 1
+
+
+def all_null(c: Column) -> Column:
+    """Whether an array has no value at all."""
+    return F.forall(c, lambda x: x.isNull())
 
 
 def url_host(c: Column) -> Column:

@@ -39,8 +39,20 @@ def keys_from_name(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(name, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
 
 
-def question_batches(keys: DataFrame, size: int, seed: int = 1) -> DataFrame:
-    """(batch, question): keys in seeded random order, packed into JSON questions of `size` keys."""
-    i = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(64))).orderBy(F.xxhash64(F.lit(seed), "k"), "k")) - 1
-    b = keys.select("k", F.concat_ws("-", F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(64)), F.floor(i / size)).alias("batch"))
-    return b.groupBy("batch").agg(F.to_json(F.struct(F.array_sort(F.collect_list("k")).alias("keys"))).alias("question"))
+def question_batches(keys: DataFrame, size: int, seed: int = 1, examples: DataFrame | None = None) -> DataFrame:
+    """(batch, question): keys in seeded random order, packed into JSON questions of `size` keys; each shows the examples
+    (k, v), of which a user gives a few."""
+    from tabweave.plans.common import parallelism
+
+    n = parallelism(keys.sparkSession)
+    part = F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(n))
+    i = F.row_number().over(Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed), "k"), "k")) - 1
+    shown = [tuple(r) for r in examples.select("k", "v").distinct().orderBy("k", "v").limit(size).collect()] if examples is not None else []
+    given = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in shown)) if shown else F.array().cast("array<struct<k:string,v:string>>")
+    b = keys.select("k", F.concat_ws("-", part, F.floor(i / size)).alias("batch"))
+    return b.groupBy("batch").agg(F.array_sort(F.collect_list("k")).alias("keys")).select("batch", F.to_json(F.struct("keys", given.alias("examples"))).alias("question"))
+
+
+def collate(results: DataFrame) -> DataFrame:
+    """results (file, not_found, precision, recall, runtime_ms). One row per result file, the runtime in seconds."""
+    return results.groupBy("file").agg(F.max("not_found").alias("not_found"), F.max("precision").alias("precision"), F.max("recall").alias("recall"), (F.max("runtime_ms") / 1000).alias("runtime_s"))

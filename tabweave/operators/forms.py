@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.functions.text import TOKEN
+
 #: Endings of addresses that a crawl of pages leaves out.
-SKIPPED = ("css", "js", "bmp", "gif", "jpe", "jpg", "jpeg", "png", "tif", "tiff", "mid", "mp2", "mp3", "mp4", "wav", "avi", "mov", "mpeg", "ram", "m4v", "pdf", "rm", "smil", "wmv", "swf", "wma", "zip", "rar", "gz")
+SKIPPED = ("css", "js", "bmp", "gif", "jpg", "jpeg", "png", "tif", "tiff", "mid", "mp2", "mp3", "mp4", "wav", "avi", "mov", "mpeg", "ram", "m4v", "pdf", "rm", "smil", "wmv", "swf", "wma", "zip", "rar", "gz")
 
 
 class _Forms(HTMLParser):
@@ -95,6 +97,20 @@ def through(values: DataFrame, fetch: Callable[[str], str], paths: list[str]) ->
     return values.select("x").mapInPandas(run, "x string, y string")
 
 
+def write_index(wrappers: DataFrame, path: str) -> None:
+    """wrappers (wrapper, content, input_name, output_name) as one row per word of each field."""
+    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("content", "input_name", "output_name"))))
+    words = wrappers.select("wrapper", fields.alias("x")).select("wrapper", "x.field", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x.text"), F.lit(TOKEN), F.lit(0)))).alias("word"))
+    words.distinct().sortWithinPartitions("word").write.parquet(path)
+
+
+def search_index(index: DataFrame, content: str, input_name: str, output_name: str, most: int = 10) -> DataFrame:
+    """(wrapper, n): the wrappers whose fields share most words with the query, the first `most`."""
+    asked = [(f, w) for f, t in (("content", content), ("input_name", input_name), ("output_name", output_name)) for w in sorted(set(t.lower().split()))]
+    q = index.sparkSession.createDataFrame(asked, "field string, word string")
+    return index.join(F.broadcast(q), ["field", "word"]).groupBy("wrapper").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "wrapper").limit(most)
+
+
 def wanted_url(url: Column) -> Column:
     """Whether a crawl follows the address."""
     return url.isNotNull() & ~F.lower(url).rlike(r"\.(" + "|".join(SKIPPED) + r")$")

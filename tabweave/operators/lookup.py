@@ -64,7 +64,9 @@ def lookup(cells: DataFrame, params: dict[int, list[str]], tableid: int, dest: i
 
 def find_all(cells: DataFrame, inputs: DataFrame) -> DataFrame:
     """inputs (input). (input, tableid, colid, term): the first row of each table that holds the input."""
-    first = cells.join(F.broadcast(inputs.select(F.col("input").alias("term"), "input").distinct()), "term").groupBy("input", "tableid").agg(F.min("rowid").alias("rowid"))
+    from tabweave.operators.search import small
+
+    first = cells.join(small(inputs.select(F.col("input").alias("term"), "input").distinct()), "term").groupBy("input", "tableid").agg(F.min("rowid").alias("rowid"))
     return first.join(cells, ["tableid", "rowid"]).select("input", "tableid", "colid", "term").distinct()
 
 

@@ -15,6 +15,7 @@ from tabweave.functions import text
 from tabweave.operators import em, evaluate, fd, forms, graph, indirect, lookup, match, score, search, strings
 from tabweave.plans.common import parallelism, scratch, table, written
 from tabweave.sources import corpus
+from tabweave.sources import lookup_source as lookup_source_module
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -193,20 +194,53 @@ def scan_multi(spark, d):
     return corpus.read_lookup_files(spark, [path], 3).groupBy("colid").agg(F.count("*").alias("n_cells"), F.count_distinct("term").alias("n_terms"))
 
 
-@query("select column_name from (values ('n_nationkey'), ('n_name'), ('n_regionkey')) t(column_name)")
+@query("select table_name \"table\", column_name \"column\", (ordinal_position - 1)::int \"position\" from information_schema.columns where table_name in ('nation', 'region')")
 def catalog_columns(spark, d):
-    return spark.createDataFrame([(f.name,) for f in table(spark, d, "nation").schema], "column_name string")
+    """The catalog after a script has made its tables."""
+    path = scratch(spark, "script")
+    lines = [("-- a comment",)] + [(f"create or replace temporary view {t} as select * from parquet.`{d}/{t}.parquet`;",) for t in ("nation", "region")]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
+    corpus.run_script(spark, path)
+    found = corpus.catalog_columns(spark).where("table in ('nation', 'region')")
+    for t in ("nation", "region"):
+        spark.catalog.dropTempView(t)
+    return found
 
 
 @query("select colid, rowid, term from cells where tableid = (select id from t0)")
 def load_table(spark, d):
-    return table(spark, d, "main_tokenized").where(F.col("tableid") == _t0(spark, d)).select("colid", "rowid", "term").distinct()
+    return corpus.load_table(table(spark, d, "main_tokenized"), _t0(spark, d))
 
 
 @query("select tableid, count(*) n_cells from cells where tableid in (select tableid from matches) group by tableid")
 def load_tables_batch(spark, d):
-    ids = matches(spark, d).select("tableid").distinct()
-    return cells(spark, d).join(ids, "tableid", "left_semi").groupBy("tableid").agg(F.count("*").alias("n_cells"))
+    return corpus.load_tables(cells(spark, d), matches(spark, d)).groupBy("tableid").agg(F.count("*").alias("n_cells"))
+
+
+@query("select n_nationkey tid, n_name from nation")
+def load_file(spark, d):
+    path = scratch(spark, "files")
+    corpus.write_csv(table(spark, d, "nation").select("n_nationkey", "n_name").coalesce(1).sortWithinPartitions("n_nationkey"), f"{path}/nation")
+    t = corpus.load_file(spark, path, "nation")
+    return t.select(F.col("tid").cast("int").alias("tid"), "n_name")
+
+
+@query("select n_name, n_regionkey::varchar k from nation")
+def txt_to_csv(spark, d):
+    path = scratch(spark, "txt")
+    table(spark, d, "nation").select(F.concat("n_name", F.lit("  \t "), F.col("n_regionkey").cast("string"))).write.text(f"{path}/in")
+    corpus.txt_to_csv(spark, f"{path}/in", f"{path}/out.csv")
+    return corpus.read_csv(spark, f"{path}/out.csv", ["n_name", "k"], header=False)
+
+
+@query("select n_name, n_regionkey::varchar k from nation union all select r_name, '' from region")
+def csv_crawl(spark, d):
+    """All .csv files below a folder, whatever their depth."""
+    path = scratch(spark, "crawl")
+    corpus.write_csv(table(spark, d, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("k")), f"{path}/a", header=False)
+    corpus.write_csv(table(spark, d, "region").select("r_name", F.lit("").alias("k")), f"{path}/b/c", header=False)
+    files = [r["path"] for r in corpus.csv_files(spark, path).collect()]
+    return corpus.read_csv(spark, files, ["n_name", "k"], header=False).withColumn("k", F.coalesce("k", F.lit("")))
 
 
 @query("""select unionid, colid, s.o + rowid rowid, tokenized from (select distinct tableid, colid, rowid, tokenized from main_tokenized) c
@@ -218,7 +252,7 @@ def union_tables(spark, d):
 @query("select term, idf from inverse_document_frequency where term in (select v from rows0 union select k from rows0)")
 def idf_lookup(spark, d):
     r = rows0(spark, d)
-    return table(spark, d, "inverse_document_frequency").join(r.select(F.col("k").alias("term")).union(r.select("v")).distinct(), "term", "left_semi").select("term", "idf")
+    return corpus.idf_of(table(spark, d, "inverse_document_frequency"), r.select(F.col("k").alias("term")).union(r.select("v")))
 
 
 @query("select tableid, tokenized, arg_min(term, (colid, rowid)) term from cells where tokenized <> '' and term is not null group by tableid, tokenized")
@@ -235,6 +269,57 @@ def ingest_cells(spark, d):
     return corpus.ingest_cells(raw)
 
 
+_DUMP = """(select r_regionkey + 1 id, r_name, list(n_name order by n_nationkey) ns, list(n_nationkey order by n_nationkey) ks from region join nation on n_regionkey = r_regionkey group by all)"""
+
+
+def _ingested(spark, d) -> corpus.Relations:
+    """Each region as a table of a gzipped dump: a column of nations and one of their keys, with a header."""
+    path = scratch(spark, "dump")
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    g = n.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+    column = lambda name, f: F.concat(F.array(F.lit(name)), F.transform("l", f))
+    raw = g.select("r_regionkey", F.array(column("nation", lambda x: x["n_name"]), column("key", lambda x: x["n_nationkey"].cast("string"))).alias("relation"), F.lit(True).alias("hasHeader"), F.concat(F.lit("http://www.Stats.test/"), "r_name").alias("url"), F.col("r_name").alias("title"), F.array("r_name", F.lit("the nations")).alias("termSet"))
+    raw = raw.coalesce(1).sortWithinPartitions("r_regionkey").drop("r_regionkey")
+    raw.select(F.to_json(F.struct("*")).alias("value")).union(spark.createDataFrame([("not json",), ('{"relation": [["one", "column"]]}',)], "value string")).coalesce(1).write.text(path, compression="gzip")
+    return corpus.ingest(written(corpus.read_dump(spark, path), "raw"))
+
+
+@query(f"select id, len(ns)::int numrows, 'www.stats.test' \"domain\", r_name title, lower(r_name) title_tokenized, concat(r_name, ' the nations') context, 0.5::double confidence from {_DUMP}")
+def ingest_tables(spark, d):
+    return _ingested(spark, d).tables.select("id", "numrows", "domain", "title", "title_tokenized", "context", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query(f"select id tableid, i colid, h header, h header_tokenized from {_DUMP}, (values (0, 'key'), (1, 'nation')) t(i, h)")
+def ingest_columns(spark, d):
+    return _ingested(spark, d).columns
+
+
+@query(f"select id tableid, 0 colid, unnest(range(len(ks)))::int rowid, unnest(ks)::varchar term from {_DUMP} union all select id, 1, unnest(range(len(ns)))::int, unnest(ns) from {_DUMP}")
+def ingest_table_cells(spark, d):
+    return _ingested(spark, d).cells.select("tableid", "colid", "rowid", "term")
+
+
+@query(f"select 'first' step, count(*) n_cells, count(distinct id) n_tables from (select id, unnest(ks) from {_DUMP} union all select id, unnest(ns) from {_DUMP}) union all select 'added', 2 * count(*), 2 * count(distinct id) from (select id, unnest(ks) from {_DUMP} union all select id, unnest(ns) from {_DUMP}) union all select 'removed', count(*), count(distinct id) from (select id, unnest(ks) from {_DUMP} union all select id, unnest(ns) from {_DUMP})")
+def add_remove_tables(spark, d):
+    """A stored corpus; the same tables under other ids added by a user; those removed again."""
+    r = _ingested(spark, d)
+    store = corpus.Store(spark, scratch(spark, "store"))
+    steps = []
+
+    def look(step):
+        c = store.read("cells")
+        steps.append((step, *c.agg(F.count("*"), F.count_distinct("tableid")).first()))
+
+    store.add(r)
+    look("first")
+    other = lambda df, k: df.withColumn(k, F.col(k) + 100)
+    store.add(corpus.Relations(other(r.tables, "id"), other(r.columns, "tableid"), other(r.cells, "tableid")), source=2, confidence=0.8)
+    look("added")
+    store.remove_added()
+    look("removed")
+    return spark.createDataFrame(steps, "step string, n_cells long, n_tables long")
+
+
 @query("select n_nationkey id, case when n_name < cast(n_regionkey as varchar) then n_name else cast(n_regionkey as varchar) end first_header from nation")
 def extract_table(spark, d):
     rel = F.array(F.array(F.col("n_name"), F.lit("a")), F.array(F.col("n_regionkey").cast("string"), F.lit("b")), F.array(F.lit(""), F.lit("c")))
@@ -251,25 +336,33 @@ def idf(spark, d):
     return _rounded(corpus.idf(table(spark, d, "main_tokenized")), "idf")
 
 
-@query("select w term, count(*) n from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) w from documents) group by w")
+@query("select w term, count(*) n from (select unnest(string_split(context_tokenized, ' ')) w from new_tables_tokenized_full where context_tokenized <> '') group by w")
 def term_counts(spark, d):
-    raw = table(spark, d, "documents").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("termSet"))
-    return corpus.term_set_counts(raw)
+    """Term sets of all tables, counted and written as lines, read back."""
+    path = scratch(spark, "counts")
+    raw = table(spark, d, "new_tables_tokenized_full").where("context_tokenized <> ''").select(F.split("context_tokenized", " ").alias("termSet"))
+    corpus.term_set_counts(raw).write.csv(path, sep="|", emptyValue="")
+    return spark.read.schema("term string, n long").csv(path, sep="|")
 
 
-@query("select replace(coalesce(domain, 'none'), '.', '-') domain, count(*) n from (select distinct id, domain from new_tables_tokenized_full) group by 1")
+@query("select replace(coalesce(nullif(trim(domain), ''), 'none'), '.', '-') \"domain\", count(*) n from (select distinct id, domain from new_tables_tokenized_full) group by 1")
 def split_domain(spark, d):
-    from tabweave.plans.common import shared_dir
-
-    path = f"{shared_dir(spark)}/tabweave/by-domain"
-    rows = table(spark, d, "new_tables_tokenized_full").select("id", F.col("domain").alias("dom")).distinct().select(F.translate(F.coalesce("dom", F.lit("none")), ".", "-").alias("domain"))
-    return rows.groupBy("domain").agg(F.count("*").alias("n"))
+    """One folder of gzipped lines per domain, read back."""
+    path = scratch(spark, "by-domain")
+    rows = table(spark, d, "new_tables_tokenized_full").select("id", "domain").distinct()
+    corpus.write_by_domain(rows.select(F.nullif(F.trim("domain"), F.lit("")).alias("domain"), F.col("id").cast("string").alias("line")), path)
+    return spark.read.schema("value string, domain string").text(path).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query("select host, count(*) n, min(id) first_id from (select distinct id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) host from new_tables_tokenized_full) where host <> '' group by host")
+@query("select id, host, row_number() over (order by host, id) tableid from (select distinct id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) host from new_tables_tokenized_full) where host <> ''")
 def export_by_host(spark, d):
-    t = table(spark, d, "new_tables_tokenized_full").select("id", text.url_host(F.coalesce("url", F.lit(""))).alias("host")).distinct()
-    return t.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    """JSON lines in one folder per host, with a running tableid, read back."""
+    path = scratch(spark, "by-host")
+    t = table(spark, d, "new_tables_tokenized_full").select("id", text.url_host(F.coalesce("url", F.lit(""))).alias("host")).where("host <> ''").distinct()
+    n = corpus.numbered(t, ["host", "id"], "tableid", 1)
+    n.select("host", F.to_json(F.struct("id", "tableid")).alias("value")).write.partitionBy("host").text(path, compression="gzip")
+    back = spark.read.schema("value string, host string").text(path)
+    return back.select(F.from_json("value", "id long, tableid long").alias("j"), "host").select("j.id", "host", "j.tableid")
 
 
 @query("select concat('n', n_nationkey) subject, 'name' predicate, n_name object, lower(n_name) object_tokenized from nation")
@@ -1146,9 +1239,13 @@ def url_filter(spark, d):
     return table(spark, d, "new_tables_tokenized_full").select("id", forms.wanted_url(F.col("url")).alias("wanted")).distinct()
 
 
-@query()
+@query("select c_name k, 2 n_examples from customer")
 def crowd_questions(spark, d):
-    return evaluate.question_batches(table(spark, d, "customer").select(F.col("c_name").alias("k")), 10)
+    """The keys of all questions, each of which shows the two examples."""
+    e = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
+    q = evaluate.question_batches(table(spark, d, "customer").select(F.col("c_name").alias("k")), 10, examples=e)
+    j = F.from_json("question", "keys array<string>, examples array<struct<k string, v string>>")
+    return q.select(j.alias("j")).select(F.explode("j.keys").alias("k"), F.size("j.examples").alias("n_examples"))
 
 
 _PR = f"(select count(*) filter (where b.v = t.v) c, count(b.v) a, count(*) t from (select k, min(v) v from rows0 group by k) t left join {_FINAL} b using (k))"
@@ -1180,7 +1277,57 @@ def keys_from_names(spark, d):
     return table(spark, d, "nation").select("n_nationkey", evaluate.keys_from_name(name).alias("keys"))
 
 
-@query("select n_name, lower(n_name) = 'x' same, levenshtein(n_name, 'INDIA') dist, round(1 - levenshtein(n_name, 'INDIA') / greatest(length(n_name), 5), 6) sim, upper(substr(n_name, 1, 1)) in ('A', 'E', 'I', 'O', 'U') vowel from nation")
+@query("select n_name, levenshtein(n_name, 'INDIA') dist, round(1 - levenshtein(n_name, 'INDIA') / greatest(length(n_name), 5), 6) sim, round(1 - levenshtein(lower(n_name), 'india') / greatest(length(n_name), 5), 6) esim, upper(n_name[1]) in ('A', 'E', 'I', 'O', 'U') vowel, trim(regexp_replace(regexp_replace(n_name || ' (x|y)', '[^A-Za-z0-9 |]', ' ', 'g'), ' +', ' ', 'g')) polished, 'my Camel Case' || ' 12' camel, n_nationkey % 2 = 0 blank, case when n_regionkey >= n_nationkey then 0 else 1 end::bigint top, abs(levenshtein(n_name, 'INDIA')) <= 3 alike, n_nationkey % 3 = 0 no_value from nation")
 def scalar_functions(spark, d):
     n = F.col("n_name")
-    return table(spark, d, "nation").select(n, (F.lower(n) == "x").alias("same"), F.levenshtein(n, F.lit("INDIA")).alias("dist"), F.round(text.similarity(n, F.lit("INDIA")), 6).alias("sim"), F.upper(F.substring(n, 1, 1)).isin(*"AEIOU").alias("vowel"))
+    same = text.similar_components(F.array(n, F.lit("x"), F.lit(None)), F.array(F.lit("INDIA"), F.lit("x"), F.lit(None)))
+    gone = text.all_null(F.array(F.when(F.col("n_nationkey") % 3 != 0, n), F.lit(None).cast("string")))
+    return table(spark, d, "nation").select(n, F.levenshtein(n, F.lit("INDIA")).alias("dist"), F.round(text.similarity(n, F.lit("INDIA")), 6).alias("sim"), F.round(text.edit_similarity(n, F.lit("india")), 6).alias("esim"), text.is_vowel(F.substring(n, 1, 1)).alias("vowel"), text.polish(F.concat(n, F.lit(" (x|y)"))).alias("polished"), text.split_camel_case(F.lit("myCamelCase12")).alias("camel"), text.is_empty(F.when(F.col("n_nationkey") % 2 == 0, " ").otherwise(n)).alias("blank"), text.index_of_max(F.array("n_regionkey", "n_nationkey")).alias("top"), same.alias("alike"), gone.alias("no_value"))
+
+
+@query("select n_nationkey rowid, case when n_nationkey = 3 then 'set' else n_name end term from nation")
+def set_cell(spark, d):
+    c = _nation_cells(spark, d).where("tableid = 1")
+    return corpus.set_cell(c, 1, 3, 1, "set").where("colid = 1").select("rowid", "term")
+
+
+@query("select concat('w', n_nationkey) wrapper, 2 + (n_regionkey = 1)::int n from nation order by n desc, wrapper limit 10")
+def wrapper_index(spark, d):
+    w = table(spark, d, "nation").select(F.concat(F.lit("w"), "n_nationkey").alias("wrapper"), F.concat(F.lit("region r"), "n_regionkey").alias("content"), F.lit("Country name").alias("input_name"), F.lit("x").alias("output_name"))
+    path = scratch(spark, "wrappers")
+    forms.write_index(w, path)
+    return forms.search_index(spark.read.parquet(path), "r1", "country name", "y").select("wrapper", F.col("n").cast("int").alias("n"))
+
+
+@query("select concat('f', n_regionkey) file, max(n_nationkey)::int not_found, max(n_nationkey) / 25 \"precision\", max(n_nationkey) / 50 recall, max(n_nationkey) * 1.5 runtime_s from nation group by n_regionkey")
+def collate_results(spark, d):
+    n = F.col("n_nationkey")
+    return evaluate.collate(table(spark, d, "nation").select(F.concat(F.lit("f"), "n_regionkey").alias("file"), n.cast("int").alias("not_found"), (n / 25).alias("precision"), (n / 50).alias("recall"), (n * 1500).alias("runtime_ms")))
+
+
+@query("select x, a from (values ('n_nationkey', 'n_name'), ('n_name', 'n_nationkey'), ('n_nationkey', 'n_regionkey')) t(x, a) where (select count(distinct n_name) = count(*) from nation) union all select x, a from (values ('n_name', 'n_nationkey')) t(x, a) where false")
+def minimal_cover(spark, d):
+    """A cover of nation's dependencies: key and name imply each other, so that one of them need not imply the region."""
+    found = fd.dependencies(table(spark, d, "nation"), _NC, 0.0, 2)
+    cover = fd.minimal_cover(found)
+    assert all(a in fd.closure(set(x), cover) for x, a in found)
+    name = {frozenset(("n_name",)): "n_name", frozenset(("n_nationkey",)): "n_nationkey"}
+    # either of the two may carry the region: named by the key
+    rows = [("n_nationkey" if a == "n_regionkey" else name[frozenset(x)], a) for x, a in cover]
+    return spark.createDataFrame(rows, "x string, a string")
+
+
+@query("select n_columns, n_keys from (select 3 n_columns, (select count(distinct n_name) = count(*) from nation)::int + 1 n_keys) union all select 12, 12")
+def keys_of_source(spark, d):
+    n = table(spark, d, "nation")
+    broad = n.select(*(F.col("n_name").alias(f"c{i}") for i in range(12)))
+    return spark.createDataFrame([(len(t.columns), len(fd.keys_of_source(t))) for t in (n, broad)], "n_columns int, n_keys int")
+
+
+@query("select 'tables' what, count(distinct tableid) n from cells union all select 'keys', count(*) from (select distinct tableid, colid from cells) union all select 'found', count(*) from (select distinct tableid, colid from cells where term in ('yes', 'Yes', 'unknown')) union all select 'rows', count(*) from (select tableid from cells where term in ('yes', 'Yes', 'unknown') group by tableid, term)")
+def lookup_source(spark, d):
+    """The source over the corpus' cells, through its interface."""
+    s = lookup_source_module.CellSource(cells(spark, d), table(spark, d, "columns_tokenized"))
+    asked = ["yes", "Yes", "unknown"]
+    counts = [("tables", s.tables().count()), ("keys", s.find_candidate_keys().count()), ("found", s.find_data_keys(asked).count()), ("rows", s.find_all(asked).select("tableid", "input").distinct().count())]
+    return spark.createDataFrame(counts, "what string, n long")
