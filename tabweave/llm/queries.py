@@ -97,6 +97,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _truncated(spark, d).select("field", "tableid", "colid", "rowid")
 
 
+def p7_branches(spark: SparkSession, d: str) -> DataFrame:
+    """How many cases of each field were found at a limit, by their ending alone, or by the stored content."""
+    return _truncated(spark, d).groupBy("field", "by").agg(F.count("*").alias("n"))
+
+
 def p7_share_per_source(spark: SparkSession, d: str) -> DataFrame:
     """Values of each field and source, and how many of them are cut."""
     t = table(spark, d, "new_tables_tokenized_full").select("id", "source", "title", "context").distinct()
@@ -148,7 +153,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_membership, p4_found, p4_kept_per_contributor, p5_found, p5_counts, p5_incremental, p6_found, p6_graph_of_words, p7_found, p7_share_per_source, p8_ids, p8_token_totals, p9_found, p9_locations, p9_clean_corpus, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_membership, p4_found, p4_kept_per_contributor, p5_found, p5_counts, p5_incremental, p6_found, p6_graph_of_words, p7_found, p7_branches, p7_share_per_source, p8_ids, p8_token_totals, p9_found, p9_locations, p9_clean_corpus, p10_found, p10_restored)}
 
 _CONTRIBUTOR = r"""select distinct id, regexp_replace(regexp_replace(lower(trim(case when trim(coalesce(domain, '')) <> '' then domain
  else regexp_extract(coalesce(url, ''), '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) end)), '\.+$', ''), '^www\.', '') c,

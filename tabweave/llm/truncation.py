@@ -15,10 +15,15 @@
      on where the title stops shows the cut; one that goes on with a separator and a site name shows completeness.
      A last word that stands nowhere inside a title and is the beginning of a word at least five times as frequent as
      that ending (in at least LONGER of the titles) is broken off, whatever the pattern.
-   - A cell at a limit is cut. Elsewhere it is if the same cell in the table's stored content goes on.
+   - A cell at a limit is cut. Elsewhere it is if the same cell in the table's stored content goes on, or if it ends in a
+     broken word: one that stands nowhere inside a cell, that ends different cells rather than equal ones, and that begins
+     a word at least BROKEN times as frequent.
    An ellipsis is taken off first; what remains is judged in the same way, so that an ellipsis behind a complete title
    is no case.
 
+Each case names the branch that found it (by): limit, a significant length; ending, an incomplete ending elsewhere;
+continued, the stored content goes on.
+
 Word and pattern statistics cover all values. What is sent has a bound: the frequent words (at most the mean number of
 words / FREQUENT) and the frequent patterns (at most 2,000). Cells get their source by a join of length counts per table, and later of the candidates alone.
 
@@ -38,6 +43,7 @@ FDR = 0.001
 NEIGHBOURS = 12
 FREQUENT = 0.04
 LONGER = 0.002
+BROKEN = 10
 _ELLIPSIS = r"\s*(…|\.\.\.)\s*$"
 _WORD = r"[\p{L}\p{N}]+"
 
@@ -62,7 +68,7 @@ def limits(counts: DataFrame, fdr: float = FDR, width: int = NEIGHBOURS) -> Data
     small = small.withColumn("rank", F.row_number().over(Window.orderBy("log_p", "field", "source", "unit", "len")))
     passes = F.when(F.col("log_p") <= F.log(F.lit(fdr) * F.col("rank") / F.col("m")), F.col("rank"))
     last = F.max(passes).over(Window.partitionBy(F.lit(1)))
-    kept = small.withColumn("last", last).where((F.col("rank") <= F.col("last")) & (F.col("n") >= 5) & (F.col("n") >= 3 * F.col("expected")) & (F.col("n") >= 2.5 * F.col("beside")) & (2 * F.col("n") >= F.col("risk") - F.col("n")))
+    kept = small.withColumn("last", last).where((F.col("rank") <= F.col("last")) & (F.col("n") >= 3 * F.col("expected")) & (F.col("n") >= 2.5 * F.col("beside")) & (2 * F.col("n") >= F.col("risk") - F.col("n")))
     return kept.select("field", "source", "unit", "len", "n", "expected", (F.col("risk") - F.col("n")).alias("longer"))
 
 
@@ -96,7 +102,7 @@ def pattern(text: Column, frequent: list[str]) -> Column:
 
 
 def _titles(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFrame:
-    """(field, tableid, cut) of titles."""
+    """(field, tableid, by) of the titles that are cut."""
     titles = rows.where("field = 'title'").join(at_limit, ["field", "tableid"], "left").withColumn("limit", F.coalesce("limit", F.lit(False)))
     n = titles.count()
     # at most (mean number of words) / FREQUENT words
@@ -126,12 +132,13 @@ def _titles(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFrame
     own = F.col("n_last") - F.when(F.col("limit"), 0).otherwise(1)  # a value is no witness for itself
     final = F.coalesce(own >= F.when(F.col("limit"), 3).otherwise(1), F.lit(False)) & (F.col("n_last") * 25 >= F.col("n_inner"))
     fits = F.coalesce("fits", F.lit(False)) | F.coalesce("fits_blank", F.lit(False)) & final
-    at_limit_cut = ~(fits & (~blank_end | final))
-    with_ellipsis = F.when(F.col("limit"), at_limit_cut).otherwise(~fits & F.col("begins") | blank_end & (F.col("n_inner") > 10) & ~final)
+    # whatever the pattern, and however often such pieces end a title at a limit
     broken = F.col("w").rlike(r"^\p{L}+$") & F.endswith("bare", "w") & (F.col("n_inner") == 0) & (F.col("longer") >= 5 * F.col("n_last"))
+    at_limit_cut = ~(fits & (~blank_end | final)) | F.coalesce(broken, F.lit(False))
+    with_ellipsis = F.when(F.col("limit"), at_limit_cut).otherwise(~fits & F.col("begins") | blank_end & (F.col("n_inner") > 10) & ~final)
     elsewhere = ~fits & F.coalesce("begins", F.lit(False)) & ~F.col("bare").rlike(r"[.!?)]$") | F.coalesce(broken, F.lit(False))
     cut = F.when(goes_on & ~site, True).when(goes_on & site & ~open_end, False).when(open_end, True).when(F.col("ellipsis"), with_ellipsis).when(F.col("limit"), at_limit_cut & ~F.col("bare").rlike(r"[.!?)]$")).otherwise(elsewhere)
-    return t.where(cut).select("field", "tableid")
+    return t.where(cut).select("field", "tableid", F.when(F.col("limit"), "limit").otherwise("ending").alias("by"))
 
 
 def _contexts(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFrame:
@@ -141,13 +148,12 @@ def _contexts(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFra
     ended = F.col("bare").rlike(r"[.!?。؟][\"”“’')\]»]*\s*$")
     running = F.col("bare").rlike(r"[.!?。؟][\"”“’')\]»]*\s")
     listed = F.col("limit") | F.coalesce(F.col("n_inner") == 0, F.lit(True)) | F.col("bare").rlike(r"\s$")
-    return c.where(F.when(ended, False).when(F.col("ellipsis") | running, True).otherwise(listed)).select("field", "tableid")
+    return c.where(F.when(ended, False).when(F.col("ellipsis") | running, True).otherwise(listed)).select("field", "tableid", F.when(F.col("limit"), "limit").otherwise("ending").alias("by"))
 
 
 def truncated(tables: DataFrame, cells: DataFrame) -> DataFrame:
-    """(field, tableid, colid, rowid, source) of the values that were cut; colid = rowid = -1 in titles and contexts."""
+    """(field, tableid, colid, rowid, source, by) of the values that were cut; colid = rowid = -1 in titles and contexts."""
     rows = written(texts(tables), "texts")
-    source = rows.sparkSession.createDataFrame([], "tableid long, source int")
     source = tables.where("id is not null").groupBy(F.col("id").cast("long").alias("tableid")).agg(F.coalesce(F.min("source"), F.lit(-1)).alias("source"))
     sized = cells.where("term is not null and term <> ''").select("tableid", "colid", "rowid", F.length("term").alias("chars"), F.octet_length("term").alias("bytes")).distinct()
     of_table = _lengths(sized, ["tableid"]).join(source, "tableid", "left").select(F.lit("term").alias("field"), F.coalesce("source", F.lit(-1)).alias("source"), "unit", "len", "n")
@@ -160,16 +166,37 @@ def truncated(tables: DataFrame, cells: DataFrame) -> DataFrame:
         at_limit = hit if at_limit is None else at_limit.unionByName(hit)
     at_limit = at_limit.distinct().withColumn("limit", F.lit(True))
     words = written(word_counts(rows), "words")
-    whole = _titles(rows, at_limit, words).unionByName(_contexts(rows, at_limit, words)).distinct()
-    whole = whole.join(source, "tableid", "left").select("field", "tableid", F.lit(-1).alias("colid"), F.lit(-1).alias("rowid"), "source")
+    whole = _titles(rows, at_limit, words).unionByName(_contexts(rows, at_limit, words)).groupBy("field", "tableid").agg(F.max("by").alias("by"))
+    whole = whole.join(source, "tableid", "left").select("field", "tableid", F.lit(-1).alias("colid"), F.lit(-1).alias("rowid"), "source", "by")
 
     # formats give cells of one length, too (dates, codes); a limit of the load has hardly any cell beyond it
     of_term = found.where("field = 'term' and n >= 2 * longer").select("source", "unit", "len")
     some = cells.where("term is not null").select("tableid", "colid", "rowid", F.length("term").alias("chars"), F.octet_length("term").alias("bytes"))
-    near = some.join(of_term.where("unit = 'chars'").select(F.col("len").alias("chars")).distinct(), "chars", "left_semi").distinct().join(source, "tableid", "left").withColumn("source", F.coalesce("source", F.lit(-1)))
-    cut = near.join(of_term.where("unit = 'chars'").select("source", F.col("len").alias("chars")), ["source", "chars"], "left_semi")
-    cut = cut.select("tableid", "colid", "rowid", "source").unionByName(continued(tables, cells).join(source, "tableid", "left").select("tableid", "colid", "rowid", "source")).distinct()
-    return whole.unionByName(cut.select(F.lit("term").alias("field"), "tableid", "colid", "rowid", "source"))
+    near = None
+    for unit in ("chars", "bytes"):
+        at = of_term.where(F.col("unit") == unit)
+        hit = some.join(at.select(F.col("len").alias(unit)).distinct(), unit, "left_semi").join(source, "tableid", "left").withColumn("source", F.coalesce("source", F.lit(-1)))
+        hit = hit.join(at.select("source", F.col("len").alias(unit)), ["source", unit], "left_semi").select("tableid", "colid", "rowid")
+        near = hit if near is None else near.unionByName(hit)
+    cut = near.withColumn("by", F.lit("limit")).unionByName(continued(tables, cells).withColumn("by", F.lit("continued"))).unionByName(broken_cells(cells).withColumn("by", F.lit("ending")))
+    cut = cut.groupBy("tableid", "colid", "rowid").agg(F.max("by").alias("by")).join(source, "tableid", "left")
+    return whole.unionByName(cut.select(F.lit("term").alias("field"), "tableid", "colid", "rowid", "source", "by"))
+
+
+def broken_cells(cells: DataFrame, times: int = BROKEN) -> DataFrame:
+    """(tableid, colid, rowid) of the cells that end in a broken word. Counts are of all cells, combined per term first."""
+    terms = cells.where("trim(term) <> ''").groupBy("term").agg(F.count("*").alias("k"))
+    words = terms.select("k", "term", F.regexp_extract_all(F.lower("term"), F.lit(_WORD), F.lit(0)).alias("ws"))
+    words = words.select("k", F.posexplode("ws").alias("i", "w"), F.size("ws").alias("size"))
+    last = F.col("i") == F.col("size") - 1
+    n = words.groupBy("w").agg(F.sum("k").alias("n"), F.sum(F.when(last, 0).otherwise(F.col("k"))).alias("n_inner"), F.count_if(last).alias("n_ends"))
+    n = written(n, "cell-words")
+    heads = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substr("w", F.lit(1), i)))
+    longer = n.where((F.col("n") >= times) & (F.length("w") > 1)).select(heads.alias("w"), "n").groupBy("w").agg(F.max("n").alias("longer"))
+    broken = n.where("n_inner = 0 and n <= 2 * n_ends").where(F.col("w").rlike(r"^\p{L}+$")).join(longer, "w").where(F.col("longer") >= times * F.col("n")).select("w")
+    lower = F.lower("term")
+    ended = cells.where("term is not null").select("tableid", "colid", "rowid", F.try_element_at(F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)), F.lit(-1)).alias("w"), lower.alias("t"))
+    return ended.where(F.endswith("t", "w")).join(broken, "w", "left_semi").select("tableid", "colid", "rowid")
 
 
 def continued(tables: DataFrame, cells: DataFrame) -> DataFrame:

@@ -383,7 +383,8 @@ def test_truncated(spark):
                     cut.add(("context", i))
         rows.append((i, title, context, None, src, "{" if i % 5 else None, "x"))
     rows += rows[:20] + [(1000, None, " ", None, None, None, None), (1001, "", None, "", 1, '{"tuples":[{"cells":[{"value":"Levabizes"},{"value":"Mini*"},{"value":7}]}]}', "")]
-    cells = [(i, 0, k, " ".join(r.choices(nouns, k=9))[: 40 if i % 2 else 100][: r.randrange(5, 80) if k % 2 else 200], "t", 1, 1) for i in range(0, 600, 3) for k in range(6)]
+    # complete cells of one to nine words, cut at 40 in odd tables
+    cells = [(i, 0, k, " ".join(r.choices(nouns, k=r.randrange(1, 10) if k % 2 else 9))[: 40 if i % 2 else 100], "t", 1, 1) for i in range(0, 600, 3) for k in range(6)]
     cells += [(1001, 0, 0, "Levab", "t", 1, 1), (1001, 1, 0, "Mini", "t", 1, 1), (1001, 2, 0, "7", "t", 1, 1)]
     got = truncation.truncated(spark.createDataFrame(rows, TABLES), spark.createDataFrame(cells + cells[:50], CELLS)).collect()
     whole = {(x["field"], x["tableid"]) for x in got if x["field"] != "term"}
@@ -393,6 +394,17 @@ def test_truncated(spark):
     assert terms == want and len(got) == len(set(got))
 
 
+def test_cells_broken_off_in_a_word(spark):
+    r = random.Random(6)
+    nouns = ["ledger", "vineyard", "turbine", "catalogue", "dossier", "harbor", "tariff", "voucher"]
+    texts = [" ".join(r.choices(nouns, k=5)) for _ in range(300)] + ["Grade H"] * 40 + ["No", "no"] * 20
+    cut = {3: "ledger turbine cata", 77: "VINEYARD HARB", 150: "dossier vouche", 220: "tariff catalogu"}
+    cells = [(i, 0, 0, cut.get(i, x), "t", 1, 1) for i, x in enumerate(texts)] + [(900, 0, 0, None, None, 1, 1), (901, 0, 0, " ", "", 1, 1)]
+    got = {x["tableid"] for x in truncation.broken_cells(spark.createDataFrame(cells + cells[:9], CELLS)).collect()}
+    assert got == set(cut)
+    assert truncation.broken_cells(spark.createDataFrame([], CELLS)).count() == 0
+
+
 def test_titles_broken_off_in_a_word_of_a_fitting_pattern(spark):
     r = random.Random(8)
     nouns = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(5)) for _ in range(100)] + ["table", "tablets"]
