@@ -96,52 +96,31 @@ def induce(cells: DataFrame, keys: DataFrame, fixed: DataFrame, tables_of: Calla
     return Induced(evidence, ratings, examples, most, False)
 
 
-def latent_truth(ans: DataFrame, sweeps: int = 20, seed: int = 7) -> DataFrame:
-    """(k, v, truth): collapsed Gibbs sampling of the truth of each claim, with sensitivity Beta(50, 50) and false claims
-    Beta(10, 1000). Keys that share no mapping are independent, but a key's claims depend on the counts of all mappings:
-    the sampler runs per block of keys (hash of the key into `blocks` of bounded size), each with its own counts."""
-    import numpy as np
-    import pandas as pd
-
-    per_block = 2_000
-    n_keys = ans.select("k").distinct().count()
-    blocks = max(1, n_keys // per_block)
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k", "v", "mid"])
-        facts = pdf[["k", "v"]].drop_duplicates().reset_index(drop=True)
-        index = {f: i for i, f in enumerate(facts.itertuples(index=False, name=None))}
-        mids = {m: i for i, m in enumerate(sorted(pdf["mid"].unique()))}
-        of_key: dict[str, set[int]] = {}
-        claims: list[dict[int, bool]] = [{} for _ in range(len(facts))]
-        for k, m in zip(pdf["k"], pdf["mid"]):
-            of_key.setdefault(k, set()).add(mids[m])
-        said = {(index[k, v], mids[m]) for k, v, m in zip(pdf["k"], pdf["v"], pdf["mid"])}
-        for i, (k, _) in enumerate(facts.itertuples(index=False, name=None)):
-            claims[i] = {m: (i, m) in said for m in of_key[k]}
-        rng = np.random.default_rng(seed)
-        truth = rng.integers(0, 2, len(facts))
-        counts = np.zeros((len(mids), 2, 2))
-        for i, c in enumerate(claims):
-            for m, o in c.items():
-                counts[m, truth[i], int(o)] += 1
-        prior = np.array([[1000.0, 10.0], [50.0, 50.0]])
-        total = np.zeros(len(facts))
-        for sweep in range(sweeps):
-            for i, c in enumerate(claims):
-                logs = np.zeros(2)
-                for m, o in c.items():
-                    counts[m, truth[i], int(o)] -= 1
-                for t in (0, 1):
-                    for m, o in c.items():
-                        row = counts[m, t] + prior[t]
-                        logs[t] += np.log(row[int(o)] / row.sum())
-                p = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
-                truth[i] = int(rng.random() < p)
-                for m, o in c.items():
-                    counts[m, truth[i], int(o)] += 1
-                if sweep >= sweeps // 4:
-                    total[i] += p
-        return pd.DataFrame({"k": facts["k"], "v": facts["v"], "truth": np.round(total / (sweeps - sweeps // 4), 6)})
-
-    return ans.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks))).groupBy("b").applyInPandas(lambda pdf: block(pdf), "k string, v string, truth double")
+#: Pseudo-counts of the latent truth model: true claims said and not said, false claims said and not said.
+TRUE_SAID, TRUE_SILENT, FALSE_SAID, FALSE_SILENT = 50.0, 50.0, 10.0, 1000.0
+
+
+def latent_truth(ans: DataFrame, rounds: int = 20, eps: float = 1e-6) -> DataFrame:
+    """(k, v, truth): the probability of each claim under the latent truth model. A mapping that has a key speaks on each
+    value claimed for that key: it says it or is silent. Every mapping has a sensitivity (it says what is true) and a false
+    positive rate, with beta priors. Expectation and maximisation alternate over all mappings and claims, from the share of
+    the mappings that say a value, until no truth changes by eps or for `rounds` rounds; both steps are aggregations, so that
+    counts are those of the whole evidence, whatever its size."""
+    a = ans.select("mid", "k", "v").distinct()
+    speakers, values = a.select("mid", "k").distinct(), a.select("k", "v").distinct()
+    claims = written(values.join(speakers, "k").join(a.withColumn("said", F.lit(1)), ["mid", "k", "v"], "left").select("mid", "k", "v", F.coalesce("said", F.lit(0)).alias("said")), "claims")
+    p = written(claims.groupBy("k", "v").agg(F.avg("said").alias("truth")), "truth")
+    said, t = F.col("said") == 1, F.col("truth")
+    for _ in range(rounds):
+        both = claims.join(p, ["k", "v"])
+        part = lambda of, when: F.sum(F.when(when, of).otherwise(0.0))
+        n = both.groupBy("mid").agg(part(t, said).alias("tp"), part(t, ~said).alias("fn"), part(1 - t, said).alias("fp"), part(1 - t, ~said).alias("tn"))
+        n = n.select("mid", ((F.col("tp") + TRUE_SAID) / (F.col("tp") + F.col("fn") + TRUE_SAID + TRUE_SILENT)).alias("sens"), ((F.col("fp") + FALSE_SAID) / (F.col("fp") + F.col("tn") + FALSE_SAID + FALSE_SILENT)).alias("fpr"))
+        weight = F.when(said, F.log(F.col("sens") / F.col("fpr"))).otherwise(F.log((1 - F.col("sens")) / (1 - F.col("fpr"))))
+        odds = claims.join(n, "mid").groupBy("k", "v").agg(F.sum(weight).alias("o"))
+        new = written(odds.select("k", "v", (1 / (1 + F.exp(-F.col("o")))).alias("truth")), "truth")
+        change = new.join(p.withColumnRenamed("truth", "old"), ["k", "v"]).agg(F.max(F.abs(F.col("truth") - F.col("old")))).first()[0] or 0.0
+        p = new
+        if change < eps:
+            break
+    return p

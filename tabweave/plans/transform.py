@@ -884,9 +884,16 @@ def similar_example_tables(spark, d):
     return score.similar_examples(cand(spark, d), examples(spark, d))
 
 
-@query()
+def _truth_sql(rounds: int) -> str:
+    steps = ["cl as (select s.mid, f.k, f.v, (w.mid is not null)::int said from (select distinct k, v from wide) f join (select distinct mid, k from wide) s using (k) left join wide w on w.mid = s.mid and w.k = f.k and w.v = f.v)", "p0 as (select k, v, avg(said) t from cl group by k, v)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"q{i} as (select mid, (sum(t * said) + 50) / (sum(t) + 100) s, (sum((1 - t) * said) + 10) / (sum(1 - t) + 1010) f from cl join p{i - 1} using (k, v) group by mid), p{i} as (select k, v, 1 / (1 + exp(-sum(case when said = 1 then ln(s / f) else ln((1 - s) / (1 - f)) end))) t from cl join q{i} using (mid) group by k, v)")
+    return f", {_WIDE}, " + ", ".join(steps) + f" select k, v, round(t, 6) truth from p{rounds}"
+
+
+@query(_truth_sql(4))
 def truth_discovery(spark, d):
-    return em.latent_truth(wide(spark, d))
+    return _rounded(em.latent_truth(wide(spark, d), 4, 0.0), "truth")
 
 
 PICKS = 5
