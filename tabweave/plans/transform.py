@@ -642,7 +642,8 @@ def _certain(policy: str, sql: str):
     def f(spark, d):
         c = F.col("c_custkey").cast("long")
         e = table(spark, d, "customer").groupBy(F.concat(F.lit("k"), c % 97).alias("x"), F.concat("c_mktsegment", c % 3).alias("y")).agg(F.max((c * 7919 % 100 + 1) / 100.0).alias("score"))
-        return search.policy_certain(e, policy, 10)
+        # fewer than 300 keys are certain: the 300 best pairs take their place
+        return search.policy_certain(e, "fill", 300) if policy == "fill_short" else search.policy_certain(e, policy, 10)
 
     f.__name__ = f"policy_{policy}" if policy.startswith("most") else f"policy_certain_{policy}"
     query(sql)(f)
@@ -653,6 +654,7 @@ _certain("most_certain", f"select x, y, score from {_SC} where x in {_TOPX}")
 _certain("pairs", f"select x, y, score from {_SC} order by score desc, x, y limit 10")
 _certain("xs", f"select x, y, score from (select *, row_number() over (partition by x order by score desc, y) i from {_SC} where x in {_TOPX}) where i <= 2")
 _certain("only", f"select x, y, score from {_SC} where score = 1.0")
+_certain("fill_short", f"select x, y, score from {_SC} order by score desc, x, y limit 300")
 _certain("fill", f"select x, y, score from {_SC} where score = 1.0 and (select count(distinct x) from {_SC} where score = 1.0) >= 10 union all select * from (select x, y, score from {_SC} where (select count(distinct x) from {_SC} where score = 1.0) < 10 order by score desc, x, y limit 10)")
 
 
@@ -1143,6 +1145,11 @@ def join_graph(spark, d):
     return graph.join_graph(graph.postings(_terms(spark, d).where("field = 'header'")))
 
 
+@query(f", s as (select tableid, list(tok order by tok) ts from (select distinct tok, tableid from {_HPOST}) group by tableid), k as (select ts, min(tableid) c from s group by ts), l as (select distinct a.c x, b.c y from (select c, unnest(ts) t from k) a join (select c, unnest(ts) t from k) b on a.t = b.t and a.c < b.c), n as (select c, count(*) n from (select x c from l union all select y from l) group by c) select s.tableid, k.c \"class\", coalesce(n, 0) n_links from s join k using (ts) left join n on n.c = k.c")
+def join_classes(spark, d):
+    return graph.join_classes(graph.postings(_terms(spark, d).where("field = 'header'")))
+
+
 @query("select distinct tableid, colid from cells where term in (select term from cells where tableid = (select id from t0) and colid = 0)")
 def find_data_keys(spark, d):
     own = table(spark, d, "main_tokenized").where((F.col("tableid") == _t0(spark, d)) & (F.col("colid") == 0)).select("term").where("term is not null")
@@ -1265,6 +1272,15 @@ def precision_recall(spark, d):
     return _rounded(evaluate.precision_recall(induced(spark, d, SEARCHES).examples, truth, GIVEN), "precision", "recall")
 
 
+@query(f"select greatest(c - 3, 0) correct, greatest(a - 3, 0) answered, t total, round(coalesce(greatest(c - 3, 0) / nullif(greatest(a - 3, 0), 0), 0), 6) \"precision\", round(coalesce(greatest(c - 3, 0) / nullif(t, 0), 0), 6) recall from (select count(*) c, count(*) a, count(*) t from hrows)".replace("select", _HOP.rstrip(",") + " select", 1))
+def precision_recall_indirect(spark, d):
+    """Of the two-hop transformation; its total keeps the given examples."""
+    c, rows, e = _hop(spark, d)
+    half = lambda a: a.select("mid").distinct().select("mid", F.lit(0.5).alias("prior"), F.lit(0.5).alias("schema"))
+    found = indirect.transform(c, rows, e, half, LEAST)
+    return _rounded(evaluate.precision_recall(found, rows.select("k", "v"), GIVEN, indirect=True), "precision", "recall")
+
+
 @query("select c correct, a answered, t total, round(c / a, 6) \"precision\", round(c / t, 6) recall from (select count(*) c, count(*) a, (select count(*) from supplier) t from supplier where s_suppkey % 7 <> 0)")
 def precision_recall_lookup(spark, d):
     """Of look-ups: equality but for case, and no output is no answer."""

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tabweave.functions import text
@@ -148,6 +149,34 @@ def test_unpivot_numbers_rows(spark):
     assert {(r["rowid"], r["term"]) for r in cells.where("colid = 0").collect()} == {(i, str(i)) for i in range(50)}
 
 
+def test_entries_are_validated(spark):
+    c = table_cells(spark, [("a", "1"), ("b", "2")]).withColumn("tokenized", F.col("term"))
+    assert search.query_tables(c, [("a", "1"), ("b", "2")], 2).count() == 1
+    for wrong in (lambda: search.query_tables(c, [("a", "1")], 2), lambda: search.query_tables(c, [("a", "1")], 0), lambda: search.similar_find_tables(c, ["a"], ["1", "2"], 1)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_seeded_input_keeps_n_values(spark):
+    rows = spark.createDataFrame([(i, f"k{i}", f"v{i}") for i in range(30)], "rowid int, k string, v string")
+    one, two = (sorted(r["k"] for r in evaluate.make_input(rows, 5, seed).where("v is not null").collect()) for seed in (1, 2))
+    assert len(one) == len(two) == 5 and one != two
+
+
+def test_loop_finds_more_by_what_it_found(spark):
+    """Table 1 holds the examples and two more keys; table 2 only these two and a third: it is found by the answers."""
+    t = lambda i, rows: [(i, c, r, v, v) for r, row in enumerate(rows) for c, v in enumerate(row)]
+    rows = t(1, [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")]) + t(2, [("c", "3"), ("d", "4"), ("e", "5"), ("a", "1"), ("b", "2")][:3] + [("a", "1"), ("b", "2")]) + t(3, [("x", "1"), ("y", "2")])
+    cells = spark.createDataFrame(rows, "tableid long, colid int, rowid int, term string, tokenized string")
+    fixed = spark.createDataFrame([("a", "1", 1.0), ("b", "2", 1.0)], "k string, v string, score double")
+    keys = spark.createDataFrame([(k,) for k in "abcde"], "k string")
+    of = lambda a: a.select("mid").distinct().select("mid", F.lit(0.5).alias("prior"), F.lit(0.5).alias("schema"))
+    r = em.induce(cells, keys, fixed, of, 2, most=30)
+    assert {(x["k"], x["v"]) for x in r.examples.collect()} == {("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "5")}
+    wrong = spark.createDataFrame(t(4, [("a", "1"), ("b", "9"), ("c", "8"), ("q", "2"), ("b", "7"), ("b", "6"), ("b", "5"), ("a", "4")]), cells.schema)
+    assert em.induce(wrong, keys, fixed, of, 2, most=2).evidence.count() == 0
+
+
 def test_join_graph_of_long_lists(spark):
     sets = {t: {"all"} | {f"h{t % 3}"} | ({"few"} if t in (7, 8) else set()) for t in range(60)} | {100: {"rare"}, 101: {"rare"}, 102: {"own"}}
     rows = [("header", w, t) for t, ws in sets.items() for w in ws] * 2
