@@ -60,8 +60,9 @@ class Induced:
     settled: bool
 
 
-def induce(cells: DataFrame, keys: DataFrame, fixed: DataFrame, tables_of: Callable[[DataFrame], DataFrame], least: int = 2, quality: float | None = 0.3, searches: int = 3, most: int = 100, asked: int = 50, eps: float = 1e-5, method: str = "functional", new_keys: bool = False) -> Induced:
-    """The inductive loop. cells: the corpus without the query table; keys (k): the input; fixed (k, v, score): the user's
+def induce(cells: DataFrame, keys: DataFrame, fixed: DataFrame, tables_of: Callable[[DataFrame], DataFrame], least: int = 2, quality: float | None = 0.3, searches: int = 3, most: int = 100, asked: int = 50, eps: float = 1e-5, method: str = "functional", new_keys: bool = False, by_token: DataFrame | None = None) -> Induced:
+    """The inductive loop. cells: the corpus without the query table, best in the layout sorted by table; by_token: the same
+    cells sorted by token, for the searches, if there is such a copy; keys (k): the input; fixed (k, v, score): the user's
     examples; tables_of(evidence): (mid, prior, schema) of its tables.
 
     Each round searches for tables with the `asked` best examples known so far (the user's and the answers found), leaves
@@ -78,7 +79,7 @@ def induce(cells: DataFrame, keys: DataFrame, fixed: DataFrame, tables_of: Calla
         if searching:
             e = search.policy_certain(examples.select(F.col("k").alias("x"), F.col("v").alias("y"), "score"), "pairs", asked)
             e = spark.createDataFrame(e.collect(), e.schema)  # `asked` rows at most
-            found = search.find_tables(cells, e.select(F.col("x").alias("tokenized")), e.select(F.col("y").alias("tokenized")), least)
+            found = search.find_tables(cells if by_token is None else by_token, e.select(F.col("x").alias("tokenized")), e.select(F.col("y").alias("tokenized")), least)
             found = written(found.join(seen, ["tableid", "x_col", "y_col"], "left_anti"), "found")
             seen = seen.unionByName(found)
             said = written(score.answers(score.table_map(cells, found)), "said")

@@ -19,13 +19,12 @@ def table_map(cells: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def row_values(cells: DataFrame, matches: DataFrame) -> DataFrame:
-    """(tableid, rowid, k, v): the rows of matched columns."""
-    from tabweave.operators.search import small
-
+    """(tableid, rowid, x_col, y_col, k, v): the rows of matched columns. matches should be a written table: its size then
+    decides, when the plan is made and again while it runs, whether it is broadcast."""
     m = matches.select("tableid", "x_col", "y_col").distinct()
-    wanted = small(m.select("tableid", F.explode(F.array("x_col", "y_col")).alias("colid")).distinct())
+    wanted = m.select("tableid", F.explode(F.array("x_col", "y_col")).alias("colid")).distinct()
     c = cells.where("tokenized <> ''").select("tableid", "colid", "rowid", "tokenized").join(wanted, ["tableid", "colid"], "left_semi").distinct()
-    x = c.withColumnsRenamed({"colid": "x_col", "tokenized": "k"}).join(small(m), ["tableid", "x_col"])
+    x = c.withColumnsRenamed({"colid": "x_col", "tokenized": "k"}).join(m, ["tableid", "x_col"])
     return x.join(c.withColumnsRenamed({"colid": "y_col", "tokenized": "v"}), ["tableid", "rowid", "y_col"]).select("tableid", "rowid", "x_col", "y_col", "k", "v")
 
 
@@ -43,19 +42,20 @@ def named(mids: DataFrame) -> DataFrame:
 def accepted(found: DataFrame, examples: DataFrame, keys: DataFrame, least: int, quality: float | None = 0.3, new_keys: bool = False) -> DataFrame:
     """found (mid, k, v): what candidate tables say. The pairs of those that pass the assessment, for the input keys only
     unless new_keys."""
-    from tabweave.operators.search import small
+    out = found.join(assess(check(found, examples), least, quality).select("mid"), "mid", "left_semi")
+    return (out if new_keys else out.join(keys.select("k").distinct(), "k", "left_semi")).select("mid", "k", "v")
 
-    ok = assess(check(found, examples), least, quality).select("mid")
-    out = found.join(small(ok), "mid", "left_semi")
-    return (out if new_keys else out.join(small(keys.select("k").distinct()), "k", "left_semi")).select("mid", "k", "v")
 
-
-def check(ans: DataFrame, examples: DataFrame, mode: str = "plain") -> DataFrame:
-    """(mid, k, good, bad) for the keys of a mapping that are examples. A known value is good by its score. Another value
-    is bad by 1 (plain, functional) or neutral (nonfunctional); functional reports all its contradictions as bad pairs."""
+def check(ans: DataFrame, examples: DataFrame, mode: str = "plain", known_bad: DataFrame | None = None) -> DataFrame:
+    """(mid, k, good, bad, n_good) for the keys of a mapping that are examples. A known value is good by its score. Another
+    value is bad by 1 (plain, functional) or neutral (nonfunctional), and by 1 more if it is among known_bad (k, v);
+    bad_pairs() gives the contradictions themselves."""
     keys = examples.select("k").distinct()
     hit = ans.join(keys, "k", "left_semi").join(examples.select("k", "v", F.col("score").alias("s")), ["k", "v"], "left")
     bad = F.lit(0.0) if mode == "nonfunctional" else F.when(F.col("s").isNull(), 1.0).otherwise(0.0)
+    if known_bad is not None:
+        hit = hit.join(known_bad.select("k", "v").distinct().withColumn("known", F.lit(1.0)), ["k", "v"], "left")
+        bad = bad + F.coalesce("known", F.lit(0.0))
     return hit.groupBy("mid", "k").agg(F.sum(F.coalesce("s", F.lit(0.0))).alias("good"), F.sum(bad).alias("bad"), F.count("s").alias("n_good"))
 
 
@@ -98,6 +98,16 @@ def assess_weighted(checked: DataFrame, least: int, quality: float = 0.3, weight
     return m.where((F.col("n_good") >= least) & (F.col("correctness") >= quality)).select("mid", "n_good", "correctness")
 
 
+def assess_open(checked: DataFrame, complete: DataFrame | None, least: int, quality: float = 0.3) -> DataFrame:
+    """The assessment in an open world, where a contradiction says nothing: by local completeness (mid, k, present, absent) if
+    that is given, else by the number of good examples alone. (mid, n_good)."""
+    m = checked.groupBy("mid").agg(F.sum(F.col("n_good") * F.col("n_good")).alias("n_good")).where(F.col("n_good") >= least)
+    if complete is None:
+        return m
+    share = F.coalesce(F.try_divide(F.sum("present"), F.sum("present") + F.sum("absent")), F.lit(0.0))
+    return m.join(complete.groupBy("mid").agg(share.alias("share")).where(F.col("share") >= quality).select("mid"), "mid", "left_semi")
+
+
 def consolidate(old: DataFrame, new: DataFrame, bad: DataFrame) -> DataFrame:
     """All evidence, without the pairs known to be bad."""
     return old.unionByName(new).distinct().join(bad.select("k", "v").distinct(), ["k", "v"], "left_anti").select("mid", "k", "v")

@@ -163,7 +163,7 @@ def tabs(spark: SparkSession, d: str, answers_: DataFrame | None = None) -> Data
 
 def _schema(spark: SparkSession, d: str, m: DataFrame) -> DataFrame:
     """m (tableid, x_col, y_col). (mid, schema)."""
-    h = table(spark, d, "columns_tokenized").join(search.small(m.select("tableid").union(spark.createDataFrame([(_t0(spark, d),)], "tableid long")).distinct()), "tableid", "left_semi")
+    h = table(spark, d, "columns_tokenized").join(m.select("tableid").union(spark.createDataFrame([(_t0(spark, d),)], "tableid long")).distinct(), "tableid", "left_semi")
     h = h.groupBy("tableid", "colid").agg(F.min("header_tokenized").alias("h"))
     own = {r["colid"]: r["h"] for r in h.where((F.col("tableid") == F.lit(_t0(spark, d))) & F.col("colid").isin(0, 1)).collect()}
     x, y = h.withColumnsRenamed({"colid": "x_col", "h": "x_header"}), h.withColumnsRenamed({"colid": "y_col", "h": "y_header"})
@@ -720,6 +720,19 @@ def assess_weighted(spark, d):
     return _rounded(score.assess_weighted(score.check(cand(spark, d), examples(spark, d)), 1), "correctness")
 
 
+@query(f", {_WIDE}, kb as (select k, v from wbad where v > 'm') select a.mid, a.k, sum(coalesce(e.score, 0.0)) good, sum(case when e.score is null then 1.0 else 0.0 end + case when (a.k, a.v) in (select (k, v) from kb) then 1.0 else 0.0 end) bad, count(e.score) n_good from wide a left join ex e on e.k = a.k and e.v = a.v where a.k in (select k from ex) group by a.mid, a.k")
+def check_mapping_known_bad(spark, d):
+    """A contradiction that is known already counts twice."""
+    a, e = wide(spark, d), examples(spark, d)
+    return score.check(a, e, "functional", score.bad_pairs(a, e).where("v > 'm'"))
+
+
+@query(f", {_WIDE}, wc as (select mid, a.k, count(e.score) n from wide a left join ex e on e.k = a.k and e.v = a.v where a.k in (select k from ex) group by mid, a.k), lc as (select a.mid, sum(case when b.v is not null then e.score else 0.0 end) p, sum(e.score) t from (select distinct mid, k from wide) a join ex e on e.k = a.k left join wide b on b.mid = a.mid and b.k = e.k and b.v = e.v group by a.mid) select mid, sum(n * n)::bigint n_good from wc where mid in (select mid from lc where p >= 0.3 * t) group by mid having sum(n * n) >= 1")
+def assess_open(spark, d):
+    a, e = wide(spark, d), examples(spark, d)
+    return score.assess_open(score.check(a, e, "nonfunctional"), score.local_completeness(a, e), 1)
+
+
 @query("select distinct mid, k, v from (select mid, k, v from ans union all select 'query', k, v from ex) a where not exists (select 1 from bad b where b.k = a.k and b.v = a.v)")
 def consolidate(spark, d):
     found, e = cand(spark, d), examples(spark, d)
