@@ -77,23 +77,26 @@ def induce(cells: DataFrame, keys: DataFrame, fixed: DataFrame, tables_of: Calla
     n_keys, searching, tables = 0, True, None
     for i in range(1, most + 1):
         if searching:
-            e = search.policy_certain(examples.select(F.col("k").alias("x"), F.col("v").alias("y"), "score"), "pairs", asked)
-            e = spark.createDataFrame(e.collect(), e.schema)  # `asked` rows at most
-            found = search.find_tables(cells if by_token is None else by_token, e.select(F.col("x").alias("tokenized")), e.select(F.col("y").alias("tokenized")), least)
+            e = search.policy_certain(examples.select(F.col("k").alias("x"), F.col("v").alias("y"), "score"), "pairs", asked).collect()  # `asked` rows at most
+            found = search.find_tables(cells if by_token is None else by_token, [r["x"] for r in e], [r["y"] for r in e], least)
             found = written(found.join(seen, ["tableid", "x_col", "y_col"], "left_anti"), "found")
             seen = seen.unionByName(found)
             said = written(score.answers(score.table_map(cells, found)), "said")
             evidence = written(evidence.unionByName(score.accepted(said, fixed, keys, least, quality, new_keys)).distinct(), "evidence")
-            tables = written(tables_of(evidence), "tables")
-            n = evidence.select("k").distinct().count()
-            searching, n_keys = i < searches and n > n_keys, n
+            tables = tables_of(evidence)
+            if searching := i < searches:
+                n = evidence.select("k").distinct().count()
+                searching, n_keys = n > n_keys, n
+            if not searching and i < most:
+                tables = written(tables, "tables")  # all further rounds read them
         ratings, new = step(evidence, examples, tables, fixed, method)
         new = written(new, "examples")
-        both = new.join(examples.withColumnRenamed("score", "old"), ["k", "v"], "full")
-        change = both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+        if not searching and i < most:
+            both = new.join(examples.withColumnRenamed("score", "old"), ["k", "v"], "full")
+            change = both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+            if change < eps:
+                return Induced(evidence, ratings, new, i, True)
         examples = new
-        if not searching and change < eps:
-            return Induced(evidence, ratings, examples, i, True)
     return Induced(evidence, ratings, examples, most, False)
 
 

@@ -29,27 +29,40 @@ def usable(cells: DataFrame) -> DataFrame:
     return cells.where("tokenized is not null and tokenized <> ''").select("tableid", "colid", "rowid", "tokenized").distinct()
 
 
-def holding(cells: DataFrame, tokens: DataFrame) -> DataFrame:
+def holding(cells: DataFrame, tokens: DataFrame | list[tuple[int, str]]) -> DataFrame:
     """cells joined with tokens (tokenized, ..) on the token. Up to MAX_LISTED tokens become an IN list that the scan
-    takes (row groups without any of them are skipped where the layout is sorted by token); more are joined."""
-    tokens = tokens.where("tokenized <> ''").distinct()
-    rows = tokens.limit(MAX_LISTED + 1).collect()
+    takes (row groups without any of them are skipped where the layout is sorted by token); more are joined. Tokens may be
+    given as a list of (pos, token)."""
+    if isinstance(tokens, list):
+        rows = [(p, t) for p, t in sorted(set(tokens)) if t]
+        tokens = cells.sparkSession.createDataFrame(rows, "pos int, tokenized string")
+        rows = [{"tokenized": t} for _, t in rows]
+        if rows and len(rows) <= MAX_LISTED:
+            return cells.where(F.col("tokenized").isin(sorted({r["tokenized"] for r in rows}))).join(F.broadcast(tokens), "tokenized")
+    else:
+        tokens = tokens.where("tokenized <> ''").distinct()
+        rows = tokens.limit(MAX_LISTED + 1).collect()
     if len(rows) > MAX_LISTED:
         return cells.where("tokenized <> ''").join(small(tokens), "tokenized")
     listed = cells.where(F.col("tokenized").isin(sorted({r["tokenized"] for r in rows}))) if rows else cells.where(F.lit(False))
     return listed.join(F.broadcast(cells.sparkSession.createDataFrame(rows, tokens.schema)), "tokenized")
 
 
-def matching_columns(cells: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
+def matching_columns(cells: DataFrame, tokens: DataFrame | list[tuple[int, str]], least: int) -> DataFrame:
     """tokens (pos, tokenized). (pos, tableid, colid) of the columns with at least `least` different tokens of pos: one
     scan and one aggregation for all positions."""
-    hit = holding(cells, tokens.select("pos", "tokenized"))
+    hit = holding(cells, tokens if isinstance(tokens, list) else tokens.select("pos", "tokenized"))
     return hit.groupBy("pos", "tableid", "colid").agg(F.count_distinct("tokenized").alias("n")).where(F.col("n") >= least).select("pos", "tableid", "colid")
 
 
-def find_tables(cells: DataFrame, xs: DataFrame, ys: DataFrame, least: int) -> DataFrame:
-    """(tableid, x_col, y_col): tables with a column holding `least` of the xs and another one holding `least` of the ys."""
-    found = matching_columns(cells, xs.select(F.lit(0).alias("pos"), "tokenized").unionByName(ys.select(F.lit(1).alias("pos"), "tokenized")), least)
+def find_tables(cells: DataFrame, xs: DataFrame | list[str], ys: DataFrame | list[str], least: int) -> DataFrame:
+    """(tableid, x_col, y_col): tables with a column holding `least` of the xs and another one holding `least` of the ys.
+    The tokens are relations (tokenized) or lists."""
+    if isinstance(xs, list):
+        tokens = [(0, x) for x in xs] + [(1, y) for y in ys]
+    else:
+        tokens = xs.select(F.lit(0).alias("pos"), "tokenized").unionByName(ys.select(F.lit(1).alias("pos"), "tokenized"))
+    found = matching_columns(cells, tokens, least)
     x, y = found.where("pos = 0").select("tableid", F.col("colid").alias("x_col")), found.where("pos = 1").select("tableid", F.col("colid").alias("y_col"))
     return x.join(y, "tableid").where("x_col <> y_col")
 
@@ -98,8 +111,7 @@ def query_tables(cells: DataFrame, examples: list[tuple[str, str]], least: int)
     """find_tables from the user's example pairs, checked."""
     xs, ys = [x for x, _ in examples], [y for _, y in examples]
     validated(least, xs, ys)
-    tokens = lambda v: cells.sparkSession.createDataFrame([(t,) for t in sorted(set(v))], "tokenized string")
-    return find_tables(cells, tokens(xs), tokens(ys), least)
+    return find_tables(cells, xs, ys, least)
 
 
 def similar_find_tables(cells: DataFrame, inputs: list[str], outputs: list[str], least: int) -> DataFrame:

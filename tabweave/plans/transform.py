@@ -122,8 +122,8 @@ def _tok(df: DataFrame, c: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    e = examples(spark, d)
-    return search.find_tables(rest(spark, d), _tok(e, "k"), _tok(e, "v"), LEAST)
+    e = examples(spark, d).collect()  # GIVEN rows at most
+    return search.find_tables(rest(spark, d), [r["k"] for r in e], [r["v"] for r in e], LEAST)
 
 
 def mapped(spark: SparkSession, d: str) -> DataFrame:
@@ -161,11 +161,23 @@ def tabs(spark: SparkSession, d: str, answers_: DataFrame | None = None) -> Data
     return mids.join(prior, "tableid", "left").join(alike, "mid").select("mid", F.coalesce("p", F.lit(0.5)).alias("prior"), "schema")
 
 
+_OWN: dict[tuple[str, str], dict[int, str]] = {}
+
+
+def _own_headers(spark: SparkSession, d: str) -> dict[int, str]:
+    """The headers of the query table's two columns, read once."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _OWN:
+        h = table(spark, d, "columns_tokenized").where((F.col("tableid") == F.lit(_t0(spark, d))) & F.col("colid").isin(0, 1))
+        _OWN[at] = {r["colid"]: r["h"] for r in h.groupBy("colid").agg(F.min("header_tokenized").alias("h")).collect()}
+    return _OWN[at]
+
+
 def _schema(spark: SparkSession, d: str, m: DataFrame) -> DataFrame:
     """m (tableid, x_col, y_col). (mid, schema)."""
-    h = table(spark, d, "columns_tokenized").join(m.select("tableid").union(spark.createDataFrame([(_t0(spark, d),)], "tableid long")).distinct(), "tableid", "left_semi")
+    h = table(spark, d, "columns_tokenized").join(m.select("tableid").distinct(), "tableid", "left_semi")
     h = h.groupBy("tableid", "colid").agg(F.min("header_tokenized").alias("h"))
-    own = {r["colid"]: r["h"] for r in h.where((F.col("tableid") == F.lit(_t0(spark, d))) & F.col("colid").isin(0, 1)).collect()}
+    own = _own_headers(spark, d)
     x, y = h.withColumnsRenamed({"colid": "x_col", "h": "x_header"}), h.withColumnsRenamed({"colid": "y_col", "h": "y_header"})
     p = m.join(x, ["tableid", "x_col"], "left").join(y, ["tableid", "y_col"], "left")
     p = p.select(F.concat_ws(":", "tableid", "x_col", "y_col").alias("mid"), "x_header", "y_header", F.lit(own.get(0)).cast("string").alias("x_wanted"), F.lit(own.get(1)).cast("string").alias("y_wanted"))

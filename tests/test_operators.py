@@ -184,3 +184,44 @@ def test_join_graph_of_long_lists(spark):
     got = [tuple(x) for x in graph.join_graph(lists).select("a", "b").collect()]
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b]}
     assert graph.join_graph(lists.limit(0)).count() == 0
+
+
+def test_empty_tables_give_empty_results(spark, tmp_path):
+    c = spark.createDataFrame([], "tableid long, colid int, rowid int, term string, tokenized string")
+    k = spark.createDataFrame([("a",), (None,)], "k string")
+    e = spark.createDataFrame([("a", "1", 1.0), ("b", "2", 1.0)], "k string, v string, score double")
+    of = lambda a: a.select("mid").distinct().select("mid", F.lit(0.5).alias("prior"), F.lit(0.5).alias("schema"))
+    assert search.find_tables(c, ["a"], ["1"], 1).count() == 0
+    assert {(r["k"], r["v"]) for r in em.induce(c, k, e, of, 2, most=2).examples.collect()} == {("a", "1"), ("b", "2")}
+    assert {r["v"] for r in indirect.transform(c, k, e, of).collect()} == {"1", None}
+    assert em.latent_truth(spark.createDataFrame([], "mid string, k string, v string")).count() == 0
+    assert fd.cell_dependencies(c).count() == 0
+    assert corpus.detect_header(c).count() == 0 and corpus.union_tables(c, spark.createDataFrame([], "tableid long, unionid long")).count() == 0
+    assert lookup.learn(c, [(["x"], "y")]) is None
+    assert graph.join_classes(graph.postings(spark.createDataFrame([], "field string, tok string, tableid long"))).count() == 0
+    (tmp_path / "dump").mkdir()
+    spark.createDataFrame([("no table",), ("{}",)], "value string").coalesce(1).write.text(str(tmp_path / "d"))
+    r = corpus.ingest(corpus.read_dump(spark, str(tmp_path / "d")))
+    assert (r.tables.count(), r.columns.count(), r.cells.count()) == (0, 0, 0)
+
+
+def test_header_columns_are_turned_and_headers_taken_off(spark):
+    raw = spark.createDataFrame([
+        (1, "f", [["town", "Rom", "Oslo"], ["name", "Anna", "Bert"]], True, None, None, "The t", None, ["a", None]),
+        (2, "f", [["born", "died"], ["1990", "2000"], ["1991", "2001"]], False, "http://Host.test/x", None, None, None, None),
+        (5, "f", [["a", "Anna", "Bert"], ["year", "1990", "1991"]], False, None, None, None, None, None),
+        (3, "f", [["only", "one"]], False, None, None, None, None, None),
+        (4, "f", [["", "1"], ["b", "x"], ["a", "y"]], True, None, "dom", None, None, []),
+    ], "id long, file string, relation array<array<string>>, hasHeader boolean, url string, domain string, title string, pageTitle string, termSet array<string>")
+    r = corpus.ingest(raw)
+    cells = {(x["tableid"], x["colid"], x["rowid"]): x["term"] for x in r.cells.collect()}
+    heads = {(x["tableid"], x["colid"]): x["header"] for x in r.columns.collect()}
+    assert {k: v for k, v in cells.items() if k[0] == 1} == {(1, 0, 0): "Anna", (1, 0, 1): "Bert", (1, 1, 0): "Rom", (1, 1, 1): "Oslo"}
+    assert {k: v for k, v in heads.items() if k[0] == 1} == {(1, 0): "name", (1, 1): "town"}
+    # a first column of text beside rows of numbers is a header column: the table is turned
+    assert {k: v for k, v in heads.items() if k[0] == 5} == {(5, 0): "a", (5, 1): "Anna", (5, 2): "Bert"}
+    assert {k: v for k, v in cells.items() if k[0] == 5} == {(5, 0, 0): "year", (5, 1, 0): "1990", (5, 2, 0): "1991"}
+    assert not any(k[0] == 3 for k in cells)
+    assert {k: v for k, v in heads.items() if k[0] == 4} == {(4, 0): "a", (4, 1): "b", (4, 2): ""}
+    t = {x["id"]: x for x in r.tables.collect()}
+    assert t[2]["domain"] == "host.test" and t[4]["domain"] == "dom" and t[1]["title_tokenized"] == "t"
