@@ -18,7 +18,7 @@ from tabweave.plans.common import written
 
 def step(ans: DataFrame, examples: DataFrame, tables: DataFrame, fixed: DataFrame, method: str = "functional") -> tuple[DataFrame, DataFrame]:
     """One M- and E-step: (ratings, examples of the next round). fixed (k, v, score) are the user's own examples."""
-    ratings = written(score.rating(ans, examples, tables), "ratings")
+    ratings = score.rating(ans, examples, tables)
     scored = {"functional": score.score_functional, "noisy_or": score.score_noisy_or}[method](ans, ratings) if method != "majority" else score.score_majority(ans)
     found = score.best_per_key(scored) if method != "noisy_or" else scored
     found = found.join(fixed.select("k").distinct(), "k", "left_anti")
@@ -26,7 +26,7 @@ def step(ans: DataFrame, examples: DataFrame, tables: DataFrame, fixed: DataFram
 
 
 def rounds(ans: DataFrame, fixed: DataFrame, tables: DataFrame, n: int, method: str = "functional") -> tuple[DataFrame, DataFrame]:
-    """n rounds. The ratings and examples of each are written: as one plan, a round would repeat all earlier ones."""
+    """n rounds. The examples of each are written: as one plan, a round would repeat all earlier ones."""
     examples = ratings = fixed.select("k", "v", "score")
     for _ in range(n):
         ratings, examples = step(ans, examples, tables, fixed, method)

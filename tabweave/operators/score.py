@@ -1,7 +1,7 @@
 """Checking tables against examples, rating tables, scoring answers, pruning and feedback.
 
 answers (mid, k, v): table mapping mid says k -> v.  examples (k, v, score).  tables (mid, prior, schema).
-A mapping id is any comparable value. Products use F.product, which is right for factors of 0.
+A mapping id is any comparable value.
 """
 
 from __future__ import annotations
@@ -117,12 +117,11 @@ def _evidence(ans: DataFrame, examples: DataFrame) -> DataFrame:
     """(mid, good, total, unseen): scores of the examples the mapping agrees with; its pairs of example keys; the scores
     of the example keys it lacks."""
     keys = examples.groupBy("k").agg(F.max("score").alias("top"))
-    total = keys.agg(F.sum("top").alias("all_keys"))
+    all_keys = F.broadcast(keys.agg(F.coalesce(F.sum("top"), F.lit(0.0)).alias("all_keys")))  # one row
     hit = ans.join(keys, "k").join(examples.select("k", "v", F.col("score").alias("s")), ["k", "v"], "left")
-    per = hit.groupBy("mid").agg(F.sum(F.coalesce("s", F.lit(0.0))).alias("good"), F.count("*").cast("double").alias("total"))
-    seen = hit.select("mid", "k", "top").distinct().groupBy("mid").agg(F.sum("top").alias("seen"))
-    one = total.select(F.coalesce("all_keys", F.lit(0.0)).alias("all_keys"))  # one row
-    return per.join(seen, "mid").crossJoin(F.broadcast(one)).select("mid", "good", "total", (F.col("all_keys") - F.col("seen")).alias("unseen"))
+    per_key = hit.groupBy("mid", "k").agg(F.sum(F.coalesce("s", F.lit(0.0))).alias("good"), F.count("*").alias("n"), F.max("top").alias("top"))
+    per = per_key.groupBy("mid").agg(F.sum("good").alias("good"), F.sum("n").cast("double").alias("total"), F.sum("top").alias("seen"))
+    return per.crossJoin(all_keys).select("mid", "good", "total", (F.col("all_keys") - F.col("seen")).alias("unseen"))
 
 
 def rating(ans: DataFrame, examples: DataFrame, tables: DataFrame, weight: float = 1.0) -> DataFrame:
@@ -161,15 +160,23 @@ def rating_pruned(ans: DataFrame, good: DataFrame, bad: DataFrame, tables: DataF
 
 def score_functional(ans: DataFrame, ratings: DataFrame) -> DataFrame:
     """(k, v, score): over the tables T of k, s(v) is the product of r for tables saying v and 1 - r for the others,
-    divided by the sum over all values of k and over "none of them"."""
-    a = ans.join(ratings, "mid")
-    tables = a.groupBy("k", "mid").agg(F.first("rating").alias("r"))
-    values = a.select("k", "v").distinct()
-    said = a.select("k", "v", "mid", F.lit(1).alias("said"))
-    s = values.join(tables, "k").join(said, ["k", "v", "mid"], "left").groupBy("k", "v").agg(F.product(F.when(F.col("said") == 1, F.col("r")).otherwise(1 - F.col("r"))).alias("s"))
-    none = tables.groupBy("k").agg(F.product(1 - F.col("r")).alias("none"))
-    z = s.groupBy("k").agg(F.sum("s").alias("z")).join(none, "k")
-    return s.join(z, "k").select("k", "v", F.coalesce(F.try_divide("s", F.col("z") + F.col("none")), F.lit(0.0)).alias("score"))
+    divided by the sum over all values of k and over "none of them".
+
+    Divided by the product of all 1 - r, s(v) is the product of the odds r / (1 - r) of the tables saying v, and "none" is 1:
+    no value has to be met with the tables that don't say it. Odds are added as logarithms, less the greatest of the key, so
+    that no number of tables runs out of range; tables of rating 0 and 1 are counted apart."""
+    r = F.col("rating")
+    a = ans.select("mid", "k", "v").distinct().join(ratings, "mid")
+    odds = F.sum(F.when((r > 0) & (r < 1), F.log(r / (1 - r))).otherwise(0.0))
+    # ratings stay below 1 (ALPHA): the sets are empty but for ratings given from outside
+    s = a.groupBy("k", "v").agg(odds.alias("l"), F.count_if(r <= 0).alias("zeros"), F.collect_set(F.when(r >= 1, F.col("mid"))).alias("ones"))
+    of = Window.partitionBy("k")
+    s = s.withColumn("all_ones", F.size(F.array_distinct(F.flatten(F.collect_list("ones").over(of)))))
+    s = s.withColumn("l", F.when((F.col("zeros") == 0) & (F.size("ones") == F.col("all_ones")), F.col("l")))
+    s = s.withColumn("top", F.greatest(F.max("l").over(of), F.when(F.col("all_ones") == 0, 0.0)))
+    s = s.withColumn("w", F.coalesce(F.exp(F.col("l") - F.col("top")), F.lit(0.0)))
+    none = F.when(F.col("all_ones") == 0, F.exp(-F.col("top"))).otherwise(0.0)
+    return s.select("k", "v", F.coalesce(F.try_divide(F.col("w"), F.sum("w").over(of) + none), F.lit(0.0)).alias("score"))
 
 
 def score_noisy_or(ans: DataFrame, ratings: DataFrame) -> DataFrame:

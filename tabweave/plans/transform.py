@@ -93,10 +93,10 @@ def _t0(spark: SparkSession, d: str) -> int:
     at = (spark.sparkContext.applicationId, d)
     if at not in _T0:
         c = table(spark, d, "main_tokenized").where(f"tableid >= {FIRST} and tokenized <> ''")
-        first = c.where("rowid = 0 and colid in (0, 1)").groupBy("tableid").agg(F.min(F.when(F.col("colid") == 0, F.col("tokenized"))).alias("k"), F.min(F.when(F.col("colid") == 1, F.col("tokenized"))).alias("v")).where("k is not null and v is not null")
-        twins = first.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-        long = c.where("rowid >= 9").select("tableid").distinct()
-        _T0[at] = first.join(twins, ["k", "v"], "left_semi").join(long, "tableid", "left_semi").agg(F.min("tableid")).first()[0]
+        cell = lambda i: F.min(F.when((F.col("rowid") == 0) & (F.col("colid") == i), F.col("tokenized")))
+        first = c.groupBy("tableid").agg(cell(0).alias("k"), cell(1).alias("v"), F.max("rowid").alias("last")).where("k is not null and v is not null")
+        twins = first.groupBy("k", "v").agg(F.count("*").alias("n"), F.min(F.when(F.col("last") >= 9, F.col("tableid"))).alias("id")).where("n > 1")
+        _T0[at] = twins.agg(F.min("id")).first()[0]
     return _T0[at]
 
 
