@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -83,6 +84,39 @@ def induce_path(responses: DataFrame, least: int = 2) -> DataFrame:
     return hit.withColumn("i", i).where((F.col("i") == 1) & (F.col("n") >= least)).select("g", "path", "n")
 
 
+@dataclass(frozen=True)
+class Wrapper:
+    """A form of a page, the text input that takes the value, the submit field (for POST), and the path of the answer."""
+
+    form: int
+    method: str
+    field: str
+    submit: str
+    path: str
+
+
+def find_wrapper(html: str, examples: list[tuple[str, str]], send: Callable[[int, str, str, str, str], str], least: int = 2) -> Wrapper | None:
+    """The first way to fill a form of the page that answers the examples (x, y): forms in their order, each text input, for
+    POST each submit field; send(form, method, input, submit, x) gives the answering page. The path of the answer is the one
+    that shows y for most examples, `least` at least, with the shortest texts. A page and a user's examples are few: this runs
+    in the driver; the wrapper then runs over any number of values by through()."""
+    rows = _parsed(html).rows
+    for form in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == form]
+        method = own[0][1]
+        submits = [r[2] for r in own if r[3] == "submit"] if method == "post" else []
+        for field in [r[2] for r in own if r[3] in ("text", "search", "textarea")]:
+            for submit in submits or [""]:
+                seen: dict[str, list[int]] = {}
+                for x, y in examples:
+                    for path, text in dict(reversed([t for t in _parsed(send(form, method, field, submit, x)).texts if y in t[1]])).items():
+                        seen.setdefault(path, []).append(len(text))
+                best = min(seen.items(), key=lambda p: (-len(p[1]), sum(p[1]), p[0]), default=None)
+                if best and len(best[1]) >= least:
+                    return Wrapper(form, method, field, submit, best[0])
+    return None
+
+
 def through(values: DataFrame, fetch: Callable[[str], str], paths: list[str]) -> DataFrame:
     """values (x). (x, y): each value sent through a wrapper; the text at the first of the paths that is there, or ''."""
 

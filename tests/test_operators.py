@@ -131,6 +131,22 @@ def test_forms(spark):
     assert out.first()["y"] == "a!"
 
 
+def test_wrapper_is_found_by_examples(spark):
+    page = "<form action=a><input type=checkbox name=c></form><form method=POST><input name=login><input type=text name=q><input type=submit name=no><input type=submit name=go></form>"
+    capitals = {"Peru": "Lima", "Chad": "N'Djamena", "Oman": "Muscat"}
+
+    def send(form, method, field, submit, x):
+        answer = capitals.get(x, "") if (form, method, field, submit) == (1, "post", "q", "go") else "error"
+        return f"<h1>Answers for you</h1><div><p>{answer}</p><p>all of {answer} and more</p></div>"
+
+    w = forms.find_wrapper(page, [("Peru", "Lima"), ("Chad", "N'Djamena")], send)
+    assert (w.form, w.method, w.field, w.submit, w.path) == (1, "post", "q", "go", "/div/p")
+    out = forms.through(spark.createDataFrame([("Oman",), ("Nowhere",)], "x string"), lambda x: send(w.form, w.method, w.field, w.submit, x), [w.path])
+    assert {r["x"]: r["y"] for r in out.collect()}["Oman"].endswith("Muscat")
+    assert forms.find_wrapper(page, [("Peru", "Oslo"), ("Chad", "Rome")], send) is None
+    assert forms.find_wrapper("<p>no form</p>", [("a", "b")], send) is None
+
+
 def test_csv_and_triples(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n1,2\n3\n4,5,6\n7,8\n")
     assert corpus.read_csv(spark, str(tmp_path / "t.csv"), ["a", "b"]).collect() == [("1", "2"), ("7", "8")]
