@@ -184,8 +184,9 @@ def readings(word: str) -> list[str]:
     return sorted(set(out))
 
 
-#: A word here is a run of ASCII letters and of any non-ASCII characters but spaces, dashes and quotation marks at its ends.
-_WORDS = r"[A-Za-z\x{80}-\x{10FFFF}&&[^\p{Z}\p{Cf}]]*[\x{80}-\x{10FFFF}&&[^\p{Z}\p{Cf}]][A-Za-z\x{80}-\x{10FFFF}&&[^\p{Z}\p{Cf}]]*"
+#: A word here is a run of ASCII letters and of any non-ASCII characters but spaces and format marks, with one of these at least.
+#: It is looked for from its start only, and never given back: words of ASCII letters alone are passed over once.
+_WORDS = r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7F\p{Z}\p{Cf}][^\x00-\x40\x5B-\x60\x7B-\x7F\p{Z}\p{Cf}]*+"
 _EDGE = r"^[\x{201C}\x{201D}\x{201E}\x{AB}\x{BB}\x{2013}\x{2014}\x{2026}\x{A0}\x{BF}\x{A1}\x{2018}]+|[\x{201C}\x{201D}\x{201E}\x{AB}\x{BB}\x{2013}\x{2014}\x{2026}\x{A0}\x{2019}]+$"
 
 
