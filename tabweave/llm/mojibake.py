@@ -210,8 +210,8 @@ def damaged_words(documents: DataFrame, least: int = 4, times: int = 20) -> tupl
             rows = [(w, n, o) for w, n in zip(f["w"], f["n"]) for o in readings(w)]
             yield pd.DataFrame(rows, columns=["w", "n", "original"])
 
-    # the words are few in bytes but dear to read: a fixed number of tasks, which no coalescing brings down to one
-    tried = counts.repartition(parallelism(documents.sparkSession), "w").mapInPandas(run, "w string, n long, original string")
+    # the words are few in bytes but dear to read: an exchange of its own, which is neither dropped nor brought down to one task
+    tried = counts.repartition(parallelism(documents.sparkSession), F.xxhash64("w")).mapInPandas(run, "w string, n long, original string")
     known = counts.select(F.col("w").alias("original"), F.col("n").alias("m"))
     best = tried.join(known, "original").where((F.col("m") >= least) & (F.col("m") >= times * F.col("n"))).groupBy("w").agg(F.max_by("original", F.struct("m", "original")).alias("original"))
     return words, best
