@@ -2,7 +2,7 @@
 
 The state is a folder, and is opened again from it:
 
-    manifest/   one set of rows per version: bucket -> folder of its counts, number of buckets
+    manifest/   one JSON file per version: bucket -> folder of its counts, numbers of buckets and values
     terms/      (field, value) -> occurrences, records; partitioned by bucket, a hash of the value
 
 apply() reads only added, changed and deleted records: a record that came is added, one that went is removed, a changed one
@@ -22,17 +22,16 @@ raises ValueError and leaves the state as it was. An empty delta changes nothing
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.plans.common import parallelism
 
 PER_BUCKET = 4_000_000
 _TERMS = "field string, value string, occurrences long, records long"
-_MANIFEST = "version long, n_buckets int, n_terms long, bucket int, folder string"
 
 
 def counted(cells: DataFrame, record: str, fields: tuple[str, ...]) -> DataFrame:
@@ -81,15 +80,33 @@ class TermCounts:
         self.spark, self.root = spark, root.rstrip("/")
         self.version, self.n_terms, self.buckets = 0, 0, buckets or parallelism(spark)
         self.folders: dict[int, str] = {}
-        try:
-            m = spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
-            last = m.agg(F.max("version")).first()[0]
-        except AnalysisException:  # nothing has been written there
-            last = None
-        if last is not None:
-            rows = m.where(F.col("version") == last).collect()  # one row per bucket
-            self.version, self.n_terms, self.buckets = last, rows[0]["n_terms"], rows[0]["n_buckets"]
-            self.folders = {r["bucket"]: r["folder"] for r in rows}
+        fs, at = self._manifest()
+        names = sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+        names = [n for n in names if n.endswith(".json")]
+        if names:
+            stream = fs.open(self._path(f"manifest/{names[-1]}"))
+            m = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+            self.version, self.n_terms, self.buckets = m["version"], m["n_terms"], m["n_buckets"]
+            self.folders = {int(b): f for b, f in m["folders"].items()}
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _manifest(self):
+        at = self._path("manifest")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _publish(self) -> None:
+        """Writes the manifest of this version beside the older ones; it counts once it has its name."""
+        fs, _ = self._manifest()
+        m = {"version": self.version, "n_terms": self.n_terms, "n_buckets": self.buckets, "folders": self.folders}
+        new = self._path(f"manifest/.{uuid.uuid4().hex}")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(m).encode()))
+        out.close()
+        if not fs.rename(new, self._path(f"manifest/v{self.version:012d}.json")):
+            raise RuntimeError(f"version {self.version} of {self.root} has been written by another driver")
 
     def _read(self, buckets: set[int] | None = None) -> DataFrame:
         out = self.spark.createDataFrame([], _TERMS)
@@ -129,19 +146,18 @@ class TermCounts:
         checked = F.when(F.expr(wrong), F.raise_error(F.lit("a removed cell was never added"))).otherwise(F.col("occurrences"))
         merged = merged.withColumn("occurrences", checked).where("occurrences <> 0")
         folder = f"{self.root}/terms/{uuid.uuid4().hex}"
+        seen = Observation()
         try:
-            merged.write.partitionBy("bucket").parquet(folder)
+            merged.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("bucket").parquet(folder)
         except Exception as e:
             if "never added" in str(e):
                 raise ValueError("a removed cell was never added") from e
             raise
         kept = {} if n_buckets != self.buckets else {b: f for b, f in self.folders.items() if b not in touched}
-        folders = kept | {b: folder for b in touched}
-        before, self.folders, self.buckets = self.folders, folders, n_buckets
-        self.n_terms = self._read().count() if before else self.spark.read.schema(_TERMS).parquet(folder).count()
+        self.folders, self.buckets = kept | {b: folder for b in touched}, n_buckets
+        self.n_terms = self._read().count() if kept else seen.get["n"]
         self.version += 1
-        rows = [(self.version, n_buckets, self.n_terms, b, f) for b, f in folders.items()]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        self._publish()
 
     def terms(self) -> DataFrame:
         """(field, value, occurrences, records) of everything counted."""
