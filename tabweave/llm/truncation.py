@@ -26,6 +26,8 @@ continued, the stored content goes on.
 
 Word and pattern statistics cover all values. What is sent has a bound: the frequent words (at most the mean number of
 words / FREQUENT) and the frequent patterns (at most 2,000). Cells get their source by a join of length counts per table, and later of the candidates alone.
+Words, and the cells of stored contents, are merged with what they are joined with: plans estimate them by the size of
+compressed files, however many rows come from these, and would send them through the driver.
 
 Defined cases: null, empty and blank values are no cases; exact repeats count once; a table without a known source
 belongs to the source -1; empty tables give empty results.
@@ -144,7 +146,7 @@ def _titles(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFrame
 def _contexts(rows: DataFrame, at_limit: DataFrame, words: DataFrame) -> DataFrame:
     c = rows.where("field = 'context'").join(at_limit, ["field", "tableid"], "left").withColumn("limit", F.coalesce("limit", F.lit(False)))
     c = c.withColumn("w", F.try_element_at(F.regexp_extract_all("bare", F.lit(_WORD), F.lit(0)), F.lit(-1)))
-    c = c.join(words.where("field = 'context'").select("w", "n_inner"), "w", "left")
+    c = c.join(words.where("field = 'context'").select("w", "n_inner").hint("merge"), "w", "left")
     ended = F.col("bare").rlike(r"[.!?。؟][\"”“’')\]»]*\s*$")
     running = F.col("bare").rlike(r"[.!?。؟][\"”“’')\]»]*\s")
     listed = F.col("limit") | F.coalesce(F.col("n_inner") == 0, F.lit(True)) | F.col("bare").rlike(r"\s$")
@@ -193,7 +195,7 @@ def broken_cells(cells: DataFrame, times: int = BROKEN) -> DataFrame:
     n = written(n, "cell-words")
     heads = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substr("w", F.lit(1), i)))
     longer = n.where((F.col("n") >= times) & (F.length("w") > 1)).select(heads.alias("w"), "n").groupBy("w").agg(F.max("n").alias("longer"))
-    broken = n.where("n_inner = 0 and n <= 2 * n_ends").where(F.col("w").rlike(r"^\p{L}+$")).join(longer, "w").where(F.col("longer") >= times * F.col("n")).select("w")
+    broken = n.where("n_inner = 0 and n <= 2 * n_ends").where(F.col("w").rlike(r"^\p{L}+$")).join(longer.hint("merge"), "w").where(F.col("longer") >= times * F.col("n")).select("w")
     lower = F.lower("term")
     ended = cells.where("term is not null").select("tableid", "colid", "rowid", F.try_element_at(F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)), F.lit(-1)).alias("w"), lower.alias("t"))
     return ended.where(F.endswith("t", "w")).join(broken, "w", "left_semi").select("tableid", "colid", "rowid")
@@ -206,4 +208,4 @@ def continued(tables: DataFrame, cells: DataFrame) -> DataFrame:
     shown = shown.select(F.col("id").alias("tableid"), F.col("cell_pos").alias("colid"), F.col("tuple_pos").alias("rowid"), "text_value")
     own = cells.where("trim(term) <> ''").select("tableid", "colid", "rowid", "term")
     rest = F.expr("substr(text_value, length(term) + 1)")
-    return own.join(shown, ["tableid", "colid", "rowid"]).where(F.startswith("text_value", "term") & rest.rlike(r"^\s*[\p{L}\p{N}]")).select("tableid", "colid", "rowid")
+    return own.join(shown.hint("merge"), ["tableid", "colid", "rowid"]).where(F.startswith("text_value", "term") & rest.rlike(r"^\s*[\p{L}\p{N}]")).select("tableid", "colid", "rowid")

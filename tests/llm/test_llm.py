@@ -416,6 +416,27 @@ def test_titles_broken_off_in_a_word_of_a_fitting_pattern(spark):
     assert {(x["field"], x["tableid"]) for x in got} == {("title", i) for i in cut}
 
 
+def test_growing_tables_are_not_broadcast(spark, tmp_path):
+    content = '{"tuples":[{"cells":[{"value":"Levabizes"},{"value":"Mini*"},{"value":7}]}]}'
+    spark.createDataFrame([(i, content) for i in range(40)], "id long, content string").write.parquet(f"{tmp_path}/tables")
+    cells = [(i, k, 0, x, "t", 1, 1) for i in range(40) for k, x in enumerate(("Levabizes" if i % 8 else "Levab", "Mini", "7"))] + [(90, 0, 0, "dossier ledg", "t", 1, 1)] + [(91, 0, k, "ledger dossier ledger", "t", 1, 1) for k in range(20)]
+    spark.createDataFrame(cells, CELLS).write.parquet(f"{tmp_path}/cells")
+    spark.createDataFrame([("context", "ledger", 3, 4), ("title", "ledger", 1, 1)], "field string, w string, n_inner long, n_last long").write.parquet(f"{tmp_path}/words")
+    tables, cells, words = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("tables", "cells", "words"))
+
+    def rows(df, kind):
+        got = sorted(map(tuple, df.collect()))
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if f", {kind}" in x]
+        assert any("SortMergeJoin" in x for x in joins) and not any("Broadcast" in x for x in joins)
+        return got
+
+    assert rows(truncation.continued(tables, cells), "Inner") == [(i, 0, 0) for i in range(0, 40, 8)]
+    assert (90, 0, 0) in rows(truncation.broken_cells(cells), "Inner")
+    texts = spark.createDataFrame([("context", i, x, False) for i, x in enumerate(("one, ledger", "one, ledge"))], "field string, tableid long, bare string, ellipsis boolean")
+    at_limit = spark.createDataFrame([], "field string, tableid long, limit boolean")
+    assert rows(truncation._contexts(texts, at_limit, words), "LeftOuter") == [("context", 1, "ending")]
+
+
 def test_truncated_of_nothing(spark):
     assert truncation.truncated(spark.createDataFrame([], TABLES), spark.createDataFrame([], CELLS)).count() == 0
 
